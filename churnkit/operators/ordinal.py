@@ -29,7 +29,7 @@ def running_sum(df: DataFrame, value: Column, order_cols: Sequence, bucket: Colu
     bucket bound the work of a single task.
     """
     part = list(partition_cols)
-    d = df.withColumn(_BKT, bucket).withColumn("__v", value)
+    d = df.withColumn(_BKT, F.col(bucket) if isinstance(bucket, str) else bucket).withColumn("__v", value)
     totals = d.groupBy(*part, _BKT).agg(F.sum("__v").alias("__tot"))
     w = Window.partitionBy(*part).orderBy(_BKT)
     offsets = totals.select(*part, _BKT, (F.sum("__tot").over(w) - F.col("__tot")).alias(_OFF))
@@ -51,12 +51,54 @@ def range_bucket(c: Column, width: int) -> Column:
     return F.floor(c / F.lit(width)).cast("long")
 
 
-def quantile_bucket(df: DataFrame, c: str, n_buckets: int, descending: bool = False,
-                    accuracy: int = 10000) -> Column:
-    """Monotone bucket from approximate quantiles of ``c`` (one scalar
-    subquery). Used where the key is a distinct value (each row its own
-    key), so buckets are balanced whatever the value distribution."""
+def with_quantile_bucket(df: DataFrame, c: str, n_buckets: int, out: str,
+                         descending: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Add ``out``: a bucket monotone in ``c`` from approximate quantiles
+    (one scalar subquery). Used where each row is one distinct value, so
+    buckets are balanced whatever the value distribution."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.select(F.percentile_approx(F.col(c), probs, accuracy)).scalar()
-    below = F.size(F.filter(bounds, lambda b: b < F.col(c)))
-    return (F.lit(n_buckets) - below) if descending else below
+    d = df.withColumn("__bounds", bounds)
+    below = F.size(F.filter(F.col("__bounds"), lambda b: b < F.col(c)))
+    return d.withColumn(out, (F.lit(n_buckets) - below) if descending else below).drop("__bounds")
+
+
+def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], group_cols: Sequence[str] = (),
+                    n_buckets: int = 64, prefix: str = "q") -> DataFrame:
+    """Exact, linearly interpolated quantiles (NumPy/pandas "linear" rule)
+    without gathering a group's values in one task.
+
+    Rows are first reduced to (group, value, count) — map-side — then a
+    bucketed running count gives each distinct value its rank interval, and
+    one more aggregate picks the values at the two ranks around each target
+    position. Work per task is bounded by values per bucket; the only
+    broadcast is the per-bucket offset table. Output: ``group_cols`` plus
+    ``{prefix}{i}`` per probability, and ``n`` (non-null count).
+    """
+    g = list(group_cols)
+    vals = (df.where(F.col(c).isNotNull()).groupBy(*g, c)
+            .agg(F.count(F.lit(1)).alias("__cnt")))
+    # Buckets from approximate quantiles of the distinct values, so every
+    # bucket holds a similar number of distinct values whatever the skew.
+    vals = with_quantile_bucket(vals, c, n_buckets, "__qb")
+    ranked = running_sum(vals, F.col("__cnt"), [F.col(c)], "__qb", "__cum", g).drop("__qb")
+    if g:   # one row per group; joined on the group key, no per-group window
+        ranked = ranked.join(vals.groupBy(*g).agg(F.sum("__cnt").alias("__n")), g)
+    else:
+        ranked = ranked.withColumn("__n", vals.select(F.sum("__cnt")).scalar())
+    aggs = [F.first("__n").alias("n")]
+    for i, p in enumerate(probs):
+        h = (F.col("__n") - 1) * F.lit(float(p))
+        lo, hi = F.floor(h), F.ceil(h)
+        aggs.append(F.min(F.when(F.col("__cum") > lo, F.col(c))).alias(f"__lo{i}"))
+        aggs.append(F.min(F.when(F.col("__cum") > hi, F.col(c))).alias(f"__hi{i}"))
+        aggs.append(F.first(h - lo).alias(f"__t{i}"))
+    out = ranked.groupBy(*g).agg(*aggs)
+    cols = [*g, "n"]
+    for i, _ in enumerate(probs):
+        a, b, t = F.col(f"__lo{i}").cast("double"), F.col(f"__hi{i}").cast("double"), F.col(f"__t{i}")
+        d = b - a
+        # NumPy's lerp: a + d*t, or b - d*(1-t) when t >= 0.5
+        out = out.withColumn(f"{prefix}{i}", F.when(t >= 0.5, b - d * (F.lit(1.0) - t)).otherwise(a + d * t))
+        cols.append(f"{prefix}{i}")
+    return out.select(*cols)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from churnkit.operators import clean as C
 from churnkit.operators import kpi as KPI
 from churnkit.plans import oracle_sql as O
+from churnkit.plans.stages import staged
 from churnkit.sources.tables import accounts_raw
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +33,8 @@ def register(name: str, sql: str | None = None):
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.clean_accounts(accounts_raw(spark, sf_dir))
+    """The cleaned accounts (B19), materialised once per application."""
+    return staged(spark, f"cleaned:{sf_dir}", lambda: C.clean_accounts(accounts_raw(spark, sf_dir)))
 
 
 # --- cleaning ---------------------------------------------------------------
@@ -67,3 +69,537 @@ select Contract, count(*) as TotalCustomers,
 from cleaned group by Contract"""))
 def q_d10(spark, sf_dir):
     return KPI.contract_analysis(cleaned(spark, sf_dir))
+
+
+# --- raw-table checks (validation, nulls, duplicates) ------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from churnkit.operators import explain as X  # noqa: E402
+from churnkit.operators import profile as PR  # noqa: E402
+from churnkit.operators import scoring as S  # noqa: E402
+from churnkit.operators.features import feature_frame  # noqa: E402
+
+RAW_TEXT = ["customerID", "gender", "SeniorCitizen", "Partner", "Dependents", "tenure", "PhoneService",
+            "MultipleLines", "InternetService", "OnlineSecurity", "OnlineBackup", "DeviceProtection",
+            "TechSupport", "StreamingTV", "StreamingMovies", "Contract", "PaperlessBilling",
+            "PaymentMethod", "MonthlyCharges", "TotalCharges", "City", "State", "ZipCode", "ChurnReason"]
+
+
+def scored(spark, sf_dir):
+    return S.score(cleaned(spark, sf_dir))
+
+
+def campaign(spark, sf_dir):
+    return S.campaign_frame(scored(spark, sf_dir))
+
+
+_nulls_sql = " union all ".join(
+    f"select '{c}' as column_name, count(*) filter (where {c} is null) as null_count from accounts_raw"
+    for c in ["row_no", "k"] + RAW_TEXT[:20] + ["City", "State", "ZipCode", "ChurnValue", "ChurnScore", "CLTV",
+                                               "ChurnReason"])
+
+
+@register("d2_null_counts", O.with_raw(_nulls_sql))
+def q_d2(spark, sf_dir):
+    return PR.null_counts(accounts_raw(spark, sf_dir))
+
+
+@register("d2_null_customer_id", O.with_raw(
+    "select count(*) filter (where customerID is null) as NullCustomerID from accounts_raw"))
+def q_d2b(spark, sf_dir):
+    return PR.null_count_of(accounts_raw(spark, sf_dir), "customerID", "NullCustomerID")
+
+
+@register("d3_duplicate_keys", O.with_raw(
+    "select customerID, count(*) as KeyCount from accounts_raw group by customerID having count(*) > 1"))
+def q_d3(spark, sf_dir):
+    return PR.duplicate_keys(accounts_raw(spark, sf_dir), "customerID")
+
+
+_biz = ", ".join(["k"] + RAW_TEXT[:20] + ["City", "State", "ZipCode", "ChurnValue", "ChurnScore", "CLTV",
+                                          "ChurnReason"])
+
+
+@register("d4_repeated_rows", O.with_raw(
+    f"select cast(coalesce(sum(c - 1), 0) as bigint) as DuplicateRows from "
+    f"(select count(*) as c from accounts_raw group by {_biz})"))
+def q_d4(spark, sf_dir):
+    return PR.repeated_rows(accounts_raw(spark, sf_dir))
+
+
+_VALID_SQL = r"""
+, v as (select *, {ten} as ten, {mon} as mon from accounts_raw),
+v2 as (select *, ten is not null and not isnan(ten) and abs(ten) <> 'inf'::double as ten_ok,
+        case when ten >= 0 then floor(ten) else ceil(ten) end as ten_trunc,
+        concat_ws(', ', {missing}) as missing from v)
+select row_no, case when missing <> '' then 'Missing required field(s): ' || missing
+  when not ten_ok then '''tenure'' must be a whole number of months.'
+  when ten_trunc < 0 or ten_trunc > 100 then '''tenure'' must be between 0 and 100 months.'
+  when mon is null then '''MonthlyCharges'' must be numeric.' end as validation_error
+from v2"""
+
+
+def _pyfloat_sql(c):
+    pat = C.FLOAT_TEXT.replace("'", "''")
+    return (f"(case when regexp_matches(cast({c} as varchar), '{pat}') then "
+            f"try_cast(replace(trim(cast({c} as varchar)), '_', '') as double) end)")
+
+
+_missing_sql = ", ".join(f"case when {c} is null or cast({c} as varchar) = '' then '{c}' end"
+                         for c in RAW_TEXT[1:19])
+
+
+@register("b18_validate_records", O.with_raw("").rstrip() + _VALID_SQL.format(
+    ten=_pyfloat_sql("tenure"), mon=_pyfloat_sql("MonthlyCharges"), missing=_missing_sql))
+def q_b18(spark, sf_dir):
+    return C.validate_records(accounts_raw(spark, sf_dir)).select("row_no", "validation_error")
+
+
+# --- B15, B16: offline cleaning ---------------------------------------------------------------
+
+@register("b15_clean_for_analysis", O.with_raw("").rstrip() + ("""
+, t as (select row_no, k, trim(customerID) as customerID, trim(gender) as gender, trim(SeniorCitizen) as SeniorCitizen,
+    trim(Contract) as Contract, trim(PaymentMethod) as PaymentMethod,
+    cast(trunc(""" + O.parse("tenure") + """) as smallint) as tenure,
+    cast(""" + O.parse("MonthlyCharges") + """ as float) as MonthlyCharges,
+    cast(coalesce(""" + O.parse("TotalCharges") + """, (select median(""" + O.parse("TotalCharges") + """) from accounts_raw)) as float) as TotalCharges,
+    cast(ChurnValue as tinyint) as ChurnValue, cast(ChurnScore as smallint) as ChurnScore, cast(CLTV as integer) as CLTV,
+    coalesce(trim(ChurnReason), 'Not Churned') as ChurnReason from accounts_raw)
+select min(row_no) as row_no, k, customerID, gender, SeniorCitizen, Contract, PaymentMethod, tenure, MonthlyCharges,
+       TotalCharges, ChurnValue, ChurnScore, CLTV, ChurnReason
+from t group by all"""))
+def q_b15(spark, sf_dir):
+    raw = accounts_raw(spark, sf_dir).select(
+        "row_no", "k", "customerID", "gender", "SeniorCitizen", "Contract", "PaymentMethod", "tenure",
+        "MonthlyCharges", "TotalCharges", "ChurnValue", "ChurnScore", "CLTV", "ChurnReason")
+    return C.clean_for_analysis(raw)
+
+
+# --- views and KPI ------------------------------------------------------------------------------
+
+@register("a10_churn_summary_view", O.with_cleaned(
+    "select customerID, gender, tenure, Contract, MonthlyCharges, TotalCharges, ChurnValue from cleaned"))
+def q_a10(spark, sf_dir):
+    return KPI.churn_summary_view(cleaned(spark, sf_dir))
+
+
+@register("d1_total_records", O.with_cleaned("select count(*) as TotalRecords from cleaned"))
+def q_d1(spark, sf_dir):
+    return KPI.row_count(cleaned(spark, sf_dir))
+
+
+@register("d5_churn_counts", O.with_cleaned(
+    "select count(*) filter (where ChurnValue = 1) as ChurnedCustomers, "
+    "count(*) filter (where ChurnValue = 0) as NotChurnedCustomers from cleaned"))
+def q_d5(spark, sf_dir):
+    return KPI.churn_counts(cleaned(spark, sf_dir))
+
+
+@register("d6_churn_rate", O.with_cleaned(
+    "select round(cast(count(*) filter (where ChurnValue = 1) as double) * 100.0e0 / cast(count(*) as double), 2) "
+    "as ChurnRate from cleaned"))
+def q_d6(spark, sf_dir):
+    return KPI.churn_rate(cleaned(spark, sf_dir))
+
+
+@register("d7_customers_by_contract", O.with_cleaned(
+    "select Contract, count(*) as CustomerCount from cleaned group by Contract"))
+def q_d7(spark, sf_dir):
+    return KPI.customers_by_contract(cleaned(spark, sf_dir))
+
+
+@register("d8_churn_by_contract", O.with_cleaned(
+    "select Contract, case when ChurnValue = 1 then 'Churned' else 'Not Churned' end as ChurnStatus, "
+    "count(*) as Customers from cleaned group by Contract, ChurnValue order by Contract"))
+def q_d8(spark, sf_dir):
+    return KPI.churn_by_contract(cleaned(spark, sf_dir))
+
+
+# --- profiling -------------------------------------------------------------------------------------
+
+@register("d11_value_counts_payment", O.with_cleaned(
+    "select PaymentMethod, count(*) as count from cleaned where PaymentMethod is not null "
+    "group by PaymentMethod order by count desc, PaymentMethod"))
+def q_d11(spark, sf_dir):
+    return PR.value_counts(cleaned(spark, sf_dir), "PaymentMethod")
+
+
+@register("d12_churn_shares", O.with_cleaned(
+    "select ChurnValue, count(*) as count, " + O.rint("count(*) * 100.0e0 / sum(count(*)) over ()", 6)
+    + " as percent from cleaned where ChurnValue is not null group by ChurnValue"))
+def q_d12(spark, sf_dir):
+    return PR.value_shares(cleaned(spark, sf_dir), "ChurnValue")
+
+
+def _crosstab_sql(a):
+    return O.with_cleaned(
+        f"select {a}, " + ", ".join(
+            O.rint(f"count(*) filter (where ChurnValue = {v}) * 100.0e0 / count(*)", 6) + f' as "{v}"'
+            for v in (0, 1))
+        + f" from cleaned where {a} is not null and ChurnValue is not null group by {a}")
+
+
+@register("d13_crosstab_contract_churn", _crosstab_sql("Contract"))
+def q_d13(spark, sf_dir):
+    return PR.crosstab_normalized(cleaned(spark, sf_dir), "Contract", "ChurnValue", [0, 1])
+
+
+@register("d13_crosstab_payment_churn", _crosstab_sql("PaymentMethod"))
+def q_d13b(spark, sf_dir):
+    return PR.crosstab_normalized(cleaned(spark, sf_dir), "PaymentMethod", "ChurnValue", [0, 1])
+
+
+@register("d13_crosstab_senior_churn", _crosstab_sql("SeniorCitizen"))
+def q_d13c(spark, sf_dir):
+    return PR.crosstab_normalized(cleaned(spark, sf_dir), "SeniorCitizen", "ChurnValue", [0, 1])
+
+
+@register("d14_mean_charge_by_churn", O.with_cleaned(
+    "select ChurnValue, " + O.rint("avg(MonthlyCharges)", 6) + " as mean_MonthlyCharges, "
+    + O.rint("avg(tenure)", 6) + " as mean_tenure from cleaned where ChurnValue is not null group by ChurnValue"))
+def q_d14(spark, sf_dir):
+    c = cleaned(spark, sf_dir)
+    return PR.group_mean(c, "ChurnValue", "MonthlyCharges").join(
+        PR.group_mean(c, "ChurnValue", "tenure"), "ChurnValue")
+
+
+DESCRIBE_COLS = ["tenure", "MonthlyCharges", "TotalCharges", "ChurnScore", "CLTV"]
+
+
+def _describe_sql():
+    parts = []
+    for c in DESCRIBE_COLS:
+        x = f"cast({c} as double)"
+        parts.append(
+            f"select '{c}' as column_name, count({c}) as count, {O.rint(f'avg({x})', 6)} as mean, "
+            f"{O.rint(f'stddev_samp({x})', 6)} as std, min({x}) as min, "
+            f"{O.rint(f'quantile_cont({x}, 0.25)', 6)} as p25, {O.rint(f'quantile_cont({x}, 0.5)', 6)} as p50, "
+            f"{O.rint(f'quantile_cont({x}, 0.75)', 6)} as p75, max({x}) as max from cleaned")
+    return O.with_cleaned(" union all ".join(parts))
+
+
+@register("d23_describe_numeric", _describe_sql())
+def q_d23(spark, sf_dir):
+    return PR.describe_numeric(cleaned(spark, sf_dir), DESCRIBE_COLS)
+
+
+TEXT_COLS = ["gender", "Contract", "PaymentMethod", "InternetService", "City"]
+
+
+@register("d24_describe_text", O.with_cleaned(" union all ".join(
+    f"(select '{c}' as column_name, cast(sum(f) as bigint) as count, count(*) as \"unique\", "
+    f"first({c} order by f desc, {c}) as top, max(f) as freq from "
+    f"(select {c}, count(*) as f from cleaned where {c} is not null group by {c}))"
+    for c in TEXT_COLS)))
+def q_d24(spark, sf_dir):
+    return PR.describe_text(cleaned(spark, sf_dir), TEXT_COLS)
+
+
+@register("d25_correlation_matrix", O.with_cleaned(" union all ".join(
+    f"select '{a}' as x, '{b}' as y, {O.rint(f'corr(cast({a} as double), cast({b} as double))', 6)} as corr from cleaned"
+    for a in DESCRIBE_COLS for b in DESCRIBE_COLS)))
+def q_d25(spark, sf_dir):
+    return PR.correlation_matrix(cleaned(spark, sf_dir), DESCRIBE_COLS)
+
+
+@register("d26_histogram_monthly", O.with_cleaned("""
+, r as (select min(MonthlyCharges) as lo, max(MonthlyCharges) as hi from cleaned),
+h as (select case when r.hi = r.lo then 0 else least(cast(floor((MonthlyCharges - r.lo) / ((r.hi - r.lo) / 10.0e0)) as integer), 9) end as bin,
+             r.lo, r.hi from cleaned, r where MonthlyCharges is not null)
+select bin, """ + O.rint("any_value(lo) + bin * ((any_value(hi) - any_value(lo)) / 10.0e0)", 6) + """ as bin_start,
+       """ + O.rint("any_value(lo) + (bin + 1) * ((any_value(hi) - any_value(lo)) / 10.0e0)", 6) + """ as bin_end,
+       count(*) as count from h group by bin""").replace("\nselect 1", ""))
+def q_d26(spark, sf_dir):
+    return PR.histogram(cleaned(spark, sf_dir), "MonthlyCharges", 10)
+
+
+def _box_sql(c, by):
+    g = f"{by}, " if by else ""
+    gw = f"group by {by}" if by else ""
+    j = f"using ({by})" if by else "on true"
+    nn = f" and {by} is not null" if by else ""
+    return O.with_cleaned(f"""
+, b as (select {g}cast({c} as double) as v from cleaned where {c} is not null{nn}),
+q as (select {g}count(*) as n, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as median,
+             quantile_cont(v, 0.75) as q3 from b {gw}),
+l as (select *, q1 - 1.5e0 * (q3 - q1) as lo_fence, q3 + 1.5e0 * (q3 - q1) as hi_fence from q)
+select {g}any_value(n) as n, {O.rint('any_value(q1)', 6)} as q1, {O.rint('any_value(median)', 6)} as median,
+       {O.rint('any_value(q3)', 6)} as q3,
+       {O.rint('min(case when v >= lo_fence and v <= hi_fence then v end)', 6)} as whisker_low,
+       {O.rint('max(case when v >= lo_fence and v <= hi_fence then v end)', 6)} as whisker_high,
+       count(*) filter (where not (v >= lo_fence and v <= hi_fence)) as outliers
+from b join l {j} {gw}""".replace("\nselect 1", ""))
+
+
+@register("d27_box_tenure_by_churn", _box_sql("tenure", "ChurnValue"))
+def q_d27(spark, sf_dir):
+    return PR.box_stats(cleaned(spark, sf_dir), "tenure", "ChurnValue")
+
+
+@register("d27_box_monthly", _box_sql("MonthlyCharges", None))
+def q_d27b(spark, sf_dir):
+    return PR.box_stats(cleaned(spark, sf_dir), "MonthlyCharges")
+
+
+@register("d28_count_payment_by_churn", O.with_cleaned(
+    "select PaymentMethod, ChurnValue, count(*) as count from cleaned "
+    "where PaymentMethod is not null and ChurnValue is not null group by PaymentMethod, ChurnValue"))
+def q_d28(spark, sf_dir):
+    return PR.count_by(cleaned(spark, sf_dir), "PaymentMethod", "ChurnValue")
+
+
+@register("d29_scatter_bins", O.with_cleaned(
+    "select cast(floor(tenure / 6.0e0) as bigint) as x_bin, cast(floor(MonthlyCharges / 10.0e0) as bigint) as y_bin, "
+    "ChurnValue, count(*) as count from cleaned where tenure is not null and MonthlyCharges is not null "
+    "group by all"))
+def q_d29(spark, sf_dir):
+    return PR.scatter_bins(cleaned(spark, sf_dir), "tenure", "MonthlyCharges", "ChurnValue", 6.0, 10.0)
+
+
+# --- features and scorecard ------------------------------------------------------------------------
+
+from churnkit import constants as K  # noqa: E402
+
+
+@register("i2_feature_frame", O.with_scored(
+    "select row_no, customerID, " + ", ".join(O.ident(f) for f in K.FEATURE_COLUMNS) + " from features"))
+def q_i2(spark, sf_dir):
+    return feature_frame(cleaned(spark, sf_dir))
+
+
+@register("i13_scorecard", O.with_scored("select row_no, customerID, churn_probability from scored"))
+def q_i13(spark, sf_dir):
+    return scored(spark, sf_dir).select("row_no", "customerID", "churn_probability")
+
+
+@register("i24_bulk_results", O.with_results(
+    'select row_no, "Customer ID", "Churn Probability", "Prediction", "Risk Level", "Monthly Charges", '
+    '"Tenure", "Contract", "Recommendation" from results'))
+def q_i24(spark, sf_dir):
+    return S.bulk_results(scored(spark, sf_dir))
+
+
+@register("d21_console_kpis", O.with_results(f"""
+select count(*) as total_customers, count(*) filter (where "Prediction" = 'Likely to Churn') as predicted_churners,
+  {O.rint("count(*) filter (where \"Prediction\" = 'Likely to Churn') / count(*) * 100.0e0", 1)} as churn_rate,
+  {O.rint('avg("Churn Probability")', 1)} as avg_churn_probability,
+  count(*) filter (where "Risk Level" = 'High Risk') as high_risk_count,
+  count(*) filter (where "Risk Level" = 'Medium Risk') as medium_risk_count,
+  count(*) filter (where "Risk Level" = 'Low Risk') as low_risk_count,
+  {O.rint("count(*) filter (where \"Risk Level\" = 'High Risk') / count(*) * 100.0e0", 1)} as high_risk_pct,
+  {O.rint("count(*) filter (where \"Risk Level\" = 'Medium Risk') / count(*) * 100.0e0", 1)} as medium_risk_pct,
+  {O.rint("count(*) filter (where \"Risk Level\" = 'Low Risk') / count(*) * 100.0e0", 1)} as low_risk_pct,
+  {O.rint('avg("Monthly Charges")', 2)} as avg_monthly_charges,
+  {O.rint('avg("Tenure")', 1)} as avg_tenure,
+  {O.rint("coalesce(sum(case when \"Risk Level\" in ('High Risk', 'Medium Risk') then \"Monthly Charges\" end), 0.0e0)", 2)} as at_risk_revenue,
+  count(*) filter (where "Risk Level" in ('High Risk', 'Medium Risk')) as customers_at_risk,
+  count(*) filter (where "Prediction" <> 'Likely to Churn') as likely_to_stay,
+  {O.rint("count(*) filter (where \"Prediction\" <> 'Likely to Churn') / count(*) * 100.0e0", 1)} as likely_to_stay_pct
+from results having count(*) > 0"""))
+def q_d21(spark, sf_dir):
+    return S.console_kpis(S.bulk_results(scored(spark, sf_dir)))
+
+
+def _display_sql(order):
+    return O.with_console(f"""
+select row_no, customerID as id, {O.rint('churn_probability * 100.0e0', 1)} as probability_pct,
+  case when churn_probability >= 0.5e0 then 'Likely to Churn' else 'Likely to Stay' end as prediction,
+  risk_level, cast(least(5.0e0, greatest(1.0e0, round_even((1.0e0 - churn_probability) * 5.0e0, 0))) as integer) as signal_bars,
+  {O.rint('MonthlyCharges', 2)} as monthly_charges, tenure, Contract as contract,
+  array_to_string(plan, '|') as recommendations
+from console order by {order}, row_no limit {K.MAX_DISPLAY_ROWS}""")
+
+
+@register("f3_display_by_probability", _display_sql("probability_pct desc"))
+def q_f3a(spark, sf_dir):
+    return S.display_records(scored(spark, sf_dir), "probability")
+
+
+@register("f3_display_by_charges", _display_sql("monthly_charges desc"))
+def q_f3b(spark, sf_dir):
+    return S.display_records(scored(spark, sf_dir), "charges")
+
+
+@register("f3_display_by_tenure", _display_sql("tenure asc"))
+def q_f3c(spark, sf_dir):
+    return S.display_records(scored(spark, sf_dir), "tenure")
+
+
+# --- linear attribution (SQL form) ---------------------------------------------------------------------
+
+def _means_cte():
+    return "bg as (select " + ", ".join(
+        f"{O.rint(f'avg({O.ident(f)})', 6)} as m{i}" for i, f in enumerate(K.FEATURE_COLUMNS)) + " from scored)"
+
+
+def _contrib_cte(src):
+    parts = []
+    for i, f in enumerate(K.FEATURE_COLUMNS):
+        w = O.dbl(K.SCORECARD_WEIGHTS.get(f, 0.0))
+        parts.append(f"select row_no, {i} as pos, '{f}' as feature, cast({O.ident(f)} as double) as value, "
+                     f"{w} * (cast({O.ident(f)} as double) - bg.m{i}) as phi from {src}, bg")
+    return "contrib as (" + " union all ".join(parts) + ")"
+
+
+_names_case = "case feature " + " ".join(f"when {O.q(k)} then {O.q(v)}" for k, v in K.DRIVER_NAMES.items()) + \
+    " else replace(feature, '_', ' ') end"
+_numeric_in = ", ".join(O.q(x) for x in K.DRIVER_NUMERIC)
+
+
+@register("f4_top_risk", O.with_console(f"""
+select t.row_no, customerID as id, {O.rint('churn_probability * 100.0e0', 1)} as probability_pct, risk_level,
+  cast(least(5.0e0, greatest(1.0e0, round_even((1.0e0 - churn_probability) * 5.0e0, 0))) as integer) as signal_bars,
+  {O.rint('MonthlyCharges', 2)} as monthly_charges, tenure, Contract as contract, InternetService as internet_service,
+  PaymentMethod as payment_method, d.top_drivers, array_to_string(plan, '|') as recommendations
+from top t left join (
+  select row_no, string_agg(name, '|' order by rn) as top_drivers from (
+    select row_no, {_names_case} as name,
+           row_number() over (partition by row_no order by phi desc, pos) as rn
+    from contrib where phi > 0 and (feature in ({_numeric_in}) or value = 1.0e0))
+  where rn <= {K.TOP_DRIVERS} group by row_no) d on d.row_no = t.row_no""",
+    f"top as (select * from console order by churn_probability desc, row_no limit {K.TOP_N_WITH_DRIVERS})",
+    _means_cte(), _contrib_cte("top")))
+def q_f4(spark, sf_dir):
+    return S.top_risk_records(scored(spark, sf_dir))
+
+
+@register("i19_global_importance", O.with_scored(
+    f"select feature as Feature, {O.rint('avg(abs(phi))', 6)} as Importance from contrib group by feature",
+    _means_cte(), _contrib_cte("scored")))
+def q_i19(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return X.global_importance(s, s)
+
+
+@register("i20_dependence_monthly", O.with_scored(
+    f"select row_no, value, {O.rint('phi', 6)} as phi from contrib where feature = 'Monthly Charges'",
+    _means_cte(), _contrib_cte("scored")))
+def q_i20(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return (X.attribution_long(s, s).where(F.col("feature") == "Monthly Charges")
+            .select("row_no", "value", "phi"))
+
+
+@register("i22_expected_value", O.with_scored(
+    "select " + O.rint("(" + O.dbl(K.SCORECARD_INTERCEPT) + "".join(
+        f" + {O.dbl(K.SCORECARD_WEIGHTS.get(f, 0.0))} * m{i}" for i, f in enumerate(K.FEATURE_COLUMNS)) + ")", 6)
+    + " as base_margin, " + O.rint("1.0e0 / (1.0e0 + exp(-(" + O.dbl(K.SCORECARD_INTERCEPT) + "".join(
+        f" + {O.dbl(K.SCORECARD_WEIGHTS.get(f, 0.0))} * m{i}" for i, f in enumerate(K.FEATURE_COLUMNS)) + ")))", 6)
+    + " as base_probability from bg", _means_cte()))
+def q_i22(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return X.expected_value(s)
+
+
+# --- campaign ---------------------------------------------------------------------------------------
+
+@register("h8_campaign_frame", O.with_campaign(
+    "select row_no, Churn_Probability, Risk_Segment, Retention_Recommendation, Potential_Revenue_Saved "
+    "from campaign"))
+def q_h8(spark, sf_dir):
+    return campaign(spark, sf_dir).select("row_no", "Churn_Probability", "Risk_Segment",
+                                          "Retention_Recommendation", "Potential_Revenue_Saved")
+
+
+@register("d15_segment_summary", O.with_campaign(
+    f"select Risk_Segment, {O.rint('avg(Churn_Probability)', 2)} as Churn_Probability, "
+    f"{O.rint('avg(\"Monthly Charges\")', 2)} as \"Monthly Charges\", "
+    f"{O.rint('avg(\"Total Charges\")', 2)} as \"Total Charges\" from campaign group by Risk_Segment"))
+def q_d15(spark, sf_dir):
+    return S.segment_summary(campaign(spark, sf_dir))
+
+
+@register("d11_segment_counts", O.with_campaign(
+    "select Risk_Segment, count(*) as count from campaign where Risk_Segment is not null "
+    "group by Risk_Segment order by count desc, Risk_Segment"))
+def q_d11b(spark, sf_dir):
+    return PR.value_counts(campaign(spark, sf_dir), "Risk_Segment")
+
+
+@register("d16_revenue_by_segment", O.with_campaign(
+    f"select Risk_Segment, {O.rint('sum(\"Monthly Charges\")', 6)} as \"Monthly Charges\" "
+    f"from campaign group by Risk_Segment"))
+def q_d16(spark, sf_dir):
+    return S.revenue_by_segment(campaign(spark, sf_dir))
+
+
+@register("d18_churn_rate_by_segment", O.with_campaign(
+    f"select Risk_Segment, {O.rint('avg(ChurnValue) * 100.0e0', 6)} as Churn_Rate from campaign group by Risk_Segment"))
+def q_d18(spark, sf_dir):
+    return S.churn_rate_by_segment(campaign(spark, sf_dir))
+
+
+@register("d17_retention_summary", O.with_campaign(
+    f"select Retention_Recommendation, count(Risk_Segment) as Customer_Count, "
+    f"{O.rint('avg(Churn_Probability)', 6)} as Avg_Churn_Probability, "
+    f"{O.rint('avg(\"Monthly Charges\")', 6)} as Avg_Monthly_Charges, "
+    f"{O.rint('sum(Potential_Revenue_Saved)', 6)} as Revenue_Saved from campaign group by Retention_Recommendation"))
+def q_d17(spark, sf_dir):
+    return S.retention_summary(campaign(spark, sf_dir))
+
+
+@register("d11_strategy_distribution", O.with_campaign(
+    "select Retention_Recommendation as Strategy, count(*) as Customer_Count from campaign "
+    "group by Retention_Recommendation order by Customer_Count desc, Strategy"))
+def q_d11c(spark, sf_dir):
+    return S.strategy_distribution(campaign(spark, sf_dir))
+
+
+@register("d16_revenue_saved_by_strategy", O.with_campaign(
+    f"select Retention_Recommendation, {O.rint('sum(Potential_Revenue_Saved)', 6)} as Potential_Revenue_Saved "
+    f"from campaign group by Retention_Recommendation"))
+def q_d16b(spark, sf_dir):
+    return S.revenue_saved_by_strategy(campaign(spark, sf_dir))
+
+
+@register("d20_campaign_kpis", O.with_campaign(f"""
+select count(*) as total_customers, count(*) filter (where Risk_Segment = 'High Risk') as high_risk_customers,
+  {O.rint('sum(Potential_Revenue_Saved)', 2)} as total_potential_revenue_saved,
+  {O.rint('avg(Churn_Probability)', 4)} as avg_churn_probability,
+  (select Retention_Recommendation from campaign group by Retention_Recommendation
+   order by count(*) desc, Retention_Recommendation limit 1) as most_common_strategy
+from campaign"""))
+def q_d20(spark, sf_dir):
+    return S.campaign_kpis(campaign(spark, sf_dir))
+
+
+@register("d19_most_common_contract", O.with_cleaned(
+    "select (select Contract from cleaned where Contract is not null group by Contract "
+    "order by count(*) desc, Contract limit 1) as mode"))
+def q_d19(spark, sf_dir):
+    return PR.most_frequent(cleaned(spark, sf_dir), "Contract")
+
+
+@register("c3_segment_actions", O.with_campaign("""
+, a as (select * from (values ('High Risk', 'Immediate Retention Call'), ('Medium Risk', 'Offer Discount / Promotion'),
+                              ('Low Risk', 'Regular Monitoring')) t(Risk_Segment, "Recommended Action"))
+select c.Risk_Segment, a."Recommended Action", count(*) as Customers
+from campaign c left join a using (Risk_Segment) group by all""".replace("\n, a as", "a as", 0)))
+def q_c3(spark, sf_dir):
+    camp = S.with_segment_action(campaign(spark, sf_dir), spark)
+    return camp.groupBy("Risk_Segment", "Recommended Action").agg(F.count(F.lit(1)).alias("Customers"))
+
+
+@register("c1_dashboard_master", O.with_campaign("""
+select c.row_no, c.customerID, c.Contract, c.MonthlyCharges, c.ChurnValue, m.Churn_Probability, m.Risk_Segment,
+  m.Retention_Recommendation, m.Potential_Revenue_Saved,
+  cast(coalesce(m.Churn_Probability >= 0.5e0, false) as integer) as Predicted_Churn
+from cleaned c left join (select customerID, Churn_Probability, Risk_Segment, Retention_Recommendation,
+  Potential_Revenue_Saved from campaign where customerID in
+  (select customerID from campaign group by customerID having count(*) = 1)) m using (customerID)"""))
+def q_c1(spark, sf_dir):
+    base = cleaned(spark, sf_dir)
+    camp = campaign(spark, sf_dir)
+    # Join on the key only where it is unique; duplicated keys get no match
+    unique = camp.groupBy("customerID").agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").select("customerID")
+    out = S.dashboard_master(base, camp.join(unique, "customerID", "left_semi"))
+    return out.select("row_no", "customerID", "Contract", "MonthlyCharges", "ChurnValue", "Churn_Probability",
+                      "Risk_Segment", "Retention_Recommendation", "Potential_Revenue_Saved", "Predicted_Churn")
+
+
+@register("c1_key_uniqueness", O.with_cleaned(
+    "select cast(sum(c) as bigint) as rows, count(*) as distinct_keys, max(c) <= 1 as is_unique "
+    "from (select customerID, count(*) as c from cleaned group by customerID)"))
+def q_c1b(spark, sf_dir):
+    return S.key_uniqueness(cleaned(spark, sf_dir))

@@ -70,3 +70,100 @@ def with_cleaned(select_sql: str, *extra_ctes: str) -> str:
 def with_raw(select_sql: str, *extra_ctes: str) -> str:
     ctes = [f"accounts_raw as ({accounts_sql()})", *extra_ctes]
     return "with " + ",\n".join(ctes) + "\n" + select_sql
+
+
+# --- features, scorecard, console fields ----------------------------------------
+
+def _flag_sql(src: str, value) -> str:
+    v = str(value) if isinstance(value, int) else q(value)
+    return f"case when {src} = {v} then 1 else 0 end"
+
+
+FEATURES_CTE = "features as (\n  select *,\n    " + ",\n    ".join(
+    [f"cast({src} as double) as {ident(feat)}" for feat, src in K.NUMERIC_FEATURES]
+    + [f"{_flag_sql(src, v)} as {ident(feat)}" for feat, src, v in K.FLAG_FEATURES]) + "\n  from cleaned)"
+
+
+def margin_sql(weights=K.SCORECARD_WEIGHTS, intercept=K.SCORECARD_INTERCEPT) -> str:
+    z = dbl(intercept)
+    for f in K.FEATURE_COLUMNS:
+        z += f" + {dbl(weights.get(f, 0.0))} * {ident(f)}"
+    return z
+
+
+def rint(x: str, k: int) -> str:
+    s = dbl(10.0 ** k)
+    return f"(round_even(({x}) * {s}, 0) / {s})"
+
+
+SCORED_CTE = (f"scored as (\n  select *, least(greatest({rint('1.0e0 / (1.0e0 + exp(-(' + margin_sql() + ')))', 6)}, "
+              f"0.0e0), 1.0e0) as churn_probability\n  from features)")
+
+_counted = [
+    ("Contract = 'Month-to-month'", K.PLAN_CONTRACT),
+    (f"MonthlyCharges >= {K.PLAN_HIGH_CHARGE}", K.PLAN_PRICING),
+    ("TechSupport = 'No' and InternetService <> 'No'", K.PLAN_SUPPORT),
+    ("OnlineSecurity = 'No' and InternetService <> 'No'", K.PLAN_SECURITY),
+    (f"tenure >= {K.PLAN_LOYAL_TENURE} and churn_probability >= 0.5e0", K.PLAN_LOYAL),
+    (f"InternetService = 'Fiber optic' and MonthlyCharges >= {K.PLAN_FIBER_CHARGE} and risk_level = 'High Risk'",
+     K.PLAN_FIBER),
+    ("PaymentMethod = 'Electronic check'", K.PLAN_AUTOPAY),
+]
+_items = ", ".join(f"case when {c} then {q(t)} end" for c, t in _counted) + \
+    f", case when PaperlessBilling = 'Yes' and risk_level in ('Medium Risk', 'High Risk') then {q(K.PLAN_DIGITAL)} end"
+_issues = " + ".join(f"(case when {c} then 1 else 0 end)" for c, _ in _counted)
+
+CONSOLE_CTES = [
+    "console0 as (select *, case when churn_probability < 0.3e0 then 'Low Risk' "
+    "when churn_probability < 0.6e0 then 'Medium Risk' else 'High Risk' end as risk_level from scored)",
+    f"console1 as (select *, list_concat(case when ({_issues}) >= 3 then [{q(K.PLAN_PRIORITY)}] "
+    f"else []::varchar[] end, list_filter([{_items}], lambda x: x is not null)) as plan0 from console0)",
+    f"console as (select * exclude (plan0), (case when len(plan0) = 0 then "
+    f"[case when risk_level = 'Low Risk' then {q(K.PLAN_LOW_FALLBACK)} else {q(K.PLAN_OTHER_FALLBACK)} end] "
+    f"else plan0 end)[1:4] as plan from console1)",
+]
+
+RESULTS_CTE = f"""results as (
+  select row_no, customerID as "Customer ID", {rint('churn_probability * 100.0e0', 1)} as "Churn Probability",
+         case when churn_probability >= 0.5e0 then 'Likely to Churn' else 'Likely to Stay' end as "Prediction",
+         risk_level as "Risk Level", {rint('MonthlyCharges', 2)} as "Monthly Charges", tenure as "Tenure",
+         Contract as "Contract", coalesce(plan[1], 'Monitor account.') as "Recommendation"
+  from console)"""
+
+_camp_rec = f"""case when Risk_Segment = 'High Risk' then
+      case when "Monthly Charges" > {K.CAMPAIGN_HIGH_CHARGE} then {q(K.REC_HIGH_DISCOUNT)}
+           when "Tenure Months" < {K.CAMPAIGN_NEW_TENURE} then {q(K.REC_HIGH_WELCOME)}
+           when "Online Security_Yes" = 0 then {q(K.REC_HIGH_SECURITY)}
+           when "Tech Support_Yes" = 0 then {q(K.REC_HIGH_SUPPORT)}
+           when "Contract_One year" = 0 and "Contract_Two year" = 0 then {q(K.REC_HIGH_CONTRACT)}
+           else {q(K.REC_HIGH_CALL)} end
+    when Risk_Segment = 'Medium Risk' then
+      case when "Monthly Charges" > {K.CAMPAIGN_HIGH_CHARGE} then {q(K.REC_MED_DISCOUNT)}
+           when "Online Security_Yes" = 0 then {q(K.REC_MED_SECURITY)}
+           else {q(K.REC_MED_LOYALTY)} end
+    else case when CLTV > {K.CAMPAIGN_VIP_CLTV} then {q(K.REC_LOW_VIP)} else {q(K.REC_LOW_STANDARD)} end end"""
+
+CAMPAIGN_CTES = [
+    "campaign0 as (select * exclude (churn_probability), churn_probability as Churn_Probability, "
+    "case when churn_probability >= 0.8e0 "
+    "then 'High Risk' when churn_probability >= 0.5e0 then 'Medium Risk' else 'Low Risk' end as Risk_Segment "
+    "from scored)",
+    f"campaign as (select *, {_camp_rec} as Retention_Recommendation, \"Monthly Charges\" * 12.0e0 "
+    f"as Potential_Revenue_Saved from campaign0)",
+]
+
+
+def with_scored(select_sql: str, *extra: str) -> str:
+    return with_cleaned(select_sql, FEATURES_CTE, SCORED_CTE, *extra)
+
+
+def with_console(select_sql: str, *extra: str) -> str:
+    return with_scored(select_sql, *CONSOLE_CTES, *extra)
+
+
+def with_results(select_sql: str, *extra: str) -> str:
+    return with_console(select_sql, RESULTS_CTE, *extra)
+
+
+def with_campaign(select_sql: str, *extra: str) -> str:
+    return with_scored(select_sql, *CAMPAIGN_CTES, *extra)
