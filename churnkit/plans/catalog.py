@@ -603,3 +603,142 @@ def q_c1(spark, sf_dir):
     "from (select customerID, count(*) as c from cleaned group by customerID)"))
 def q_c1b(spark, sf_dir):
     return S.key_uniqueness(cleaned(spark, sf_dir))
+
+
+# --- split and evaluation ----------------------------------------------------------------------
+
+from churnkit.operators import evaluate as EV  # noqa: E402
+
+SPLIT_CTES = [
+    "sp as (select *, md5(concat_ws('|', customerID, cast(row_no as varchar), '42')) as h "
+    "from scored where ChurnValue is not null)",
+    "sp2 as (select *, row_number() over (partition by ChurnValue order by h, row_no) as rk, "
+    "count(*) over (partition by ChurnValue) as n from sp)",
+    "splitted as (select *, case when rk <= round(0.2e0 * n) then 'test' else 'train' end as split from sp2)",
+    "ev as (select row_no, ChurnValue as label, churn_probability as score, "
+    "case when churn_probability >= 0.5e0 then 1 else 0 end as prediction from splitted where split = 'test')",
+]
+
+
+def with_eval(select_sql):
+    return O.with_scored(select_sql, *SPLIT_CTES)
+
+
+def split_scored(spark, sf_dir):
+    return EV.stratified_split(scored(spark, sf_dir))
+
+
+def test_scores(spark, sf_dir):
+    return (split_scored(spark, sf_dir).where(F.col("split") == "test")
+            .select("row_no", F.col("ChurnValue").alias("label"), F.col("churn_probability").alias("score"),
+                    (F.col("churn_probability") >= K.CHURN_CUTOFF).cast("int").alias("prediction")))
+
+
+@register("i4_stratified_split", with_eval("select row_no, customerID, ChurnValue, split from splitted"))
+def q_i4(spark, sf_dir):
+    return split_scored(spark, sf_dir).select("row_no", "customerID", "ChurnValue", "split")
+
+
+@register("i4_split_sizes", with_eval("select split, ChurnValue, count(*) as rows from splitted group by all"))
+def q_i4b(spark, sf_dir):
+    return EV.split_sizes(split_scored(spark, sf_dir))
+
+
+def _r(x):
+    return O.rint(x, 6)
+
+
+_tp = "count(*) filter (where label = 1 and prediction = 1)"
+_tn = "count(*) filter (where label = 0 and prediction = 0)"
+_fp = "count(*) filter (where label = 0 and prediction = 1)"
+_fn = "count(*) filter (where label = 1 and prediction = 0)"
+
+
+def _div(a, b):
+    return f"coalesce(cast({a} as double) / nullif(cast({b} as double), 0), 0.0e0)"
+
+
+@register("i10_scorecard_metrics", with_eval(
+    f"select {_r(_div(f'{_tp} + {_tn}', 'count(*)'))} as accuracy, {_r(_div(_tp, f'{_tp} + {_fp}'))} as precision, "
+    f"{_r(_div(_tp, f'{_tp} + {_fn}'))} as recall, {_r(_div(f'2 * {_tp}', f'2 * {_tp} + {_fp} + {_fn}'))} as f1 from ev"))
+def q_i10(spark, sf_dir):
+    return EV.binary_metrics(test_scores(spark, sf_dir))
+
+
+@register("i11_confusion_matrix", with_eval(
+    "select a.actual, a.predicted, count(ev.row_no) as count from "
+    "(select * from (values (0, 0), (0, 1), (1, 0), (1, 1)) t(actual, predicted)) a "
+    "left join ev on ev.label = a.actual and ev.prediction = a.predicted group by all"))
+def q_i11(spark, sf_dir):
+    return EV.confusion_matrix(test_scores(spark, sf_dir))
+
+
+@register("i12_classification_report", with_eval(f"""
+, cm as (select {_tp} as tp, {_tn} as tn, {_fp} as fp, {_fn} as fn from ev),
+m as (select *, {_div('tp', 'tp + fp')} as p1, {_div('tp', 'tp + fn')} as r1, {_div('2 * tp', '2 * tp + fp + fn')} as f1,
+             {_div('tn', 'tn + fn')} as p0, {_div('tn', 'tn + fp')} as r0, {_div('2 * tn', '2 * tn + fn + fp')} as f0,
+             cast(tp + fn as double) as s1, cast(tn + fp as double) as s0 from cm)
+select '0' as class, {_r('p0')} as precision, {_r('r0')} as recall, {_r('f0')} as f1_score, cast(s0 as bigint) as support from m
+union all select '1', {_r('p1')}, {_r('r1')}, {_r('f1')}, cast(s1 as bigint) from m
+union all select 'accuracy', null, null, {_r(_div('tp + tn', 's0 + s1'))}, cast(s0 + s1 as bigint) from m
+union all select 'macro avg', {_r('(p0 + p1) / 2')}, {_r('(r0 + r1) / 2')}, {_r('(f0 + f1) / 2')}, cast(s0 + s1 as bigint) from m
+union all select 'weighted avg', {_r(_div('p0 * s0 + p1 * s1', 's0 + s1'))}, {_r(_div('r0 * s0 + r1 * s1', 's0 + s1'))},
+  {_r(_div('f0 * s0 + f1 * s1', 's0 + s1'))}, cast(s0 + s1 as bigint) from m"""))
+def q_i12(spark, sf_dir):
+    return EV.classification_report(test_scores(spark, sf_dir))
+
+
+@register("i14_roc_auc", with_eval(f"""
+, s as (select score, count(*) filter (where label = 1) as pos, count(*) filter (where label <> 1) as neg
+        from ev where score is not null and label is not null group by score),
+c as (select *, sum(neg) over (order by score rows between unbounded preceding and current row) - neg as neg_below from s)
+select {_r('sum(pos * (neg_below + neg * 0.5e0)) / (cast(sum(pos) as double) * sum(neg))')} as roc_auc from c"""))
+def q_i14(spark, sf_dir):
+    return EV.roc_auc(test_scores(spark, sf_dir))
+
+
+_CUM_DESC = f"""
+, s as (select score, count(*) filter (where label = 1) as pos, count(*) filter (where label <> 1) as neg
+        from ev where score is not null and label is not null group by score),
+c as (select *, sum(pos) over (order by score desc rows between unbounded preceding and current row) as tps,
+             sum(neg) over (order by score desc rows between unbounded preceding and current row) as fps,
+             sum(pos) over () as P, sum(neg) over () as N from s)"""
+
+
+@register("i15_roc_curve", with_eval(_CUM_DESC + f"""
+select null::double as threshold, 0.0e0 as fpr, 0.0e0 as tpr
+union all select score, {_r('cast(fps as double) / N')}, {_r('cast(tps as double) / P')} from c"""))
+def q_i15(spark, sf_dir):
+    return EV.roc_curve(test_scores(spark, sf_dir))
+
+
+@register("pr_curve", with_eval(_CUM_DESC + f"""
+select score as threshold, {_r('cast(tps as double) / (tps + fps)')} as precision, {_r('cast(tps as double) / P')} as recall from c"""))
+def q_pr(spark, sf_dir):
+    return EV.precision_recall_curve(test_scores(spark, sf_dir))
+
+
+# --- trained models (rows-only: training is not SQL) --------------------------------------------------
+
+from churnkit.operators import models as MD  # noqa: E402
+
+
+def _train_test(spark, sf_dir):
+    sp = split_scored(spark, sf_dir)
+    return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+
+
+def _model_metrics(name, **kw):
+    def job(spark, sf_dir):
+        train, test = _train_test(spark, sf_dir)
+        n = train.count() if name == "logistic_regression" else None
+        model = MD.fit(train, name, n_train=n, **kw) if name == "logistic_regression" else MD.fit(train, name, **kw)
+        return MD.evaluate_model(model, test).select(F.lit(MD.DISPLAY_NAMES[name]).alias("Model"), "*")
+    return job
+
+
+register("i5_logistic_regression")(_model_metrics("logistic_regression"))
+register("i6_random_forest")(_model_metrics("random_forest", num_trees=50))
+register("i7_gradient_boosting")(_model_metrics("gradient_boosting"))
+register("i8_gradient_boosting_fast")(_model_metrics("gradient_boosting_fast"))
+register("decision_tree")(_model_metrics("decision_tree"))
