@@ -75,7 +75,9 @@ def fill_customer_ids(df: DataFrame, order_col: str = "row_no", mode: str = "ord
     cid = F.coalesce(F.col("customerID").cast("string"), F.lit(""))
     blank = F.trim(cid) == ""
     if mode == "hash":
-        gen = F.concat(F.lit("ROW-"), F.substring(F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns if c != "customerID"])), 256), 1, 16))
+        # batch-independent: a hash of the record's own business fields
+        fields = [F.col(c) for c in df.columns if c not in ("customerID", order_col)]
+        gen = F.concat(F.lit("ROW-"), F.substring(F.sha2(F.to_json(F.struct(*fields)), 256), 1, 16))
         return df.withColumn("customerID", F.when(blank, gen).otherwise(cid))
     flagged = df.withColumn("__blank", blank.cast("long"))
     ranked = ordinal.running_sum(

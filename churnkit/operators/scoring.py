@@ -161,7 +161,10 @@ def single_prediction(spark: SparkSession, record: dict, frozen_monthly_median:
     if err:
         raise PreprocessingError(err)
     df = df.withColumn("row_no", F.lit(0).cast("long"))
-    scored = with_console_fields(score(clean_accounts(df, frozen_monthly_median=frozen_monthly_median)))
+    if "customerID" not in rec or not (rec["customerID"] or "").strip():
+        df = df.withColumn("customerID", F.lit("ROW-1"))   # the only record is the first blank
+    scored = with_console_fields(score(clean_accounts(df, id_mode="hash",
+                                                      frozen_monthly_median=frozen_monthly_median)))
     return scored.select(
         F.col("customerID"), F.col(P).alias("probability"),
         R.probability_percent(P).alias("probability_pct"),
