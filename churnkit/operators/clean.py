@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from churnkit import constants as K
+from churnkit.functions.cache import session_cached
 from churnkit.functions.numeric import parse_number
 from churnkit.operators import ordinal
 
@@ -272,9 +273,9 @@ def clean_accounts(df: DataFrame, id_mode: str = "ordinal", median_mode: str = "
     df = df.withColumn("TotalCharges", F.coalesce(
         parse_number("TotalCharges") if "TotalCharges" in df.columns else F.lit(None).cast("double"),
         F.col("tenure") * F.col("MonthlyCharges")))
-    df = df.withColumns({c: yes_no(c) for c in K.YES_NO_COLUMNS})
-    df = df.withColumns({c: category_default(c, d) for c, d in K.CATEGORY_DEFAULTS.items()})
-    return df
+    return df.withColumns(session_cached("categories", lambda: {
+        **{c: yes_no(c) for c in K.YES_NO_COLUMNS},
+        **{c: category_default(c, d) for c, d in K.CATEGORY_DEFAULTS.items()}}))
 
 
 def clean_for_analysis(df: DataFrame) -> DataFrame:

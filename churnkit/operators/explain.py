@@ -91,13 +91,14 @@ def global_importance(df: DataFrame, background: DataFrame, decimals: int = 6) -
             .orderBy(F.desc("Importance"), F.asc("Feature")))
 
 
-def waterfall(df: DataFrame, background: DataFrame, row_no: int, decimals: int = 6,
+def waterfall(df: DataFrame, background: DataFrame, row_no, decimals: int = 6,
               weights: dict[str, float] = K.SCORECARD_WEIGHTS,
               intercept: float = K.SCORECARD_INTERCEPT) -> DataFrame:
     """One customer's contributions by size with the running margin
     from the base value (30 rows; the running sum is over one customer)."""
     from pyspark.sql import Window
-    one = df.where(F.col("row_no") == F.lit(row_no))
+    target = row_no if hasattr(row_no, "_jc") else F.lit(row_no)
+    one = df.where(F.col("row_no") == target)
     base = expected_value(background, weights, intercept).select("base_margin").scalar()
     long = one.select("row_no", F.explode(contributions(one, background)).alias("c")).select(
         "row_no", F.col("c.pos").alias("pos"), F.col("c.feature").alias("feature"),

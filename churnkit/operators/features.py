@@ -13,20 +13,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnkit import constants as K
+from churnkit.functions.cache import session_cached
 
 
 def feature_columns() -> list[str]:
     return list(K.FEATURE_COLUMNS)
 
 
-def add_features(cleaned: DataFrame) -> DataFrame:
-    """Append the fixed 30 features; unknown category values give zeros."""
+def _feature_exprs() -> dict:
     cols = {}
     for feat, src in K.NUMERIC_FEATURES:
         cols[feat] = F.coalesce(F.col(src).cast("double"), F.lit(0.0))
     for feat, src, value in K.FLAG_FEATURES:
         cols[feat] = F.when(F.col(src) == F.lit(value), F.lit(1)).otherwise(F.lit(0))
-    return cleaned.withColumns(cols)
+    return cols
+
+
+def add_features(cleaned: DataFrame) -> DataFrame:
+    """Append the fixed 30 features; unknown category values give zeros."""
+    return cleaned.withColumns(session_cached("features", _feature_exprs))
 
 
 def feature_frame(cleaned: DataFrame, keep: Sequence[str] = ("row_no", "customerID")) -> DataFrame:

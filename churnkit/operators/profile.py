@@ -300,3 +300,13 @@ def validation_report(spark, df: DataFrame, exclude: Sequence[str] = ("row_no",)
     types = schema_listing(spark, body).select(F.lit("dtype").alias("check"), "column_name",
                                                F.col("data_type").alias("value"))
     return shape.unionByName(ncols).unionByName(nulls).unionByName(dups).unionByName(types)
+
+
+def churn_by_geography(df: DataFrame, label: str = "ChurnValue", decimals: int = 6) -> DataFrame:
+    """Claimed geographic analysis: customers, churned and churn rate per (State, City)."""
+    return (df.where(F.col("State").isNotNull() & F.col("City").isNotNull())
+            .groupBy("State", "City")
+            .agg(F.count(F.lit(1)).alias("Customers"),
+                 F.count_if(F.col(label) == 1).alias("Churned"),
+                 half_even(F.count_if(F.col(label) == 1) * F.lit(100.0) / F.count(F.lit(1)), decimals)
+                 .alias("ChurnRate")))

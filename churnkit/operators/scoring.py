@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from churnkit import constants as K
 from churnkit.functions import rules as R
+from churnkit.functions.cache import session_cached
 from churnkit.functions.numeric import half_even, sigmoid
 from churnkit.operators.features import add_features
 
@@ -31,12 +32,19 @@ def scorecard_margin(weights: dict[str, float] = K.SCORECARD_WEIGHTS,
     return z
 
 
+def scorecard_probability(weights: dict[str, float] = K.SCORECARD_WEIGHTS,
+                          intercept: float = K.SCORECARD_INTERCEPT) -> Column:
+    def build():
+        return R.clip_probability(half_even(sigmoid(scorecard_margin(weights, intercept)), K.PROB_DECIMALS))
+    if weights is K.SCORECARD_WEIGHTS and intercept == K.SCORECARD_INTERCEPT:
+        return session_cached("scorecard", build)
+    return build()
+
+
 def score(cleaned: DataFrame, weights: dict[str, float] = K.SCORECARD_WEIGHTS,
           intercept: float = K.SCORECARD_INTERCEPT) -> DataFrame:
     """Features plus ``churn_probability`` (logistic link, 6 decimals half-even, clipped)."""
-    feats = add_features(cleaned)
-    p = half_even(sigmoid(scorecard_margin(weights, intercept)), K.PROB_DECIMALS)
-    return feats.withColumn(P, R.clip_probability(p))
+    return add_features(cleaned).withColumn(P, scorecard_probability(weights, intercept))
 
 
 def score_with_model(cleaned: DataFrame, model) -> DataFrame:
@@ -54,8 +62,8 @@ def score_with_model(cleaned: DataFrame, model) -> DataFrame:
 
 def with_console_fields(scored: DataFrame) -> DataFrame:
     """Risk level (console preset) and the retention plan array."""
-    s = scored.withColumn("risk_level", R.risk_level(F.col(P), "console"))
-    return s.withColumn("plan", R.retention_plan(P, "risk_level"))
+    s = scored.withColumn("risk_level", session_cached("risk_console", lambda: R.risk_level(F.col(P), "console")))
+    return s.withColumn("plan", session_cached("plan", lambda: R.retention_plan(P, "risk_level")))
 
 
 def bulk_results(scored: DataFrame) -> DataFrame:
@@ -179,7 +187,7 @@ def campaign_frame(scored: DataFrame) -> DataFrame:
     s = (scored.withColumnRenamed(P, "Churn_Probability")
          .withColumn("Risk_Segment", R.risk_level(F.col("Churn_Probability"), "campaign")))
     return s.withColumns({
-        "Retention_Recommendation": R.campaign_recommendation(),
+        "Retention_Recommendation": session_cached("campaign_rec", R.campaign_recommendation),
         "Potential_Revenue_Saved": R.revenue_saved("Monthly Charges"),
     })
 

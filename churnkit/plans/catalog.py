@@ -32,9 +32,15 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extracted accounts table (the original's extraction step writes it
+    to a file; here Parquet below the shared checkpoint folder)."""
+    return staged(spark, f"raw:{sf_dir}", lambda: accounts_raw(spark, sf_dir))
+
+
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned accounts (B19), materialised once per application."""
-    return staged(spark, f"cleaned:{sf_dir}", lambda: C.clean_accounts(accounts_raw(spark, sf_dir)))
+    return staged(spark, f"cleaned:{sf_dir}", lambda: C.clean_accounts(raw(spark, sf_dir)))
 
 
 # --- cleaning ---------------------------------------------------------------
@@ -102,19 +108,19 @@ _nulls_sql = " union all ".join(
 
 @register("d2_null_counts", O.with_raw(_nulls_sql))
 def q_d2(spark, sf_dir):
-    return PR.null_counts(accounts_raw(spark, sf_dir))
+    return PR.null_counts(raw(spark, sf_dir))
 
 
 @register("d2_null_customer_id", O.with_raw(
     "select count(*) filter (where customerID is null) as NullCustomerID from accounts_raw"))
 def q_d2b(spark, sf_dir):
-    return PR.null_count_of(accounts_raw(spark, sf_dir), "customerID", "NullCustomerID")
+    return PR.null_count_of(raw(spark, sf_dir), "customerID", "NullCustomerID")
 
 
 @register("d3_duplicate_keys", O.with_raw(
     "select customerID, count(*) as KeyCount from accounts_raw group by customerID having count(*) > 1"))
 def q_d3(spark, sf_dir):
-    return PR.duplicate_keys(accounts_raw(spark, sf_dir), "customerID")
+    return PR.duplicate_keys(raw(spark, sf_dir), "customerID")
 
 
 _biz = ", ".join(["k"] + RAW_TEXT[:20] + ["City", "State", "ZipCode", "ChurnValue", "ChurnScore", "CLTV",
@@ -125,7 +131,7 @@ _biz = ", ".join(["k"] + RAW_TEXT[:20] + ["City", "State", "ZipCode", "ChurnValu
     f"select cast(coalesce(sum(c - 1), 0) as bigint) as DuplicateRows from "
     f"(select count(*) as c from accounts_raw group by {_biz})"))
 def q_d4(spark, sf_dir):
-    return PR.repeated_rows(accounts_raw(spark, sf_dir))
+    return PR.repeated_rows(raw(spark, sf_dir))
 
 
 _VALID_SQL = r"""
@@ -153,7 +159,7 @@ _missing_sql = ", ".join(f"case when {c} is null or cast({c} as varchar) = '' th
 @register("b18_validate_records", O.with_raw("").rstrip() + _VALID_SQL.format(
     ten=_pyfloat_sql("tenure"), mon=_pyfloat_sql("MonthlyCharges"), missing=_missing_sql))
 def q_b18(spark, sf_dir):
-    return C.validate_records(accounts_raw(spark, sf_dir)).select("row_no", "validation_error")
+    return C.validate_records(raw(spark, sf_dir)).select("row_no", "validation_error")
 
 
 # --- B15, B16: offline cleaning ---------------------------------------------------------------
@@ -170,10 +176,10 @@ select min(row_no) as row_no, k, customerID, gender, SeniorCitizen, Contract, Pa
        TotalCharges, ChurnValue, ChurnScore, CLTV, ChurnReason
 from t group by all"""))
 def q_b15(spark, sf_dir):
-    raw = accounts_raw(spark, sf_dir).select(
+    base = raw(spark, sf_dir).select(
         "row_no", "k", "customerID", "gender", "SeniorCitizen", "Contract", "PaymentMethod", "tenure",
         "MonthlyCharges", "TotalCharges", "ChurnValue", "ChurnScore", "CLTV", "ChurnReason")
-    return C.clean_for_analysis(raw)
+    return C.clean_for_analysis(base)
 
 
 # --- views and KPI ------------------------------------------------------------------------------
@@ -742,3 +748,107 @@ register("i6_random_forest")(_model_metrics("random_forest", num_trees=50))
 register("i7_gradient_boosting")(_model_metrics("gradient_boosting"))
 register("i8_gradient_boosting_fast")(_model_metrics("gradient_boosting_fast"))
 register("decision_tree")(_model_metrics("decision_tree"))
+
+
+# --- more views: waterfall, derived fields, geography, drift, filters, preview --------------------
+
+from churnkit.functions import rules as R  # noqa: E402
+
+
+@register("i21_waterfall_first_customer", O.with_scored(f"""
+select row_no, feature, value, {O.rint('phi', 6)} as phi,
+  row_number() over (order by abs(phi) desc, pos) as step,
+  {O.rint('(select ' + O.rint(O.dbl(K.SCORECARD_INTERCEPT) + ''.join(f' + {O.dbl(K.SCORECARD_WEIGHTS.get(f, 0.0))} * m{i}' for i, f in enumerate(K.FEATURE_COLUMNS)), 6) + ' from bg) + sum(phi) over (order by abs(phi) desc, pos rows between unbounded preceding and current row)', 6)} as cumulative_margin
+from contrib where row_no = (select min(row_no) from scored)""", _means_cte(),
+    _contrib_cte("(select * from scored where row_no = (select min(row_no) from scored))")))
+def q_i21(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return X.waterfall(s, s, s.select(F.min("row_no")).scalar())
+
+
+_services = ["PhoneService", "MultipleLines", "OnlineSecurity", "OnlineBackup", "DeviceProtection",
+             "TechSupport", "StreamingTV", "StreamingMovies"]
+
+
+@register("h13_derived_fields", O.with_cleaned(
+    "select row_no, (" + " + ".join(f"(case when {c} = 'Yes' then 1 else 0 end)" for c in _services)
+    + " + (case when InternetService <> 'No' then 1 else 0 end)) as Service_Count, "
+    + O.rint("TotalCharges / nullif(cast(tenure as double), 0)", 6) + " as Revenue_Per_Month, "
+    + O.rint("MonthlyCharges * tenure", 6) + " as Customer_Value from cleaned"))
+def q_h13(spark, sf_dir):
+    from churnkit.functions.numeric import half_even
+    return cleaned(spark, sf_dir).select(
+        "row_no", R.service_count().alias("Service_Count"),
+        half_even(R.revenue_per_month(), 6).alias("Revenue_Per_Month"),
+        half_even(R.customer_value(), 6).alias("Customer_Value"))
+
+
+@register("geo_churn_by_state_city", O.with_cleaned(
+    "select State, City, count(*) as Customers, count(*) filter (where ChurnValue = 1) as Churned, "
+    + O.rint("count(*) filter (where ChurnValue = 1) * 100.0e0 / count(*)", 6)
+    + " as ChurnRate from cleaned where State is not null and City is not null group by State, City"))
+def q_geo(spark, sf_dir):
+    return PR.churn_by_geography(cleaned(spark, sf_dir))
+
+
+PSI_EDGES = [30.0, 45.0, 60.0, 75.0, 90.0, 105.0]
+
+
+def _psi_sql():
+    b = " + ".join(f"(case when MonthlyCharges >= {O.dbl(e)} then 1 else 0 end)" for e in PSI_EDGES)
+    return with_eval(f"""
+, e as (select {b} as bin, count(*) * 1.0e0 / sum(count(*)) over () as e from splitted
+        where split = 'train' and MonthlyCharges is not null group by bin),
+a as (select {b} as bin, count(*) * 1.0e0 / sum(count(*)) over () as a from splitted
+        where split = 'test' and MonthlyCharges is not null group by bin),
+j as (select greatest(coalesce(e, 0.0e0), 1e-06) as e, greatest(coalesce(a, 0.0e0), 1e-06) as a
+      from e full outer join a using (bin))
+select {O.rint('sum((a - e) * ln(a / e))', 6)} as psi from j""")
+
+
+@register("psi_monthly_train_vs_test", _psi_sql())
+def q_psi(spark, sf_dir):
+    sp = split_scored(spark, sf_dir)
+    return EV.population_stability(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test"),
+                                   "MonthlyCharges", PSI_EDGES)
+
+
+@register("b17_high_risk_actions", O.with_campaign(
+    "select row_no, customerID, Retention_Recommendation, Potential_Revenue_Saved from campaign "
+    "where Risk_Segment = 'High Risk'"))
+def q_b17(spark, sf_dir):
+    return (C.where_equals(campaign(spark, sf_dir), "Risk_Segment", K.RISK_HIGH)
+            .select("row_no", "customerID", "Retention_Recommendation", "Potential_Revenue_Saved"))
+
+
+@register("b20_preview", O.with_cleaned(
+    "select row_no, customerID, Contract, MonthlyCharges from cleaned order by row_no limit 5"))
+def q_b20(spark, sf_dir):
+    return C.preview(cleaned(spark, sf_dir), ["customerID", "Contract", "MonthlyCharges"], 5)
+
+
+@register("d30_schema_listing")
+def q_d30(spark, sf_dir):
+    return PR.schema_listing(spark, cleaned(spark, sf_dir))
+
+
+@register("d31_validation_report")
+def q_d31(spark, sf_dir):
+    return PR.validation_report(spark, raw(spark, sf_dir))
+
+
+@register("i16_model_comparison")
+def q_i16(spark, sf_dir):
+    """I16 + I17: every model family on the same split; ``best`` marks the X8 choice."""
+    train, test = _train_test(spark, sf_dir)
+    train = train.persist()          # reused by four fits; recomputable from lineage if lost
+    n = train.count()
+    rows = []
+    for name in MD.MODEL_NAMES:
+        kw = {"n_train": n} if name == "logistic_regression" else {}
+        model = MD.fit(train, name, **kw)
+        rows.append((MD.DISPLAY_NAMES[name], MD.evaluate_model(model, test)))
+    table = EV.comparison_table(rows)
+    best = MD.choose_best(table).select(F.col("Model").alias("__best"))
+    return table.join(F.broadcast(best), F.col("Model") == F.col("__best"), "left") \
+        .withColumn("best", F.col("__best").isNotNull()).drop("__best")
