@@ -852,3 +852,22 @@ def q_i16(spark, sf_dir):
     best = MD.choose_best(table).select(F.col("Model").alias("__best"))
     return table.join(F.broadcast(best), F.col("Model") == F.col("__best"), "left") \
         .withColumn("best", F.col("__best").isNotNull()).drop("__best")
+
+
+# --- I18: tree attribution (Arrow batches; rows-only check) ------------------------------------------
+
+from churnkit.operators import tree_shap as TS  # noqa: E402
+
+
+@register("i18_tree_drivers_top10")
+def q_i18(spark, sf_dir):
+    """Random forest trained on the train split; the ten most at-risk
+    customers by its probability get their top drivers from exact TreeSHAP."""
+    train, _ = _train_test(spark, sf_dir)
+    model = MD.fit(train, "random_forest", num_trees=50)
+    scored_rf = MD.predict(model, scored(spark, sf_dir))
+    top = scored_rf.orderBy(F.desc("churn_probability"), F.asc("row_no")).limit(K.TOP_N_WITH_DRIVERS)
+    drivers = TS.top_drivers(TS.explain(top, model))
+    return (top.select("row_no", F.col("customerID").alias("id"), "churn_probability")
+            .join(drivers, "row_no", "left")
+            .select("row_no", "id", "churn_probability", F.array_join("top_drivers", "|").alias("top_drivers")))

@@ -62,3 +62,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared checkpoint folder (for lineage-cutting tables)."""
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``churnkit`` importable in Python workers (needed only by the
+    Arrow-batch operators): zip the package once into the shared folder and
+    ``addPyFile`` it. On a cluster the same happens with ``--py-files``."""
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(ensure_checkpoint_dir(spark), "churnkit-pyfiles", sc.applicationId)
+    os.makedirs(target, exist_ok=True)
+    archive = shutil.make_archive(os.path.join(target, "churnkit"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="churnkit")
+    sc.addPyFile(archive)
+    _SHIPPED.add(id(sc))

@@ -11,7 +11,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from churnkit.session import get_session
-    s = get_session("local[*]", 8, app_name="churnkit-tests")
+    s = get_session("local[*]", 8, app_name="churnkit-tests", extra={"spark.driver.memory": "8g"})
     yield s
     s.stop()
 
