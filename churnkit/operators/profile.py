@@ -197,14 +197,12 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None,
             aggs.append(F.corr(F.when(both, ca), F.when(both, cb)).alias(f"c_{i}_{cols.index(b)}"))
             names.append((a, b, f"c_{i}_{cols.index(b)}"))
     wide = df.agg(*aggs)
-    parts = []
+    cells = []
     for a, b, n in names:
-        parts.append(wide.select(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(n).alias("corr")))
+        cells.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(n).alias("corr")))
         if a != b:
-            parts.append(wide.select(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col(n).alias("corr")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            cells.append(F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col(n).alias("corr")))
+    out = wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")   # one row -> matrix cells
     return out.select("x", "y", half_even("corr", decimals).alias("corr"))
 
 
