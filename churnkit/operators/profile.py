@@ -107,10 +107,14 @@ def crosstab_normalized(df: DataFrame, a: str, b: str, values: Sequence, percent
                             for n in names])
 
 
-def group_mean(df: DataFrame, by: str, c: str, alias: str | None = None, decimals: int = 6) -> DataFrame:
-    """``groupby(by)[c].mean()``; null keys dropped."""
+def group_mean(df: DataFrame, by: str, c: str | Sequence[str], alias: str | None = None,
+               decimals: int = 6) -> DataFrame:
+    """``groupby(by)[c].mean()`` for one or several columns in one aggregation;
+    null keys dropped."""
+    cols = [c] if isinstance(c, str) else list(c)
     return (df.where(F.col(by).isNotNull()).groupBy(by)
-            .agg(half_even(F.avg(c), decimals).alias(alias or f"mean_{c}")))
+            .agg(*[half_even(F.avg(x), decimals).alias(alias if alias and len(cols) == 1 else f"mean_{x}")
+                   for x in cols]))
 
 
 # --- D19 -------------------------------------------------------------------------------

@@ -197,6 +197,11 @@ def explain(df: DataFrame, model, features=K.FEATURE_COLUMNS, keys=("row_no",))
     # executor, and the Python plan node stays independent of the scoring plan.
     # (features go in with their own types; pandas converts them to float)
     inputs = df.select(*keys, *[F.col(f"`{f}`") for f in feats]).checkpoint(eager=True)
+    # Attribution costs far more per row than reading it: a small input (the
+    # top-k) is spread over all cores instead of running in one task.
+    slots = spark.sparkContext.defaultParallelism
+    if inputs.rdd.getNumPartitions() < slots:
+        inputs = inputs.repartition(slots)
     return inputs.mapInPandas(run, schema)
 
 

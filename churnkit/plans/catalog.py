@@ -265,9 +265,7 @@ def q_d13c(spark, sf_dir):
     "select ChurnValue, " + O.rint("avg(MonthlyCharges)", 6) + " as mean_MonthlyCharges, "
     + O.rint("avg(tenure)", 6) + " as mean_tenure from cleaned where ChurnValue is not null group by ChurnValue"))
 def q_d14(spark, sf_dir):
-    c = cleaned(spark, sf_dir)
-    return PR.group_mean(c, "ChurnValue", "MonthlyCharges").join(
-        PR.group_mean(c, "ChurnValue", "tenure"), "ChurnValue")
+    return PR.group_mean(cleaned(spark, sf_dir), "ChurnValue", ["MonthlyCharges", "tenure"])
 
 
 DESCRIBE_COLS = ["tenure", "MonthlyCharges", "TotalCharges", "ChurnScore", "CLTV"]
