@@ -91,3 +91,22 @@ def test_single_prediction(spark):
     from churnkit.operators.clean import PreprocessingError
     with pytest.raises(PreprocessingError, match="tenure"):
         single_prediction(spark, dict(rec, tenure="200"))
+
+
+def test_segment_outputs_layout_and_export(spark, sf_dir):
+    from churnkit.operators.scoring import campaign_frame
+    tmp = tempfile.mkdtemp(prefix="churnkit-out-")
+    camp = campaign_frame(score(clean_accounts(accounts_raw(spark, sf_dir)))).select(
+        "row_no", "Risk_Segment", "Retention_Recommendation", "Potential_Revenue_Saved")
+    FS.write_segments(camp, os.path.join(tmp, "segments"))                       # A6
+    seg_dirs = sorted(d for d in os.listdir(os.path.join(tmp, "segments")) if d.startswith("Risk_Segment="))
+    assert seg_dirs and all(d.split("=")[1] in ("High Risk", "Medium Risk", "Low Risk") for d in seg_dirs)
+    cleaned = clean_accounts(accounts_raw(spark, sf_dir))
+    FS.write_layout(cleaned, os.path.join(tmp, "layout"))                         # A11
+    q = spark.read.parquet(os.path.join(tmp, "layout")).where(F.col("Contract") == "Two year")
+    assert "PartitionFilters: [isnotnull(Contract" in q._jdf.queryExecution().executedPlan().toString()
+    assert q.count() == cleaned.where(F.col("Contract") == "Two year").count()
+    FS.export_query(spark, "select Contract, count(*) as n from {t} group by Contract",   # A3
+                    os.path.join(tmp, "export"), {"t": cleaned})
+    back = spark.read.option("header", True).csv(os.path.join(tmp, "export"))
+    assert back.count() == cleaned.select("Contract").distinct().count()
