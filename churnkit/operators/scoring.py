@@ -158,26 +158,28 @@ def top_risk_records(scored: DataFrame, n: int = K.TOP_N_WITH_DRIVERS,
 # --- I25: one record -----------------------------------------------------------------------
 
 def single_prediction(spark: SparkSession, record: dict, frozen_monthly_median: float = 65.0) -> DataFrame:
-    """Validate one record and score it with the same operators; the
-    batch median means nothing for one row, so a frozen value is used."""
+    """Validate one record and score it with the same operators, in ONE
+    job (validation travels as a column; an invalid record raises). The batch
+    median means nothing for one row, so a frozen value is used."""
     from churnkit.operators.clean import PreprocessingError, clean_accounts, validate_records
     rec = {str(k): (None if v is None else str(v)) for k, v in record.items()}
     rec.setdefault("TotalCharges", None)            # X13: optional for one record
     cols = list(rec)
     df = spark.createDataFrame([tuple(rec[c] for c in cols)], ", ".join(f"`{c}` string" for c in cols))
-    err = validate_records(df).select("validation_error").first()[0]
-    if err:
-        raise PreprocessingError(err)
-    df = df.withColumn("row_no", F.lit(0).cast("long"))
+    df = validate_records(df).withColumn("row_no", F.lit(0).cast("long"))
     if "customerID" not in rec or not (rec["customerID"] or "").strip():
         df = df.withColumn("customerID", F.lit("ROW-1"))   # the only record is the first blank
     scored = with_console_fields(score(clean_accounts(df, id_mode="hash",
                                                       frozen_monthly_median=frozen_monthly_median)))
-    return scored.select(
+    out = scored.select(
         F.col("customerID"), F.col(P).alias("probability"),
         R.probability_percent(P).alias("probability_pct"),
         R.prediction_label(P).alias("prediction_label"), R.will_churn(P).alias("will_churn"),
-        "risk_level", R.signal_bars(P).alias("signal_bars"), "plan")
+        "risk_level", R.signal_bars(P).alias("signal_bars"), "plan", "validation_error")
+    rows = out.collect()                            # one row, one job
+    if rows[0]["validation_error"]:
+        raise PreprocessingError(rows[0]["validation_error"])
+    return spark.createDataFrame(rows, out.schema).drop("validation_error")
 
 
 # --- campaign (notebooks 07-08) -----------------------------------------------------------------
