@@ -242,7 +242,9 @@ def box_stats(df: DataFrame, c: str, by: str | None = None, decimals: int = 6) -
                     (F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1"))).alias("lo_fence"),
                     (F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1"))).alias("hi_fence"))
     if g:
-        joined = base.join(F.broadcast(lim), g)   # one row per group of a low-cardinality key
+        # one row per group: no hint, AQE broadcasts it when the measured
+        # size is small and keeps a shuffle join when the key has many groups
+        joined = base.join(lim, g)
     else:
         st = lim.select(F.struct(*lim.columns)).scalar()
         joined = base.withColumns({k: st[k] for k in lim.columns})

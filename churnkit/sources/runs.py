@@ -72,7 +72,7 @@ def report_catalogue(spark: SparkSession, reports_dir: str, runs_base: str | Non
     if runs_base and os.path.isdir(runs_base):
         runs = (spark.read.parquet(runs_base).select("run_id").distinct()
                 .withColumn("dashboard_available", F.lit(True)))
-        cat = cat.join(F.broadcast(runs), "run_id", "left")   # one row per run
+        cat = cat.join(runs, "run_id", "left")   # one row per run; AQE picks the join
     else:
         cat = cat.withColumn("dashboard_available", F.lit(None).cast("boolean"))
     return (cat.select("filename",
