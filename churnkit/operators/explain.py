@@ -32,9 +32,9 @@ def background_means(background: DataFrame) -> Column:
 
 
 def contributions(df: DataFrame, background: DataFrame,
-                  weights: dict[str, float] = K.SCORECARD_WEIGHTS) -> Column:
+                  weights: dict[str, float] = K.SCORECARD_WEIGHTS, means: Column | None = None) -> Column:
     """``array<struct<pos, feature, value, phi>>`` of per-feature attributions."""
-    means = background_means(background)
+    means = background_means(background) if means is None else means
     items = []
     for i, f in enumerate(K.FEATURE_COLUMNS):
         x = _f(f).cast("double")
@@ -44,13 +44,18 @@ def contributions(df: DataFrame, background: DataFrame,
     return F.array(*items)
 
 
-def expected_value(background: DataFrame, weights: dict[str, float] = K.SCORECARD_WEIGHTS,
-                   intercept: float = K.SCORECARD_INTERCEPT) -> DataFrame:
-    """Base margin ``intercept + sum(w * mean)`` and its probability."""
-    means = background_means(background)
+def base_margin(means: Column, weights: dict[str, float] = K.SCORECARD_WEIGHTS,
+                intercept: float = K.SCORECARD_INTERCEPT) -> Column:
     base = F.lit(float(intercept))
     for i, f in enumerate(K.FEATURE_COLUMNS):
         base = base + F.lit(float(weights.get(f, 0.0))) * means[f"m{i}"]
+    return base
+
+
+def expected_value(background: DataFrame, weights: dict[str, float] = K.SCORECARD_WEIGHTS,
+                   intercept: float = K.SCORECARD_INTERCEPT) -> DataFrame:
+    """Base margin ``intercept + sum(w * mean)`` and its probability."""
+    base = base_margin(background_means(background), weights, intercept)
     one = background.sparkSession.range(1)
     return one.select(half_even(base, 6).alias("base_margin"),
                       half_even(F.lit(1.0) / (F.lit(1.0) + F.exp(-base)), 6).alias("base_probability"))
@@ -99,8 +104,9 @@ def waterfall(df: DataFrame, background: DataFrame, row_no, decimals: int = 6,
     from pyspark.sql import Window
     target = row_no if hasattr(row_no, "_jc") else F.lit(row_no)
     one = df.where(F.col("row_no") == target)
-    base = expected_value(background, weights, intercept).select("base_margin").scalar()
-    long = one.select("row_no", F.explode(contributions(one, background)).alias("c")).select(
+    means = background_means(background)            # one subquery, used twice below
+    base = half_even(base_margin(means, weights, intercept), 6)
+    long = one.select("row_no", F.explode(contributions(one, background, weights, means)).alias("c")).select(
         "row_no", F.col("c.pos").alias("pos"), F.col("c.feature").alias("feature"),
         F.col("c.value").alias("value"), F.col("c.phi").alias("phi"))
     w = (Window.partitionBy("row_no").orderBy(F.desc(F.abs("phi")), F.asc("pos"))
