@@ -112,5 +112,6 @@ def waterfall(df: DataFrame, background: DataFrame, row_no, decimals: int = 6,
     w = (Window.partitionBy("row_no").orderBy(F.desc(F.abs("phi")), F.asc("pos"))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return long.select("row_no", "feature", "value", half_even("phi", decimals).alias("phi"),
-                       F.row_number().over(Window.partitionBy("row_no").orderBy(F.desc(F.abs("phi")), F.asc("pos"))).alias("step"),
+                       F.row_number().over(Window.partitionBy("row_no").orderBy(F.desc(F.abs("phi")), F.asc("pos")))
+                       .cast("long").alias("step"),
                        half_even(base + F.sum("phi").over(w), decimals).alias("cumulative_margin"))

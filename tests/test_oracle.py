@@ -35,3 +35,15 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() >= 0
     assert df.columns == ["Contract", "TotalCustomers", "AvgMonthlyCharges"]
+
+
+DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                 "SMALLINT": "smallint", "TINYINT": "tinyint", "FLOAT": "float", "BOOLEAN": "boolean"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_types_match_sql(spark, sf_dir, con, name):
+    spark_types = dict(E.queries()[name](spark, sf_dir).dtypes)
+    rel = con.sql(ORACLES[name])
+    sql_types = {c: DUCK_TO_SPARK.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert spark_types == sql_types
