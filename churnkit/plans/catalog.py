@@ -830,7 +830,25 @@ def q_d30(spark, sf_dir):
     return PR.schema_listing(spark, cleaned(spark, sf_dir))
 
 
-@register("d31_validation_report")
+_RAW_COLS = ["k"] + RAW_TEXT[:20] + ["City", "State", "ZipCode", "ChurnValue", "ChurnScore", "CLTV", "ChurnReason"]
+_TYPE_NAME = ("case typeof({c}) when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' "
+              "when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' end")
+
+
+def _d31_sql():
+    parts = [
+        "select 'rows' as \"check\", null::varchar as column_name, cast(count(*) as varchar) as value from accounts_raw",
+        f"select 'columns', null, '{len(_RAW_COLS)}'",
+        *[f"select 'missing', '{c}', cast(count(*) filter (where {c} is null) as varchar) from accounts_raw"
+          for c in _RAW_COLS],
+        f"select 'duplicate_rows', null, cast(coalesce(sum(n - 1), 0) as varchar) from "
+        f"(select count(*) as n from accounts_raw group by {', '.join(_RAW_COLS)})",
+        *[f"(select 'dtype', '{c}', {_TYPE_NAME.format(c=c)} from accounts_raw limit 1)" for c in _RAW_COLS],
+    ]
+    return O.with_raw(" union all ".join(parts))
+
+
+@register("d31_validation_report", _d31_sql())
 def q_d31(spark, sf_dir):
     return PR.validation_report(spark, raw(spark, sf_dir))
 
