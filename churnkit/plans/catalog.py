@@ -825,14 +825,25 @@ def q_b20(spark, sf_dir):
     return C.preview(cleaned(spark, sf_dir), ["customerID", "Contract", "MonthlyCharges"], 5)
 
 
-@register("d30_schema_listing")
+_TYPE_NAME = ("case typeof({c}) when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' "
+              "when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' end")
+
+
+_CLEAN_ORDER = ["row_no", "k", *RAW_TEXT[:20], "City", "State", "ZipCode", "ChurnValue", "ChurnScore", "CLTV",
+                "ChurnReason"]
+_PANDAS_NAME = ("case typeof({c}) when 'BIGINT' then 'int64' when 'INTEGER' then 'int32' "
+                "when 'VARCHAR' then 'string' when 'DOUBLE' then 'float64' end")
+
+
+@register("d30_schema_listing", O.with_cleaned(" union all ".join(
+    f"(select {i} as ordinal_position, '{c}' as column_name, {_TYPE_NAME.format(c=c)} as data_type, "
+    f"{_PANDAS_NAME.format(c=c)} as pandas_dtype, 'YES' as is_nullable from cleaned limit 1)"
+    for i, c in enumerate(_CLEAN_ORDER, start=1))))
 def q_d30(spark, sf_dir):
     return PR.schema_listing(spark, cleaned(spark, sf_dir))
 
 
 _RAW_COLS = ["k"] + RAW_TEXT[:20] + ["City", "State", "ZipCode", "ChurnValue", "ChurnScore", "CLTV", "ChurnReason"]
-_TYPE_NAME = ("case typeof({c}) when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' "
-              "when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' end")
 
 
 def _d31_sql():
