@@ -80,14 +80,16 @@ def fill_customer_ids(df: DataFrame, order_col: str = "row_no", mode: str = "ord
         fields = [F.col(c) for c in df.columns if c not in ("customerID", order_col)]
         gen = F.concat(F.lit("ROW-"), F.substring(F.sha2(F.to_json(F.struct(*fields)), 256), 1, 16))
         return df.withColumn("customerID", F.when(blank, gen).otherwise(cid))
-    flagged = df.withColumn("__blank", blank.cast("long"))
-    ranked = ordinal.running_sum(
-        flagged, F.col("__blank"), [F.col(order_col)],
-        ordinal.range_bucket(F.col(order_col), bucket_width), "__nblank")
-    gen = F.concat(F.lit("ROW-"), F.col("__nblank").cast("string"))
-    return (ranked.withColumn("customerID", F.when(F.col("__blank") == 1, gen).otherwise(cid))
-            .drop("__blank", "__nblank")
-            .select(*df.columns))
+    # Only blank rows need a number: they alone go through the bucketed
+    # ranking (one shuffle of the blank rows); the rest pass through unshuffled.
+    flagged = df.withColumn("__blank", blank)
+    blanks = flagged.where(F.col("__blank"))
+    numbered = ordinal.row_number(blanks, [F.col(order_col)],
+                                  ordinal.range_bucket(F.col(order_col), bucket_width), "__nblank")
+    numbered = (numbered.withColumn("customerID", F.concat(F.lit("ROW-"), F.col("__nblank").cast("string")))
+                .select(*df.columns))
+    rest = flagged.where(~F.col("__blank")).withColumn("customerID", cid).select(*df.columns)
+    return rest.unionByName(numbered)
 
 
 # --- B7-B10 -----------------------------------------------------------------
