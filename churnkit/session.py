@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -47,11 +51,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is used as is; only
-    when it is unset (local tests) a private folder is created.
+    That setting points at storage which driver and executors share and is
+    used as is. Where it is unset, a local master (tests, a laptop) gets a
+    private folder; on a cluster it is an error, since a machine-local folder
+    would leave every executor with its own part of a table.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="churnkit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -60,25 +68,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
-    """A path below the shared checkpoint folder (for lineage-cutting tables)."""
-    return os.path.join(ensure_checkpoint_dir(spark), *parts)
+    """A path or URI below the shared checkpoint folder (for lineage-cutting tables)."""
+    return "/".join([ensure_checkpoint_dir(spark).rstrip("/"), *parts])
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``churnkit`` importable in Python workers (needed only by the
-    Arrow-batch operators): zip the package once into the shared folder and
-    ``addPyFile`` it. On a cluster the same happens with ``--py-files``."""
+    Arrow-batch operators). The zip is made on the driver; ``addPyFile`` has
+    Spark hand it to every executor, also to those that start later."""
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
-    import shutil
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(ensure_checkpoint_dir(spark), "churnkit-pyfiles", sc.applicationId)
-    os.makedirs(target, exist_ok=True)
-    archive = shutil.make_archive(os.path.join(target, "churnkit"), "zip",
-                                  root_dir=os.path.dirname(pkg_dir), base_dir="churnkit")
+    folder = tempfile.mkdtemp(prefix="churnkit-py-")      # the driver serves the zip from here while it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "churnkit.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for at, _, names in os.walk(pkg_dir):
+            for name in names:
+                if name.endswith(".py"):
+                    source = os.path.join(at, name)
+                    z.write(source, os.path.relpath(source, os.path.dirname(pkg_dir)))
     sc.addPyFile(archive)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
