@@ -52,18 +52,22 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     Null text stays null with zero lines; an empty text is one empty line.
     Texts of fewer than ``size`` lines lose nothing. Rows equal in doc_id and
     text are one document; a null doc_id sorts first. All columns of ``docs``
-    are kept (n_lines and n_removed must not be among them).
+    are kept, but n_lines and n_removed are replaced if it has them. An empty
+    table gives an empty result.
     """
-    hits = removed_lines(docs, size).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_text_hash"), "hits")
+    docs = docs.drop("n_lines", "n_removed")
+    hits = removed_lines(docs.select("doc_id", "text"), size).select(
+        F.col("doc_id").alias("_line_doc"), F.col("_hash").alias("_line_text"), F.col("hits").alias("_line_hits"))
     # the split text travels instead of the text: array_join gives it back exactly
-    rows = docs.withColumn("_own", F.xxhash64("text")).withColumn("text", _lines(F.col("text")))
+    rows = docs.withColumn("_line_own", F.xxhash64("text")).withColumn("text", _lines(F.col("text")))
     joined = rows.join(
-        hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_text_hash")), "left")
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.sequence(p, p + (size - 1)))))
+        hits, F.col("doc_id").eqNullSafe(F.col("_line_doc")) & (F.col("_line_own") == F.col("_line_text")), "left")
+    found = F.col("_line_hits")
+    covered = F.array_distinct(F.flatten(F.transform(found, lambda p: F.sequence(p, p + (size - 1)))))
     kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size("text")), covered),
                        lambda i: F.element_at("text", i.cast("int")))
-    text = F.array_join(F.when(F.col("hits").isNull(), F.col("text")).otherwise(kept), "\n")
+    text = F.array_join(F.when(found.isNull(), F.col("text")).otherwise(kept), "\n")
     return joined.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns),
+        *(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("text")).cast("long").alias("n_lines"),
-        F.when(F.col("hits").isNull(), 0).otherwise(F.size(covered)).cast("long").alias("n_removed"))
+        F.when(found.isNull(), 0).otherwise(F.size(covered)).cast("long").alias("n_removed"))

@@ -47,9 +47,9 @@ from churnkit.llm import common as C
 
 ANCHOR = 24                           # bytes whose rank picks anchors
 LAST = np.int64(2**63 - 1)            # stands for a null doc_id: no document is larger
-GROUP = 1 << 21                       # bytes hashed at once (positions fit the low 22 bits)
-BLOCK = 24 << 20                      # bytes of text whose entries are sent together
-BUCKET_BYTES = 32 << 20               # bytes of text for each bucket
+GROUP = 1 << 20                       # bytes hashed at once
+BLOCK = 16 << 20                      # bytes of text whose entries are sent together
+BUCKET_BYTES = 16 << 20               # bytes of text for each bucket
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 MESSAGE = "block string, bucket int, n long, payload binary"
 REPLY = "block string, bucket int, n long, late binary, open binary"
@@ -76,7 +76,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64."""
-    size = 1 << max(22, n.bit_length())
+    size = 1 << max(21, n.bit_length())
     if size not in _POWERS:
         _POWERS.clear()
         base = 0xD1342543DE82EF95
@@ -99,10 +99,9 @@ class Units:
         data = b"".join(texts) + b"\0" * length
         n = int(self.sizes.sum())
         self.rank8 = np.ndarray(n + length - 7, "<u8", data, 0, (1,))
-        self.mixed8 = _mix(self.rank8)
-        m = self.mixed8
+        m = _mix(self.rank8)
         anchor = _mix(m[:-16] + m[8:-8] * M1 + m[16:] * M2)
-        bits = np.uint64(max(22, n.bit_length()))
+        bits = np.uint64(max(22, n.bit_length()))      # positions take the low bits, so ties go to the left
         low = (np.uint64(1) << bits) - np.uint64(1)
         order = (anchor & ~low) | np.arange(len(anchor), dtype=np.uint64)
         best = _sliding_min(order, length - ANCHOR + 1)
@@ -130,7 +129,7 @@ class Units:
         a = np.zeros(len(start), np.uint64)
         b = np.zeros(len(start), np.uint64)
         for k in [*range(0, self.length - 8, 8), self.length - 8]:
-            part = self.mixed8[start + k]
+            part = _mix(self.rank8[start + k])
             a = a * M1 + part
             b = (b ^ part) * M2 + np.uint64(k)
         return start, np.repeat(self.document[units], n), _mix(a), _mix(b) & np.uint64(0xFFFF)

@@ -172,16 +172,15 @@ def describe_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     ``top`` is the commonest value, the smallest on ties.
     """
     cols = list(columns or text_columns(df))
-    out = None
-    for c in cols:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__f"))
-        one = counts.agg(F.lit(c).alias("column_name"),
-                         F.coalesce(F.sum("__f"), F.lit(0)).cast("long").alias("count"),
-                         F.count(F.lit(1)).alias("unique"),
-                         F.min_by(F.struct(F.col(c).alias("v")), F.struct(-F.col("__f"), F.col(c)))["v"].alias("top"),
-                         F.max("__f").alias("freq"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    cells = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in cols])).alias("kv")).select("kv.*")
+    # one scan for all columns: (column, value) counts with map-side combine, then one row per column
+    counts = cells.groupBy("column_name", "v").agg(F.count("v").alias("f"))
+    out = counts.groupBy("column_name").agg(
+        F.coalesce(F.sum("f"), F.lit(0)).cast("long").alias("count"), F.count("v").alias("unique"),
+        F.min_by("v", F.when(F.col("v").isNotNull(), F.struct(-F.col("f"), F.col("v")))).alias("top"),
+        F.max(F.when(F.col("v").isNotNull(), F.col("f"))).alias("freq"))
+    return out.select("column_name", "count", "unique", "top", "freq")
 
 
 # --- D25 -----------------------------------------------------------------------------
@@ -259,6 +258,15 @@ def box_stats(df: DataFrame, c: str, by: str | None = None, decimals: int = 6) -
                                  ("q1", "median", "q3", "whisker_low", "whisker_high")], "outliers")
 
 
+def box_stats_all(df: DataFrame, columns: Sequence[str] | None = None, decimals: int = 6) -> DataFrame:
+    """Box-plot statistics of every numeric column, one row per column, from
+    two reads of the table (quartiles, then whiskers), not two per column."""
+    cols = list(columns or numeric_columns(df))
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in cols])).alias("kv")).select("kv.*")
+    return box_stats(long, "value", "column_name", decimals)
+
+
 def scatter_bins(df: DataFrame, x: str, y: str, hue: str, x_width: float, y_width: float) -> DataFrame:
     """D29 at scale: 2-D binned counts of (x, y) per hue instead of raw points."""
     return (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())

@@ -258,18 +258,16 @@ def with_segment_action(campaign: DataFrame, spark: SparkSession) -> DataFrame:
     return campaign.join(F.broadcast(actions), "Risk_Segment", "left")
 
 
-def dashboard_master(base: DataFrame, campaign: DataFrame, key: str = "customerID") -> DataFrame:
-    """Attach probability, segment, recommendation and revenue to the
-    cleaned table by key (left join; X9), plus ``Predicted_Churn``.
+def dashboard_master(campaign: DataFrame) -> DataFrame:
+    """The cleaned table with probability, segment, recommendation, revenue
+    and ``Predicted_Churn`` on every row.
 
-    Both sides are large: a sort-merge join on the key (AQE splits skewed
-    keys). The key must be unique on the right; see :func:`key_uniqueness`.
+    The original joins its two files back by customer id. Both sides come
+    from the same rows here, so the campaign frame already is that join, also
+    for ids that occur twice; no shuffle is needed.
     """
-    right = campaign.select(key, "Churn_Probability", "Risk_Segment",
-                            "Retention_Recommendation", "Potential_Revenue_Saved")
-    out = base.join(right, key, "left")
-    return out.withColumn("Predicted_Churn",
-                          F.coalesce(F.col("Churn_Probability") >= K.CHURN_CUTOFF, F.lit(False)).cast("int"))
+    return campaign.withColumn("Predicted_Churn",
+                               F.coalesce(F.col("Churn_Probability") >= K.CHURN_CUTOFF, F.lit(False)).cast("int"))
 
 
 def key_uniqueness(df: DataFrame, key: str = "customerID") -> DataFrame:

@@ -164,22 +164,22 @@ def q_b18(spark, sf_dir):
 
 # --- B15, B16: offline cleaning ---------------------------------------------------------------
 
+_B15_TEXT = ["customerID", "gender", "SeniorCitizen", "Partner", "Dependents", "PhoneService", "MultipleLines",
+             "InternetService", "OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport", "StreamingTV",
+             "StreamingMovies", "Contract", "PaperlessBilling", "PaymentMethod", "City", "State", "ZipCode"]
+_B15_ALL = ["k", *_B15_TEXT, "tenure", "MonthlyCharges", "TotalCharges", "ChurnValue", "ChurnScore", "CLTV", "ChurnReason"]
+
+
 @register("b15_clean_for_analysis", O.with_raw("").rstrip() + ("""
-, t as (select row_no, k, trim(customerID) as customerID, trim(gender) as gender, trim(SeniorCitizen) as SeniorCitizen,
-    trim(Contract) as Contract, trim(PaymentMethod) as PaymentMethod,
+, t as (select row_no, k, """ + ", ".join(f"trim({c}) as {c}" for c in _B15_TEXT) + """,
     cast(trunc(""" + O.parse("tenure") + """) as smallint) as tenure,
     cast(""" + O.parse("MonthlyCharges") + """ as float) as MonthlyCharges,
     cast(coalesce(""" + O.parse("TotalCharges") + """, (select median(""" + O.parse("TotalCharges") + """) from accounts_raw)) as float) as TotalCharges,
     cast(ChurnValue as tinyint) as ChurnValue, cast(ChurnScore as smallint) as ChurnScore, cast(CLTV as integer) as CLTV,
     coalesce(trim(ChurnReason), 'Not Churned') as ChurnReason from accounts_raw)
-select min(row_no) as row_no, k, customerID, gender, SeniorCitizen, Contract, PaymentMethod, tenure, MonthlyCharges,
-       TotalCharges, ChurnValue, ChurnScore, CLTV, ChurnReason
-from t group by all"""))
+select min(row_no) as row_no, """ + ", ".join(_B15_ALL) + " from t group by all"))
 def q_b15(spark, sf_dir):
-    base = raw(spark, sf_dir).select(
-        "row_no", "k", "customerID", "gender", "SeniorCitizen", "Contract", "PaymentMethod", "tenure",
-        "MonthlyCharges", "TotalCharges", "ChurnValue", "ChurnScore", "CLTV", "ChurnReason")
-    return C.clean_for_analysis(base)
+    return C.clean_for_analysis(raw(spark, sf_dir)).select("row_no", *_B15_ALL)
 
 
 # --- views and KPI ------------------------------------------------------------------------------
@@ -268,7 +268,8 @@ def q_d14(spark, sf_dir):
     return PR.group_mean(cleaned(spark, sf_dir), "ChurnValue", ["MonthlyCharges", "tenure"])
 
 
-DESCRIBE_COLS = ["tenure", "MonthlyCharges", "TotalCharges", "ChurnScore", "CLTV"]
+# every numeric column of the cleaned table but its row keys
+DESCRIBE_COLS = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges", "ChurnValue", "ChurnScore", "CLTV"]
 
 
 def _describe_sql():
@@ -288,7 +289,7 @@ def q_d23(spark, sf_dir):
     return PR.describe_numeric(cleaned(spark, sf_dir), DESCRIBE_COLS)
 
 
-TEXT_COLS = ["gender", "Contract", "PaymentMethod", "InternetService", "City"]
+TEXT_COLS = [c for c in RAW_TEXT if c not in ("SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges")]
 
 
 @register("d24_describe_text", O.with_cleaned(" union all ".join(
@@ -318,13 +319,15 @@ def q_d26(spark, sf_dir):
     return PR.histogram(cleaned(spark, sf_dir), "MonthlyCharges", 10)
 
 
-def _box_sql(c, by):
+def _box_sql(c, by, long=None):
     g = f"{by}, " if by else ""
     gw = f"group by {by}" if by else ""
     j = f"using ({by})" if by else "on true"
     nn = f" and {by} is not null" if by else ""
+    source = "values_long" if long else "cleaned"
     return O.with_cleaned(f"""
-, b as (select {g}cast({c} as double) as v from cleaned where {c} is not null{nn}),
+{", " + long if long else ""}
+, b as (select {g}cast({c} as double) as v from {source} where {c} is not null{nn}),
 q as (select {g}count(*) as n, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as median,
              quantile_cont(v, 0.75) as q3 from b {gw}),
 l as (select *, q1 - 1.5e0 * (q3 - q1) as lo_fence, q3 + 1.5e0 * (q3 - q1) as hi_fence from q)
@@ -341,11 +344,27 @@ def q_d27(spark, sf_dir):
     return PR.box_stats(cleaned(spark, sf_dir), "tenure", "ChurnValue")
 
 
+@register("d27_box_monthly_by_churn", _box_sql("MonthlyCharges", "ChurnValue"))
+def q_d27c(spark, sf_dir):
+    return PR.box_stats(cleaned(spark, sf_dir), "MonthlyCharges", "ChurnValue")
+
+
+@register("d27_box_score_by_churn", _box_sql("ChurnScore", "ChurnValue"))
+def q_d27d(spark, sf_dir):
+    return PR.box_stats(cleaned(spark, sf_dir), "ChurnScore", "ChurnValue")
+
+
 @register("d27_box_monthly", _box_sql("MonthlyCharges", None))
 def q_d27b(spark, sf_dir):
     return PR.box_stats(cleaned(spark, sf_dir), "MonthlyCharges")
 
 
+@register("d27_box_all_numeric", _box_sql("value", "column_name", "values_long as (" + " union all ".join(
+    f"select '{c}' as column_name, cast({c} as double) as value from cleaned" for c in DESCRIBE_COLS) + ")"))
+def q_d27e(spark, sf_dir):
+    return PR.box_stats_all(cleaned(spark, sf_dir), DESCRIBE_COLS)
+
+
 @register("d28_count_payment_by_churn", O.with_cleaned(
     "select PaymentMethod, ChurnValue, count(*) as count from cleaned "
     "where PaymentMethod is not null and ChurnValue is not null group by PaymentMethod, ChurnValue"))
@@ -589,17 +608,11 @@ def q_c3(spark, sf_dir):
 select c.row_no, c.customerID, c.Contract, c.MonthlyCharges, c.ChurnValue, m.Churn_Probability, m.Risk_Segment,
   m.Retention_Recommendation, m.Potential_Revenue_Saved,
   cast(coalesce(m.Churn_Probability >= 0.5e0, false) as integer) as Predicted_Churn
-from cleaned c left join (select customerID, Churn_Probability, Risk_Segment, Retention_Recommendation,
-  Potential_Revenue_Saved from campaign where customerID in
-  (select customerID from campaign group by customerID having count(*) = 1)) m using (customerID)"""))
+from cleaned c left join campaign m using (row_no)"""))
 def q_c1(spark, sf_dir):
-    base = cleaned(spark, sf_dir)
-    camp = campaign(spark, sf_dir)
-    # Join on the key only where it is unique; duplicated keys get no match
-    unique = camp.groupBy("customerID").agg(F.count(F.lit(1)).alias("__n")).where("__n = 1").select("customerID")
-    out = S.dashboard_master(base, camp.join(unique, "customerID", "left_semi"))
-    return out.select("row_no", "customerID", "Contract", "MonthlyCharges", "ChurnValue", "Churn_Probability",
-                      "Risk_Segment", "Retention_Recommendation", "Potential_Revenue_Saved", "Predicted_Churn")
+    return S.dashboard_master(campaign(spark, sf_dir)).select(
+        "row_no", "customerID", "Contract", "MonthlyCharges", "ChurnValue", "Churn_Probability",
+        "Risk_Segment", "Retention_Recommendation", "Potential_Revenue_Saved", "Predicted_Churn")
 
 
 @register("c1_key_uniqueness", O.with_cleaned(
