@@ -177,7 +177,6 @@ PLAN_LOYAL_TENURE = 24
 
 # --- FIXED VALUES: console limits -------------------------------------------
 
-BULK_MAX_ROWS = 20000        # optional guard, off by default in this build
 TOP_N_WITH_DRIVERS = 10
 MAX_DISPLAY_ROWS = 150
 TOP_DRIVERS = 4

@@ -102,14 +102,14 @@ def coerce_numeric(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 def batch_median(df: DataFrame, c: str | Column, mode: str = "exact") -> Column:
     """Scalar-subquery median of a column (exact and interpolated by default).
 
-    The exact form is Spark's ``percentile`` aggregate, whose partial state is
-    a (value -> count) map, so memory follows distinct values, not rows;
-    ``mode="approx"`` switches to ``percentile_approx`` for keys with
-    unbounded distinct values.
+    The exact form ranks the distinct values in buckets
+    (:func:`ordinal.exact_quantiles`), so no task gathers them all;
+    ``mode="approx"`` is one pass of ``percentile_approx``.
     """
     col = F.col(c) if isinstance(c, str) else c
-    agg = F.median(col) if mode == "exact" else F.percentile_approx(col, 0.5, 100000)
-    return df.select(agg).scalar()
+    if mode != "exact":
+        return df.select(F.percentile_approx(col, 0.5, 100000)).scalar()
+    return ordinal.exact_quantiles(df.select(col.alias("__median_of")), "__median_of", [0.5]).select("q0").scalar()
 
 
 def fill_median(df: DataFrame, c: str, fallback: float | None = None,

@@ -8,7 +8,7 @@ sort runs in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnkit.functions.numeric import half_even
@@ -19,24 +19,40 @@ from churnkit.operators import ordinal
 
 def stratified_split(df: DataFrame, label: str = "ChurnValue", key: str = "customerID",
                      order_col: str = "row_no", test_fraction: float = 0.2, seed: int = 42,
-                     hex_digits: int = 3) -> DataFrame:
+                     hex_digits: int = 4) -> DataFrame:
     """Exact-size stratified split: per label, the first ``round(f * n)``
-    rows in ``md5(key|order|seed)`` order go to ``test``.
-
-    The hash prefix is a uniform bucket (16**hex_digits of them), so the
-    within-label rank needs no global window: bucket counts -> offsets ->
-    row_number per (label, bucket). Rows with a null label are not split.
+    rows in ``md5(key|order|seed)`` order go to ``test``. Rows with a null
+    label are not split.
+
+    Only the border row of each label is looked for: counts per hash prefix
+    (16**hex_digits of them) name the prefix it lies in, counts of prefixes
+    twice as long inside it the next, and only the rows of that one are
+    ordered. Every row is then compared with its label's border; no row of
+    ``df`` is shuffled.
     """
     h = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col(order_col).cast("string"), F.lit(str(seed))))
     base = df.where(F.col(label).isNotNull()).withColumn("__h", h)
-    bucket = F.conv(F.substring("__h", 1, hex_digits), 16, 10).cast("long")
-    ranked = ordinal.row_number(base, [F.col("__h"), F.col(order_col)], bucket, "__rank", [label])
-    sizes = base.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    # one row per label value (a classification label): broadcast is bounded
-    out = ranked.join(F.broadcast(sizes), label)
-    k = F.round(F.lit(float(test_fraction)) * F.col("__n"))
-    return (out.withColumn("split", F.when(F.col("__rank") <= k, F.lit("test")).otherwise(F.lit("train")))
-            .drop("__h", "__rank", "__n"))
+    rows = base.select(F.col(label).alias("__label"), "__h", F.col(order_col).alias("__order"))
+    left = (rows.groupBy("__label").agg(F.count("*").alias("__n"))
+            .select("__label", F.round(F.lit(float(test_fraction)) * F.col("__n")).cast("long").alias("__k")))
+    for digits in (hex_digits, 2 * hex_digits):
+        # per label at most 16**hex_digits prefixes: those below the one before it
+        prefix = F.substring("__h", 1, digits)
+        counts = rows.groupBy("__label", prefix.alias("__prefix")).agg(F.count("*").alias("__c")).join(left, "__label")
+        before = F.sum("__c").over(Window.partitionBy("__label").orderBy("__prefix")) - F.col("__c")
+        left = (counts.withColumn("__before", before)
+                .where((F.col("__before") < F.col("__k")) & (F.col("__before") + F.col("__c") >= F.col("__k")))
+                .select("__label", (F.col("__k") - F.col("__before")).alias("__k"), "__prefix"))
+        rows = rows.join(left.select("__label", "__prefix"), "__label").where(prefix == F.col("__prefix")).drop("__prefix")
+        left = left.select("__label", "__k")
+    nth = F.row_number().over(Window.partitionBy("__label").orderBy("__h", "__order"))
+    border = (rows.join(left, "__label").withColumn("__nth", nth).where("__nth = __k")
+              .select("__label", F.struct("__h", "__order").alias("__border")))
+    # one row per label value
+    out = base.join(border, base[label] == border["__label"], "left")
+    is_test = F.struct(F.col("__h"), F.col(order_col).alias("__order")) <= F.col("__border")
+    return (out.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
+            .drop("__h", "__label", "__border"))
 
 
 def split_sizes(split: DataFrame, label: str = "ChurnValue") -> DataFrame:
@@ -56,16 +72,25 @@ def _ratio(a, b):
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
+def _binary(label: str, pred: str, df: DataFrame, decimals: int) -> list:
+    c = _cells(df, label, pred)
+    tp, tn, fp, fn = c["tp"], c["tn"], c["fp"], c["fn"]
+    return [half_even(_ratio(tp + tn, tp + tn + fp + fn), decimals).alias("accuracy"),
+            half_even(_ratio(tp, tp + fp), decimals).alias("precision"),
+            half_even(_ratio(tp, tp + fn), decimals).alias("recall"),
+            half_even(_ratio(2 * tp, 2 * tp + fp + fn), decimals).alias("f1")]
+
+
 def binary_metrics(df: DataFrame, label: str = "label", pred: str = "prediction",
                    decimals: int = 6) -> DataFrame:
     """Accuracy, precision, recall, F1 for class 1 (0 when undefined)."""
-    c = _cells(df, label, pred)
-    tp, tn, fp, fn = c["tp"], c["tn"], c["fp"], c["fn"]
-    return df.agg(
-        half_even(_ratio(tp + tn, tp + tn + fp + fn), decimals).alias("accuracy"),
-        half_even(_ratio(tp, tp + fp), decimals).alias("precision"),
-        half_even(_ratio(tp, tp + fn), decimals).alias("recall"),
-        half_even(_ratio(2 * tp, 2 * tp + fp + fn), decimals).alias("f1"))
+    return df.agg(*_binary(label, pred, df, decimals))
+
+
+def binary_metrics_by(df: DataFrame, by: str, label: str = "label", pred: str = "prediction",
+                      decimals: int = 6) -> DataFrame:
+    """I10 for each value of ``by``, in one aggregation."""
+    return df.groupBy(by).agg(*_binary(label, pred, df, decimals))
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
@@ -110,46 +135,41 @@ def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
             .agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")))
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score", n_buckets: int = 64,
-            decimals: int = 6) -> DataFrame:
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score", decimals: int = 6) -> DataFrame:
     """ROC-AUC = P(score_pos > score_neg) + 0.5 P(tie), i.e. the rank-sum
     statistic with average ranks."""
-    s = ordinal.with_quantile_bucket(_score_counts(df, label, score), "score", n_buckets, "__b")
-    cum = ordinal.running_sum(s, F.col("neg"), [F.col("score")], "__b", "__cneg")
-    part = cum.agg(F.sum(F.col("pos") * (F.col("__cneg") - F.col("neg") + F.col("neg") * F.lit(0.5))).alias("num"),
-                   F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    cum = _running_counts(df, label, score)           # from the top: negatives below = N - fps
+    below = F.col("N") - F.col("fps") + F.col("neg") * F.lit(0.5)
+    part = cum.agg(F.sum(F.col("pos") * below).alias("num"), F.max("P").alias("P"), F.max("N").alias("N"))
     return part.select(half_even(F.try_divide(F.col("num"), F.col("P").cast("double") * F.col("N")),
                                  decimals).alias("roc_auc"))
 
 
-def roc_curve(df: DataFrame, label: str = "label", score: str = "score", n_buckets: int = 64,
-              decimals: int = 6) -> DataFrame:
+def _running_counts(df: DataFrame, label: str, score: str) -> DataFrame:
+    """(score, pos, neg, tps, fps, P, N): counts at and above every distinct
+    score, and the totals, from one bucketed pass."""
+    counts = _score_counts(df, label, score)
+    return ordinal.running_sums(counts, "score", {"pos": ("tps", "P"), "neg": ("fps", "N")}, descending=True)
+
+
+def roc_curve(df: DataFrame, label: str = "label", score: str = "score", decimals: int = 6) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, plus (null, 0, 0)."""
-    s = ordinal.with_quantile_bucket(_score_counts(df, label, score), "score", n_buckets, "__b",
-                                     descending=True)
-    cum = ordinal.running_sum(s, F.col("pos"), [F.desc("score")], "__b", "tps")
-    cum = ordinal.running_sum(cum, F.col("neg"), [F.desc("score")], "__b", "fps")
-    totals = s.select(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()
+    cum = _running_counts(df, label, score)
     pts = cum.select(F.col("score").alias("threshold"),
-                     half_even(F.try_divide(F.col("fps").cast("double"), totals["N"]), decimals).alias("fpr"),
-                     half_even(F.try_divide(F.col("tps").cast("double"), totals["P"]), decimals).alias("tpr"))
+                     half_even(F.try_divide(F.col("fps").cast("double"), F.col("N")), decimals).alias("fpr"),
+                     half_even(F.try_divide(F.col("tps").cast("double"), F.col("P")), decimals).alias("tpr"))
     start = df.sparkSession.range(1).select(F.lit(None).cast("double").alias("threshold"),
                                             F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(pts)
 
 
-def precision_recall_curve(df: DataFrame, label: str = "label", score: str = "score",
-                           n_buckets: int = 64, decimals: int = 6) -> DataFrame:
+def precision_recall_curve(df: DataFrame, label: str = "label", score: str = "score", decimals: int = 6) -> DataFrame:
     """Claimed precision-recall analysis: (threshold, precision, recall) at every distinct score."""
-    s = ordinal.with_quantile_bucket(_score_counts(df, label, score), "score", n_buckets, "__b",
-                                     descending=True)
-    cum = ordinal.running_sum(s, F.col("pos"), [F.desc("score")], "__b", "tps")
-    cum = ordinal.running_sum(cum, F.col("neg"), [F.desc("score")], "__b", "fps")
-    P = s.select(F.sum("pos")).scalar()
+    cum = _running_counts(df, label, score)
     return cum.select(F.col("score").alias("threshold"),
                       half_even(F.try_divide(F.col("tps").cast("double"), (F.col("tps") + F.col("fps")).cast("double")),
                                 decimals).alias("precision"),
-                      half_even(F.try_divide(F.col("tps").cast("double"), P.cast("double")), decimals).alias("recall"))
+                      half_even(F.try_divide(F.col("tps").cast("double"), F.col("P").cast("double")), decimals).alias("recall"))
 
 
 def comparison_table(rows: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -48,15 +48,16 @@ def feature_listing(spark) -> DataFrame:
 
 def category_levels(df: DataFrame, columns: Sequence[str], max_levels: int = 1000) -> dict[str, list]:
     """Sorted distinct levels per column, for I1 when the caller does not
-    state them. One aggregation; the level sets travel to the driver because
-    they define the output schema, and a guard refuses unbounded columns."""
-    row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns]).first()
-    out = {}
-    for c in columns:
-        levels = list(row[c])
-        if len(levels) > max_levels:
-            raise ValueError(f"{c}: {len(levels)} levels exceed max_levels={max_levels}")
-        out[c] = levels
+    state them. The levels become columns, so they come to the driver; the
+    guard counts them where they are and brings over one more than allowed at
+    most, so a column of free text is refused without being gathered."""
+    cells = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*")
+    found = cells.where(F.col("v").isNotNull()).distinct().limit(max_levels * len(columns) + 1).collect()
+    out = {c: sorted(r["v"] for r in found if r["c"] == c) for c in columns}
+    for c, levels in out.items():
+        if len(levels) > max_levels or len(found) > max_levels * len(columns):
+            raise ValueError(f"{c}: {len(levels)} levels or more exceed max_levels={max_levels}")
     return out
 
 

@@ -8,18 +8,17 @@ collected except the fitted model.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnkit import constants as K
 from churnkit.operators.evaluate import binary_metrics
+from churnkit.sources.files import path_exists
 
 
 # Tree training: let each pass over the data split more nodes at once (fewer
@@ -36,14 +35,14 @@ def estimator(name: str, n_train: int | None = None, seed: int = 42, num_trees:
         # sklearn's C=1 penalises 0.5*||w||^2 against the summed loss; Spark
         # scales the loss by 1/n, so regParam = 1/n approximates it.
         reg = 1.0 / n_train if n_train else 0.0
-        return LogisticRegression(maxIter=100, regParam=reg, elasticNetParam=0.0, standardization=False)
+        return LogisticRegression(maxIter=5000, regParam=reg, elasticNetParam=0.0, standardization=False)
     if name == "random_forest":
         return RandomForestClassifier(numTrees=num_trees, featureSubsetStrategy="sqrt", seed=seed,
                                       maxDepth=max_depth, **TREE_PERF)
     if name == "gradient_boosting":        # stands in for XGBoost
-        return GBTClassifier(maxIter=30, maxDepth=6, stepSize=0.3, seed=seed, maxMemoryInMB=1024)
+        return GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=seed, maxMemoryInMB=1024)
     if name == "gradient_boosting_fast":   # stands in for LightGBM: more, shallower trees
-        return GBTClassifier(maxIter=40, maxDepth=3, stepSize=0.2, seed=seed, subsamplingRate=0.8,
+        return GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.2, seed=seed, subsamplingRate=0.8,
                              maxMemoryInMB=1024)
     if name == "decision_tree":
         return DecisionTreeClassifier(maxDepth=max_depth, seed=seed, **TREE_PERF)
@@ -97,19 +96,18 @@ _CACHE: dict[str, PipelineModel] = {}
 
 
 def load_model(path: str, force_reload: bool = False) -> PipelineModel | None:
-    """Cached per process; None when missing or unreadable."""
+    """Cached per process; None when missing, an error when unreadable."""
     if not force_reload and path in _CACHE:
         return _CACHE[path]
-    try:
-        model = PipelineModel.load(path)
-    except Exception:                        # missing or unreadable
+    if not is_model_available(path):
         return None
-    _CACHE[path] = model
-    return model
+    _CACHE[path] = PipelineModel.load(path)
+    return _CACHE[path]
 
 
 def is_model_available(path: str) -> bool:
-    return load_model(path) is not None or os.path.isdir(path)
+    """Whether a saved model stands at ``path`` (any store Spark reads)."""
+    return path_exists(SparkSession.active(), f"{path.rstrip('/')}/metadata")
 
 
 def feature_importances(model: PipelineModel) -> list[tuple[str, float]]:

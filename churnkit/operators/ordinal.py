@@ -1,12 +1,11 @@
 """Row numbers and running sums without a global window.
 
 A window with ``orderBy`` and no ``partitionBy`` moves every row into one
-task. These helpers split the ordered rows into buckets that are monotone in
-the sort order, count each bucket (a small aggregate), turn the counts into
-per-bucket offsets over that small table, and finish with a window per
-bucket. Each task therefore sees one bucket; the offset table has one row per
-bucket and is the only thing broadcast, so its size is bounded by the bucket
-count the caller chooses, not by the data.
+task. These helpers split the ordered rows
+into buckets that are monotone in the sort order, count each bucket (a small
+aggregate), turn the counts into per-bucket offsets over that small table, and
+finish with a window per bucket. Each task therefore sees one bucket; how the
+one-row-per-bucket offsets meet the rows is left to adaptive execution.
 """
 
 from __future__ import annotations
@@ -33,10 +32,9 @@ def running_sum(df: DataFrame, value: Column, order_cols: Sequence, bucket: Colu
     totals = d.groupBy(*part, _BKT).agg(F.sum("__v").alias("__tot"))
     w = Window.partitionBy(*part).orderBy(_BKT)
     offsets = totals.select(*part, _BKT, (F.sum("__tot").over(w) - F.col("__tot")).alias(_OFF))
-    # Broadcast bound: one row per (partition key, bucket). For row-number
-    # ranges of 2**20 rows, 10**11 rows give 10**5 offsets (~2 MB); quantile and
-    # hash-prefix buckets are a fixed count (64 / 4096) per partition key.
-    d = d.join(F.broadcast(offsets), [*part, _BKT], "inner")
+    # one row per (partition key, bucket): adaptive execution broadcasts it when
+    # it is small, else the join's shuffle by bucket serves the window as well
+    d = d.join(offsets, [*part, _BKT], "inner")
     wb = (Window.partitionBy(*part, _BKT).orderBy(*order_cols)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (d.withColumn(out, F.sum("__v").over(wb) + F.col(_OFF))
@@ -66,29 +64,53 @@ def with_quantile_bucket(df: DataFrame, c: str, n_buckets: int, out: str,
     return d.withColumn(out, (F.lit(n_buckets) - below) if descending else below).drop("__bounds")
 
 
+def running_sums(df: DataFrame, order: str, sums: dict[str, tuple[str, str]], descending: bool = False,
+                 per_bucket: int = 100_000) -> DataFrame:
+    """Several inclusive running sums over the distinct values of ``order`` in
+    one pass: ``sums`` maps a column to the names of its running sum and of
+    its total.
+
+    ``df`` has one row per value. It is written to the checkpoint folder once,
+    counted, and cut into buckets of about ``per_bucket`` rows, so buckets
+    follow the data; bucket totals become offsets over one row per bucket.
+    """
+    df = df.checkpoint(eager=True)
+    n_buckets = max(1, -(-df.count() // per_bucket))
+    d = with_quantile_bucket(df, order, n_buckets, _BKT, descending) if n_buckets > 1 else df.withColumn(_BKT, F.lit(0))
+    totals = d.groupBy(_BKT).agg(*(F.sum(c).alias(f"__t_{c}") for c in sums))
+    before, whole = Window.orderBy(_BKT), Window.partitionBy()
+    offsets = totals.select(
+        _BKT, *((F.sum(f"__t_{c}").over(before) - F.col(f"__t_{c}")).alias(f"__o_{c}") for c in sums),
+        *(F.sum(f"__t_{c}").over(whole).alias(total) for c, (_, total) in sums.items()))
+    by = F.desc(order) if descending else F.asc(order)
+    inside = Window.partitionBy(_BKT).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = d.join(offsets, _BKT)
+    return out.select(*df.columns, *((F.sum(c).over(inside) + F.col(f"__o_{c}")).alias(run) for c, (run, _) in sums.items()),
+                      *(total for _, total in sums.values()))
+
+
 def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], group_cols: Sequence[str] = (),
-                    n_buckets: int = 64, prefix: str = "q") -> DataFrame:
+                    per_bucket: int = 100_000, prefix: str = "q") -> DataFrame:
     """Exact, linearly interpolated quantiles (NumPy/pandas "linear" rule)
     without gathering a group's values in one task.
 
     Rows are first reduced to (group, value, count) — map-side — then a
     bucketed running count gives each distinct value its rank interval, and
     one more aggregate picks the values at the two ranks around each target
-    position. Work per task is bounded by values per bucket; the only
-    broadcast is the per-bucket offset table. Output: ``group_cols`` plus
+    position. Work per task is bounded by values per bucket. Output: ``group_cols`` plus
     ``{prefix}{i}`` per probability, and ``n`` (non-null count).
     """
     g = list(group_cols)
     vals = (df.where(F.col(c).isNotNull()).groupBy(*g, c)
-            .agg(F.count(F.lit(1)).alias("__cnt")))
+            .agg(F.count(F.lit(1)).alias("__cnt"))).checkpoint(eager=True)
     # Buckets from approximate quantiles of the distinct values, so every
-    # bucket holds a similar number of distinct values whatever the skew.
-    vals = with_quantile_bucket(vals, c, n_buckets, "__qb")
-    ranked = running_sum(vals, F.col("__cnt"), [F.col(c)], "__qb", "__cum", g).drop("__qb")
-    if g:   # one row per group; joined on the group key, no per-group window
-        ranked = ranked.join(vals.groupBy(*g).agg(F.sum("__cnt").alias("__n")), g)
-    else:
-        ranked = ranked.withColumn("__n", vals.select(F.sum("__cnt")).scalar())
+    # bucket holds a similar number of them whatever the skew; their number
+    # follows the number of values.
+    n_buckets = max(1, -(-vals.count() // per_bucket))
+    bucketed = with_quantile_bucket(vals, c, n_buckets, "__qb") if n_buckets > 1 else vals.withColumn("__qb", F.lit(0))
+    ranked = running_sum(bucketed, F.col("__cnt"), [F.col(c)], "__qb", "__cum", g).drop("__qb")
+    sizes = vals.groupBy(*g).agg(F.sum("__cnt").alias("__n"))
+    ranked = ranked.join(sizes, g) if g else ranked.withColumn("__n", sizes.select("__n").scalar())
     aggs = [F.first("__n").alias("n")]
     for i, p in enumerate(probs):
         h = (F.col("__n") - 1) * F.lit(float(p))

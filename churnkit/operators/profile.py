@@ -121,7 +121,8 @@ def group_mean(df: DataFrame, by: str, c: str | Sequence[str], alias: str | None
 
 def most_frequent(df: DataFrame, c: str, alias: str = "mode") -> DataFrame:
     """``mode()[0]``: the commonest value, the smallest on ties."""
-    return df.agg(F.mode(F.col(c), True).alias(alias))
+    counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("__n"))
+    return counts.agg(F.min_by(c, F.struct(-F.col("__n"), F.col(c))).alias(alias))     # no task holds all values
 
 
 # --- D23, D24 --------------------------------------------------------------------------------

@@ -3,20 +3,15 @@
 The fitted model's node table is read back from its saved Parquet form
 (``treeID, nodeData{id, impurityStats, leftChild, rightChild, split}``), held
 by the driver like the model itself and broadcast; rows are explained in
-Arrow batches by ``mapInPandas``. The recursion is the published
-polynomial-time TreeSHAP algorithm (Lundberg, Erion & Lee, 2018), written
-here in NumPy for one row at a time.
+Arrow batches by ``mapInPandas``, one NumPy pass per leaf over the batch.
 
 Value explained: class-1 probability for random forests and decision trees
 (mean of the per-tree normalised leaf class counts, as Spark predicts), raw
 margin for gradient-boosted trees. Cover = training weight reaching a node.
-Attribution is expensive (trees x leaves x depth^2 per row), so callers
-restrict it to the rows that need it (the console's top-10), as the original did.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import numpy as np
@@ -73,7 +68,7 @@ def read_trees(spark: SparkSession, model) -> tuple[list[Tree], np.ndarray, str]
     est = model.stages[-1] if hasattr(model, "stages") else model
     path = shared_path(spark, "churnkit-models", f"explain-{uuid.uuid4().hex}")
     est.write().overwrite().save(path)
-    data = spark.read.parquet(os.path.join(path, "data"))
+    data = spark.read.parquet(f"{path}/data")
     if "nodeData" in data.columns:            # ensembles: (treeID, nodeData struct)
         data = data.select("treeID", "nodeData.*")
     else:                                     # a single tree: flat node rows
@@ -92,76 +87,70 @@ def read_trees(spark: SparkSession, model) -> tuple[list[Tree], np.ndarray, str]
     return trees, np.full(len(trees), 1.0 / len(trees)), "probability"
 
 
-# --- the recursion (one row, one tree) -------------------------------------------
-
-def _extend(fi, zf, of, pw, depth, zero, one, feat):
-    fi[depth], zf[depth], of[depth] = feat, zero, one
-    pw[depth] = 1.0 if depth == 0 else 0.0
-    for i in range(depth - 1, -1, -1):
-        pw[i + 1] += one * pw[i] * (i + 1) / (depth + 1)
-        pw[i] = zero * pw[i] * (depth - i) / (depth + 1)
-
-
-def _unwind(fi, zf, of, pw, depth, k):
-    one, zero = of[k], zf[k]
-    nxt = pw[depth]
-    for i in range(depth - 1, -1, -1):
-        if one != 0:
-            tmp = pw[i]
-            pw[i] = nxt * (depth + 1) / ((i + 1) * one)
-            nxt = tmp - pw[i] * zero * (depth - i) / (depth + 1)
-        else:
-            pw[i] = pw[i] * (depth + 1) / (zero * (depth - i))
-    for i in range(k, depth):
-        fi[i], zf[i], of[i] = fi[i + 1], zf[i + 1], of[i + 1]
-
-
-def _unwound_sum(zf, of, pw, depth, k):
-    one, zero = of[k], zf[k]
-    nxt = pw[depth]
-    total = 0.0
-    for i in range(depth - 1, -1, -1):
-        if one != 0:
-            tmp = nxt * (depth + 1) / ((i + 1) * one)
-            total += tmp
-            nxt = pw[i] - tmp * zero * (depth - i) / (depth + 1)
-        else:
-            total += (pw[i] / zero) / ((depth - i) / (depth + 1))
-    return total
-
-
-def _recurse(t: Tree, x, phi, node, depth, path, pz, po, pfeat):
-    fi, zf, of, pw = (list(a) for a in path)
-    for a in (fi, zf, of, pw):
-        a.extend([0] * (depth + 1 - len(a)))
-    _extend(fi, zf, of, pw, depth, pz, po, pfeat)
-    if t.left[node] < 0:
-        for i in range(1, depth + 1):
-            w = _unwound_sum(zf, of, pw, depth, i)
-            phi[fi[i]] += w * (of[i] - zf[i]) * t.value[node]
-        return
-    f = t.feature[node]
-    hot, cold = (t.left[node], t.right[node]) if x[f] <= t.threshold[node] else (t.right[node], t.left[node])
-    cov = t.cover[node]
-    hz, cz = t.cover[hot] / cov, t.cover[cold] / cov
-    iz, io = 1.0, 1.0
-    k = next((i for i in range(depth + 1) if fi[i] == f), None)
-    if k is not None:
-        iz, io = zf[k], of[k]
-        _unwind(fi, zf, of, pw, depth, k)
-        depth -= 1
-    state = (fi[:depth + 1], zf[:depth + 1], of[:depth + 1], pw[:depth + 1])
-    _recurse(t, x, phi, hot, depth + 1, state, hz * iz, io, f)
-    _recurse(t, x, phi, cold, depth + 1, state, cz * iz, 0.0, f)
-
-
-def shap_row(trees: list[Tree], weights: np.ndarray, x: np.ndarray, n_features: int) -> np.ndarray:
-    phi = np.zeros(n_features + 1)        # last slot absorbs the root's dummy feature (-1)
-    for t, w in zip(trees, weights):
-        part = np.zeros(n_features + 1)
-        _recurse(t, x, part, 0, 0, ([], [], [], []), 1.0, 1.0, -1)
-        phi += w * part
-    return phi[:n_features]
+# --- attribution of a batch of rows --------------------------------------------------
+
+class LeafPath:
+    """One leaf: its value, the different features on the way to it, for each
+    the interval a row's value must lie in and the share of training weight
+    that went that way."""
+
+    __slots__ = ("value", "features", "low", "high", "share")
+
+    def __init__(self, value, steps):
+        merged: dict[int, list[float]] = {}
+        for feature, low, high, share in steps:
+            own = merged.setdefault(feature, [-np.inf, np.inf, 1.0])
+            own[0], own[1], own[2] = max(own[0], low), min(own[1], high), own[2] * share
+        self.value = value
+        self.features = np.array(list(merged), np.int64)
+        self.low, self.high, self.share = (np.array([m[i] for m in merged.values()]) for i in range(3))
+
+
+def leaf_paths(tree: Tree) -> list[LeafPath]:
+    out, waiting = [], [(0, [])]
+    while waiting:
+        node, steps = waiting.pop()
+        if tree.left[node] < 0:
+            if steps and tree.value[node] != 0:
+                out.append(LeafPath(tree.value[node], steps))
+            continue
+        f, at, cover = int(tree.feature[node]), tree.threshold[node], tree.cover[node]
+        for child, low, high in ((tree.left[node], -np.inf, at), (tree.right[node], at, np.inf)):
+            waiting.append((child, [*steps, (f, low, high, tree.cover[child] / cover)]))
+    return out
+
+
+def _leaf_values(path: LeafPath, follows: np.ndarray) -> np.ndarray:
+    """Shapley values of a leaf's features for rows that follow its path on
+    some of them (``follows``: rows x features).
+
+    A feature that is known sends the row its own way, an unknown one by
+    training weight. The average over all orders of getting known is an
+    integral over t of the product of (1 - t) * share + t * follows over the
+    other features, a polynomial that Gauss-Legendre points integrate exactly.
+    """
+    m = len(path.features)
+    points, weights = np.polynomial.legendre.leggauss(m // 2 + 1)
+    t = (points + 1) / 2
+    factor = path.share[None, :, None] * (1 - t) + follows[:, :, None] * t
+    rest = factor.prod(1, keepdims=True) / factor
+    return path.value * (follows - path.share) * (rest * (weights / 2)).sum(2)
+
+
+def shap_batch(paths: list[list[LeafPath]], weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Attributions (rows x features). Each leaf takes the whole batch at once;
+    rows that follow its path on the same features share one computation."""
+    phi = np.zeros(x.shape)
+    columns = np.ascontiguousarray(x.T)
+    for tree, weight in zip(paths, weights, strict=True):
+        for path in tree:
+            code = np.zeros(len(x), np.int64)
+            for j, f in enumerate(path.features):
+                code |= ((columns[f] > path.low[j]) & (columns[f] <= path.high[j])).astype(np.int64) << j
+            kinds, which = np.unique(code, return_inverse=True)
+            follows = (kinds[:, None] >> np.arange(len(path.features)) & 1).astype(float)
+            phi[:, path.features] += weight * _leaf_values(path, follows)[which]
+    return phi
 
 
 def expected_value(trees: list[Tree], weights: np.ndarray) -> float:
@@ -169,40 +158,45 @@ def expected_value(trees: list[Tree], weights: np.ndarray) -> float:
     return float(sum(w * t.value[0] for t, w in zip(trees, weights)))
 
 
-def explain(df: DataFrame, model, features=K.FEATURE_COLUMNS, keys=("row_no",)) -> DataFrame:
-    """Long table (keys..., feature, value, phi) of tree attributions for
-    every row of ``df`` (restrict ``df`` first: the cost is per row)."""
+def explain(df: DataFrame, model, features=K.FEATURE_COLUMNS, keys=("row_no",),
+            tasks: int | None = None) -> DataFrame:
+    """Long table (keys..., pos, feature, value, phi) of tree attributions for
+    every row of ``df``. ``tasks`` deals the rows out first: attribution costs
+    far more per row than reading it, and a small input is often one partition."""
     spark = df.sparkSession
     ship_package(spark)
     trees, weights, _ = read_trees(spark, model)
-    bc = spark.sparkContext.broadcast((trees, weights))
-    feats = list(features)
-    keys = list(keys)
+    sent = spark.sparkContext.broadcast(([leaf_paths(t) for t in trees], weights))   # model-sized
+    feats, keys = list(features), list(keys)
 
     def run(batches):
-        ts, ws = bc.value
+        paths, ws = sent.value
         for pdf in batches:
-            X = pdf[feats].to_numpy(dtype=float)
-            out = []
-            for r in range(len(pdf)):
-                phi = shap_row(ts, ws, X[r], len(feats))
-                for j, f in enumerate(feats):
-                    out.append((*[pdf[k].iloc[r] for k in keys], j, f, float(X[r, j]), float(phi[j])))
-            yield pd.DataFrame(out, columns=[*keys, "pos", "feature", "value", "phi"])
+            x = pdf[feats].to_numpy(dtype=float)
+            phi = shap_batch(paths, ws, x)
+            out = pdf[keys].loc[pdf.index.repeat(len(feats))].reset_index(drop=True)
+            yield out.assign(pos=np.tile(np.arange(len(feats), dtype=np.int32), len(pdf)),
+                             feature=feats * len(pdf), value=x.ravel(), phi=phi.ravel())
 
     key_schema = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes)
     schema = f"{key_schema}, pos int, feature string, value double, phi double"
-    # Cut lineage before the Python stage (reliable checkpoint in the shared
-    # folder): the slow attribution never re-runs upstream work after a lost
-    # executor, and the Python plan node stays independent of the scoring plan.
-    # (features go in with their own types; pandas converts them to float)
+    # lineage is cut before the Python stage: a lost executor never makes upstream work run again
     inputs = df.select(*keys, *[F.col(f"`{f}`") for f in feats]).checkpoint(eager=True)
-    # Attribution costs far more per row than reading it: a small input (the
-    # top-k) is spread over all cores instead of running in one task.
-    slots = spark.sparkContext.defaultParallelism
-    if inputs.rdd.getNumPartitions() < slots:
-        inputs = inputs.repartition(slots)
-    return inputs.mapInPandas(run, schema)
+    return (inputs.repartition(tasks) if tasks else inputs).mapInPandas(run, schema)
+
+
+def importance(long: DataFrame, decimals: int = 6) -> DataFrame:
+    """I19 on tree attributions: mean absolute value per feature."""
+    from churnkit.functions.numeric import half_even
+    return long.groupBy(F.col("feature").alias("Feature")).agg(half_even(F.avg(F.abs("phi")), decimals).alias("Importance"))
+
+
+def additivity(long: DataFrame, predicted: DataFrame, base: float, keys=("row_no",), tolerance: float = 1e-9) -> DataFrame:
+    """(rows, violations): base plus a row's attributions is the model's output (``predicted.output``)."""
+    total = long.groupBy(*keys).agg(F.sum("phi").alias("__phi"))
+    off = F.abs(F.lit(float(base)) + F.col("__phi") - F.col("output")) > F.lit(tolerance)
+    return predicted.join(total, list(keys), "left").agg(
+        F.count("*").alias("rows"), F.count_if(F.coalesce(off, F.lit(True))).alias("violations"))
 
 
 def top_drivers(long: DataFrame, n: int = K.TOP_DRIVERS, keys=("row_no",)) -> DataFrame:

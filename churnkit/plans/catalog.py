@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from churnkit.operators import clean as C
 from churnkit.operators import kpi as KPI
 from churnkit.plans import oracle_sql as O
 from churnkit.plans.stages import staged
+from churnkit.session import shared_path
 from churnkit.sources.tables import accounts_raw
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -735,30 +736,63 @@ def q_pr(spark, sf_dir):
     return EV.precision_recall_curve(test_scores(spark, sf_dir))
 
 
-# --- trained models (rows-only: training is not SQL) --------------------------------------------------
+# --- trained models (checked by what every fit must satisfy) --------------------------------------------------
 
 from churnkit.operators import models as MD  # noqa: E402
 
 
+def split_rows(spark, sf_dir):
+    """Keys, label, the 30 features and the split: what training and testing read, written once."""
+    return staged(spark, f"split:{sf_dir}", lambda: split_scored(spark, sf_dir).select(
+        "row_no", "customerID", "ChurnValue", "churn_probability", "split", *[F.col(f"`{f}`") for f in K.FEATURE_COLUMNS]))
+
+
 def _train_test(spark, sf_dir):
-    sp = split_scored(spark, sf_dir)
+    sp = split_rows(spark, sf_dir)
     return sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
 
 
-def _model_metrics(name, **kw):
-    def job(spark, sf_dir):
-        train, test = _train_test(spark, sf_dir)
+def fitted(spark, sf_dir, name):
+    """The model family trained on the train split at the original's sizes;
+    trained and saved once per application (A12), loaded after that."""
+    import hashlib
+    key = hashlib.sha1(f"{spark.sparkContext.applicationId}:{sf_dir}".encode()).hexdigest()[:16]
+    path = shared_path(spark, "churnkit-models", f"{name}-{key}")
+    model = MD.load_model(path)
+    if model is None:
+        train, _ = _train_test(spark, sf_dir)
         n = train.count() if name == "logistic_regression" else None
-        model = MD.fit(train, name, n_train=n, **kw) if name == "logistic_regression" else MD.fit(train, name, **kw)
-        return MD.evaluate_model(model, test).select(F.lit(MD.DISPLAY_NAMES[name]).alias("Model"), "*")
-    return job
+        MD.save_model(MD.fit(train, name, **({"n_train": n} if n else {})), path)
+        model = MD.load_model(path)
+    return model
 
 
-register("i5_logistic_regression")(_model_metrics("logistic_regression"))
-register("i6_random_forest")(_model_metrics("random_forest", num_trees=50))
-register("i7_gradient_boosting")(_model_metrics("gradient_boosting"))
-register("i8_gradient_boosting_fast")(_model_metrics("gradient_boosting_fast"))
-register("decision_tree")(_model_metrics("decision_tree"))
+def _model_check(name, keeps_mean):
+    """Rows scored and probabilities outside 0..1 per split and label. A model
+    whose fit keeps the mean (an unpenalised intercept, leaf averages) must
+    give the train split's share of churners back as its mean probability."""
+    def job(spark, sf_dir):
+        scored_rows = MD.predict(fitted(spark, sf_dir, name), split_rows(spark, sf_dir))
+        p = F.col("churn_probability")
+        cells = scored_rows.groupBy("split", F.col("ChurnValue").alias("label")).agg(
+            F.count("*").alias("rows"), F.count_if(p.isNull() | ~p.between(0.0, 1.0)).alias("outside"), F.sum(p).alias("p"))
+        out = cells.select(F.lit(MD.DISPLAY_NAMES[name]).alias("Model"), "split", "label", "rows", "outside", "p")
+        if keeps_mean:
+            w = Window.partitionBy("split")           # two labels
+            gap = F.abs(F.sum("p").over(w) - F.sum(F.col("rows") * F.col("label")).over(w)) / F.sum("rows").over(w)
+            out = out.withColumn("mean_kept", F.when(F.col("split") == "train", gap < 1e-3))
+        return out.drop("p")
+    mean = ", case when split = 'train' then true end as mean_kept" if keeps_mean else ""
+    sql = with_eval(f"select '{MD.DISPLAY_NAMES[name]}' as Model, split, ChurnValue as label, count(*) as rows, "
+                    f"cast(0 as bigint) as outside{mean} from splitted group by split, ChurnValue")
+    return sql, job
+
+
+for _key, _name, _mean in (("i5_logistic_regression", "logistic_regression", True), ("i6_random_forest", "random_forest", False),
+                           ("i7_gradient_boosting", "gradient_boosting", False),
+                           ("i8_gradient_boosting_fast", "gradient_boosting_fast", False), ("decision_tree", "decision_tree", True)):
+    _sql, _job = _model_check(_name, _mean)
+    register(_key, _sql)(_job)
 
 
 # --- more views: waterfall, derived fields, geography, drift, filters, preview --------------------
@@ -879,36 +913,60 @@ def q_d31(spark, sf_dir):
 
 @register("i16_model_comparison")
 def q_i16(spark, sf_dir):
-    """I16 + I17: every model family on the same split; ``best`` marks the X8 choice."""
-    train, test = _train_test(spark, sf_dir)
-    train = train.persist()          # reused by four fits; recomputable from lineage if lost
-    n = train.count()
-    rows = []
+    """I16 + I17: every model family on the same test split, each scored once;
+    ``best`` marks the X8 choice."""
+    _, test = _train_test(spark, sf_dir)
+    cells = None
     for name in MD.MODEL_NAMES:
-        kw = {"n_train": n} if name == "logistic_regression" else {}
-        model = MD.fit(train, name, **kw)
-        rows.append((MD.DISPLAY_NAMES[name], MD.evaluate_model(model, test)))
-    train.unpersist()                # fitted; the metrics below read the test rows only
-    table = EV.comparison_table(rows)
-    best = MD.choose_best(table).select(F.col("Model").alias("__best"))
-    return table.join(F.broadcast(best), F.col("Model") == F.col("__best"), "left") \
-        .withColumn("best", F.col("__best").isNotNull()).drop("__best")
+        one = MD.predict(fitted(spark, sf_dir, name), test).select(
+            F.lit(MD.DISPLAY_NAMES[name]).alias("Model"), F.col("ChurnValue").alias("label"), F.col("predicted").alias("prediction"))
+        cells = one if cells is None else cells.unionByName(one)
+    table = EV.binary_metrics_by(cells, "Model")
+    place = F.row_number().over(Window.orderBy(F.desc("f1"), F.desc("accuracy"), F.asc("Model")))   # one row per model
+    return table.withColumn("best", place == 1)
 
 
-# --- I18: tree attribution (Arrow batches; rows-only check) ------------------------------------------
+# --- I18: tree attribution (Arrow batches) -------------------------------------------------------------
 
 from churnkit.operators import tree_shap as TS  # noqa: E402
 
 
+def _explained(spark, sf_dir):
+    """Attributions of the whole test split by the 200-tree forest, written once."""
+    _, test = _train_test(spark, sf_dir)
+    return staged(spark, f"explained:{sf_dir}", lambda: TS.explain(
+        test, fitted(spark, sf_dir, "random_forest"), tasks=4 * spark.sparkContext.defaultParallelism))
+
+
+@register("i18_tree_additivity", with_eval("select count(*) as rows, cast(0 as bigint) as violations from ev"))
+def q_i18a(spark, sf_dir):
+    """Base value plus attributions is the forest's probability on every test row."""
+    model = fitted(spark, sf_dir, "random_forest")
+    trees, weights, _ = TS.read_trees(spark, model)
+    predicted = MD.predict(model, _train_test(spark, sf_dir)[1]).select("row_no", F.col("churn_probability").alias("output"))
+    return TS.additivity(_explained(spark, sf_dir), predicted, TS.expected_value(trees, weights), tolerance=1e-8)
+
+
+@register("i18_tree_explained_cells", with_eval(
+    "select f.feature, count(*) as rows from ev, (select unnest([" + ", ".join(O.q(f) for f in K.FEATURE_COLUMNS)
+    + "]) as feature) f group by f.feature"))
+def q_i18c(spark, sf_dir):
+    return _explained(spark, sf_dir).groupBy("feature").agg(F.count("*").alias("rows"))
+
+
+@register("i18_tree_importance")
+def q_i18b(spark, sf_dir):
+    return TS.importance(_explained(spark, sf_dir))
+
+
 @register("i18_tree_drivers_top10")
 def q_i18(spark, sf_dir):
-    """Random forest trained on the train split; the ten most at-risk
-    customers by its probability get their top drivers from exact TreeSHAP."""
-    train, _ = _train_test(spark, sf_dir)
-    model = MD.fit(train, "random_forest", num_trees=50)
-    scored_rf = MD.predict(model, scored(spark, sf_dir))
-    top = scored_rf.orderBy(F.desc("churn_probability"), F.asc("row_no")).limit(K.TOP_N_WITH_DRIVERS)
-    drivers = TS.top_drivers(TS.explain(top, model))
-    return (top.select("row_no", F.col("customerID").alias("id"), "churn_probability")
-            .join(drivers, "row_no", "left")
-            .select("row_no", "id", "churn_probability", F.array_join("top_drivers", "|").alias("top_drivers")))
+    """The ten most at-risk customers of the test split by the forest's
+    probability with their top drivers."""
+    _, test = _train_test(spark, sf_dir)
+    top = (MD.predict(fitted(spark, sf_dir, "random_forest"), test)
+           .orderBy(F.desc("churn_probability"), F.asc("row_no")).limit(K.TOP_N_WITH_DRIVERS)
+           .select("row_no", F.col("customerID").alias("id"), "churn_probability"))
+    drivers = TS.top_drivers(_explained(spark, sf_dir).join(top.select("row_no"), "row_no", "left_semi"))
+    return top.join(drivers, "row_no", "left").select(
+        "row_no", "id", "churn_probability", F.array_join("top_drivers", "|").alias("top_drivers"))

@@ -7,13 +7,13 @@ pruning). Report CSVs are catalogued with Spark's file metadata columns.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from churnkit import constants as K
 from churnkit.functions.numeric import half_even
+from churnkit.sources.files import hadoop_path, path_exists
 
 
 def save_run(results: DataFrame, base: str, run_id: str) -> str:
@@ -24,14 +24,19 @@ def save_run(results: DataFrame, base: str, run_id: str) -> str:
     return base
 
 
+def read_runs(spark: SparkSession, base: str) -> DataFrame:
+    """The run store; ``run_id`` stays text, also where all ids are digits."""
+    found = spark.read.parquet(base)
+    fields = [StructField(f.name, StringType() if f.name == "run_id" else f.dataType) for f in found.schema]
+    return spark.read.schema(StructType(fields)).parquet(base)
+
+
 def load_run(spark: SparkSession, base: str, run_id: str) -> DataFrame | None:
-    """The run's rows, or None when the store or the run is absent."""
-    if not os.path.isdir(os.path.join(base, f"run_id={run_id}")):
-        return None
-    try:
-        return spark.read.parquet(base).where(F.col("run_id") == run_id).drop("run_id")
-    except Exception:                                  # unreadable store
+    """The run's rows, or None when the store or the run is absent; any
+    other trouble with the store is an error."""
+    if not path_exists(spark, f"{base.rstrip('/')}/run_id={run_id}"):
         return None
+    return read_runs(spark, base).where(F.col("run_id") == run_id).drop("run_id")
 
 
 def report_name(run_id: str) -> str:
@@ -48,9 +53,7 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
     """(filename, length, modificationTime) of a folder through the Hadoop
     FileSystem API (works for HDFS/object stores; lists empty files too,
     which Spark's file sources skip). One row per file: metadata only."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(directory)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, path = hadoop_path(spark, directory)
     rows = [(st.getPath().getName(), int(st.getLen()), int(st.getModificationTime()))
             for st in fs.listStatus(path) if st.isFile()]
     df = spark.createDataFrame(rows, "filename string, length long, mtime_ms long")
@@ -69,8 +72,8 @@ def report_catalogue(spark: SparkSession, reports_dir: str, runs_base: str | Non
              .groupBy("filename").agg(F.count(F.lit(1)).alias("lines")))
     cat = files.join(lines, "filename", "left")
     cat = cat.withColumn("run_id", run_id_of(F.col("filename")))
-    if runs_base and os.path.isdir(runs_base):
-        runs = (spark.read.parquet(runs_base).select("run_id").distinct()
+    if runs_base and path_exists(spark, runs_base):
+        runs = (read_runs(spark, runs_base).select("run_id").distinct()
                 .withColumn("dashboard_available", F.lit(True)))
         cat = cat.join(runs, "run_id", "left")   # one row per run; AQE picks the join
     else:
@@ -88,3 +91,10 @@ def review_run(spark: SparkSession, filename: str, runs_base: str) -> DataFrame
     if not (filename.startswith(K.REPORT_PREFIX) and filename.endswith(".csv")):
         return None
     return load_run(spark, runs_base, filename[len(K.REPORT_PREFIX):-4])
+
+
+def reopened_kpis(spark: SparkSession, filename: str, runs_base: str) -> DataFrame | None:
+    """The console KPI row (D21) of a run opened again by its report name."""
+    from churnkit.operators.scoring import console_kpis
+    rows = review_run(spark, filename, runs_base)
+    return None if rows is None else console_kpis(rows)

@@ -10,8 +10,6 @@ folders, which makes a replayed batch overwrite rather than duplicate.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -19,13 +17,14 @@ from pyspark.sql.types import StringType, StructField, StructType
 from churnkit import constants as K
 from churnkit.operators.clean import clean_accounts, validate_records
 from churnkit.operators.scoring import bulk_results, score
+from churnkit.sources.files import null_tokens
 
 INPUT_SCHEMA = StructType([StructField(c, StringType(), True) for c in K.RAW_COLUMNS])
 
 
 def score_batch(batch: DataFrame, frozen_monthly_median: float) -> tuple[DataFrame, DataFrame]:
     """Valid-row results and rejected rows of one batch (pure DataFrame work)."""
-    v = validate_records(batch)
+    v = validate_records(null_tokens(batch))
     ok = v.where(F.col("validation_error").isNull()).drop("validation_error")
     bad = v.where(F.col("validation_error").isNotNull())
     ok = ok.withColumn("row_no", F.lit(None).cast("long"))
@@ -36,13 +35,17 @@ def score_batch(batch: DataFrame, frozen_monthly_median: float) -> tuple[DataFra
 def start(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str,
           frozen_monthly_median: float, available_now: bool = True, max_files_per_trigger: int = 100):
     """Start the scorer; returns the StreamingQuery."""
-    stream = (spark.readStream.schema(INPUT_SCHEMA).option("header", True)
+    stream = (spark.readStream.schema(INPUT_SCHEMA).option("header", True).option("escape", '"')
               .option("maxFilesPerTrigger", max_files_per_trigger).csv(input_dir))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        results, rejected = score_batch(batch, frozen_monthly_median)
-        results.write.mode("overwrite").parquet(os.path.join(output_dir, "results", f"batch={batch_id}"))
-        rejected.write.mode("overwrite").parquet(os.path.join(output_dir, "rejected", f"batch={batch_id}"))
+        kept = batch.persist()                        # read once, written as results and as rejects
+        try:
+            results, rejected = score_batch(kept, frozen_monthly_median)
+            results.write.mode("overwrite").parquet(f"{output_dir}/results/batch={batch_id}")
+            rejected.write.mode("overwrite").parquet(f"{output_dir}/rejected/batch={batch_id}")
+        finally:
+            kept.unpersist()
 
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -50,4 +53,4 @@ def start(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir:
 
 
 def read_results(spark: SparkSession, output_dir: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(output_dir, "results"))
+    return spark.read.parquet(f"{output_dir}/results")

@@ -37,3 +37,50 @@ def test_tree_drivers(spark, sf_dir):
     d = TS.top_drivers(TS.explain(top, model)).collect()
     for r in d:
         assert 1 <= len(r.top_drivers) <= 4
+
+
+def _brute(tree, x, n):
+    """Shapley values by definition: every subset of features."""
+    from itertools import combinations
+    from math import factorial
+
+    def value(known, node=0):
+        if tree.left[node] < 0:
+            return tree.value[node]
+        f = tree.feature[node]
+        if f in known:
+            return value(known, tree.left[node] if x[f] <= tree.threshold[node] else tree.right[node])
+        a, b = tree.left[node], tree.right[node]
+        return (tree.cover[a] * value(known, a) + tree.cover[b] * value(known, b)) / tree.cover[node]
+
+    out = []
+    for j in range(n):
+        rest = [f for f in range(n) if f != j]
+        out.append(sum(factorial(k) * factorial(n - k - 1) / factorial(n) * (value({*s, j}) - value(set(s)))
+                       for k in range(n) for s in combinations(rest, k)))
+    return out
+
+
+def test_batch_equals_the_definition():
+    rng = np.random.default_rng(5)
+    n = 5
+    for _ in range(6):
+        left, right, feature, threshold, value, cover = [], [], [], [], [], []
+
+        def grow(depth, weight):
+            node = len(left)
+            for a, v in ((left, -1), (right, -1), (feature, -1), (threshold, 0.0), (value, rng.normal()), (cover, weight)):
+                a.append(v)
+            if depth:
+                feature[node], threshold[node] = int(rng.integers(n)), rng.normal()
+                part = weight * rng.uniform(0.1, 0.9)
+                left[node] = grow(depth - 1, part)
+                right[node] = grow(depth - 1, weight - part)
+            return node
+
+        grow(4, 100.0)
+        tree = TS.Tree(*map(np.array, (left, right, feature, threshold, value, cover)))
+        x = rng.normal(size=(7, n))
+        got = TS.shap_batch([TS.leaf_paths(tree)], np.array([1.0]), x)
+        want = np.array([_brute(tree, row, n) for row in x])
+        assert np.abs(got - want).max() < 1e-10
