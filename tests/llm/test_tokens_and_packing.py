@@ -76,7 +76,7 @@ def test_every_piece_has_one_gapless_place(spark, how):
     check_places(rows, 1024)
 
 
-@pytest.mark.parametrize(("items", "waste"), [(50_000, 0.005), (200, 0.05)])
+@pytest.mark.parametrize(("items", "waste"), [(50_000, 0.008), (200, 0.05)])
 def test_few_sequences(spark, items, waste):
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 1024, 3000).tolist()
