@@ -44,6 +44,11 @@ def contributions(df: DataFrame, background: DataFrame,
     return F.array(*items)
 
 
+def frozen_means(values) -> Column:
+    """Background means known beforehand, in feature order (single records)."""
+    return F.struct(*(F.lit(float(v)).alias(f"m{i}") for i, v in enumerate(values)))
+
+
 def base_margin(means: Column, weights: dict[str, float] = K.SCORECARD_WEIGHTS,
                 intercept: float = K.SCORECARD_INTERCEPT) -> Column:
     base = F.lit(float(intercept))
@@ -61,12 +66,13 @@ def expected_value(background: DataFrame, weights: dict[str, float] = K.SCORECAR
                       half_even(F.lit(1.0) / (F.lit(1.0) + F.exp(-base)), 6).alias("base_probability"))
 
 
-def top_drivers(df: DataFrame, background: DataFrame, n: int = K.TOP_DRIVERS) -> DataFrame:
+def top_drivers(df: DataFrame, background: DataFrame | None, n: int = K.TOP_DRIVERS,
+                means: Column | None = None) -> DataFrame:
     """Up to ``n`` readable drivers with positive attribution whose
     feature is numeric (four named) or set to 1; largest first (ties in
-    feature order); null when none."""
+    feature order); null when none. ``means`` replaces the background."""
     # materialise the array first: lambdas may not contain the means subquery
-    df = df.withColumn("__contrib", contributions(df, background))
+    df = df.withColumn("__contrib", contributions(df, background, means=means))
     contrib = F.col("__contrib")
     numeric = F.array(*[F.lit(x) for x in K.DRIVER_NUMERIC])
     kept = F.filter(contrib, lambda s: (s["phi"] > 0) & (F.array_contains(numeric, s["feature"]) | (s["value"] == 1.0)))

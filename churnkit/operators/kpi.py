@@ -72,3 +72,16 @@ def churn_summary_view(df: DataFrame) -> DataFrame:
     """A10/B1: the seven-column churn summary view."""
     return df.select("customerID", "gender", "tenure", "Contract", "MonthlyCharges",
                      "TotalCharges", "ChurnValue")
+
+
+#: Names under which the original's reports find the accounts and its three views.
+VIEWS = {"vw_ChurnSummary": churn_summary_view, "vw_KPI_Churn": kpi_row, "vw_Contract_Analysis": contract_analysis}
+
+
+def create_views(accounts: DataFrame) -> list[str]:
+    """A10: register the accounts table and the three business views in the
+    session, so that SQL texts over these names run as they are."""
+    accounts.createOrReplaceTempView("Customer_Churn_Data")
+    for name, view in VIEWS.items():
+        view(accounts).createOrReplaceTempView(name)
+    return ["Customer_Churn_Data", *VIEWS]

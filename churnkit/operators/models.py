@@ -29,8 +29,9 @@ TREE_PERF = dict(maxMemoryInMB=1024, cacheNodeIds=True)
 
 
 def estimator(name: str, n_train: int | None = None, seed: int = 42, num_trees: int = 200,
-              max_depth: int = 10):
-    """One of the four families (plus the README's decision tree)."""
+              max_depth: int = 10, rounds: int = 100):
+    """One of the four families (plus the README's decision tree); the defaults
+    are the original's sizes (tree depth 10 instead of unlimited)."""
     if name == "logistic_regression":
         # sklearn's C=1 penalises 0.5*||w||^2 against the summed loss; Spark
         # scales the loss by 1/n, so regParam = 1/n approximates it.
@@ -40,9 +41,9 @@ def estimator(name: str, n_train: int | None = None, seed: int = 42, num_trees:
         return RandomForestClassifier(numTrees=num_trees, featureSubsetStrategy="sqrt", seed=seed,
                                       maxDepth=max_depth, **TREE_PERF)
     if name == "gradient_boosting":        # stands in for XGBoost
-        return GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=seed, maxMemoryInMB=1024)
+        return GBTClassifier(maxIter=rounds, maxDepth=6, stepSize=0.3, seed=seed, maxMemoryInMB=1024)
     if name == "gradient_boosting_fast":   # stands in for LightGBM: more, shallower trees
-        return GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.2, seed=seed, subsamplingRate=0.8,
+        return GBTClassifier(maxIter=rounds, maxDepth=3, stepSize=0.2, seed=seed, subsamplingRate=0.8,
                              maxMemoryInMB=1024)
     if name == "decision_tree":
         return DecisionTreeClassifier(maxDepth=max_depth, seed=seed, **TREE_PERF)

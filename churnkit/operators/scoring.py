@@ -157,29 +157,39 @@ def top_risk_records(scored: DataFrame, n: int = K.TOP_N_WITH_DRIVERS,
 
 # --- I25: one record -----------------------------------------------------------------------
 
-def single_prediction(spark: SparkSession, record: dict, frozen_monthly_median: float = 65.0) -> DataFrame:
-    """Validate one record and score it with the same operators, in ONE
-    job (validation travels as a column; an invalid record raises). The batch
-    median means nothing for one row, so a frozen value is used."""
-    from churnkit.operators.clean import PreprocessingError, clean_accounts, validate_records
+def single_prediction(spark: SparkSession, record: dict, frozen_monthly_median: float = 65.0,
+                      means=None, model_name: str = "Scorecard") -> DataFrame:
+    """Validate one record and score it with the same operators, in one
+    lazy row: probability, labels, plan, drivers, model name and the cleaned
+    record. An invalid record raises its validation text when the row is read.
+
+    Batch statistics mean nothing for one row, so the median is frozen, and so
+    are ``means``, the 30 background means the drivers compare with (without
+    them ``top_drivers`` is null)."""
+    from churnkit.operators.clean import clean_accounts, validate_records
+    from churnkit.operators.explain import frozen_means, top_drivers
     rec = {str(k): (None if v is None else str(v)) for k, v in record.items()}
     rec.setdefault("TotalCharges", None)            # X13: optional for one record
-    cols = list(rec)
-    df = spark.createDataFrame([tuple(rec[c] for c in cols)], ", ".join(f"`{c}` string" for c in cols))
-    df = validate_records(df).withColumn("row_no", F.lit(0).cast("long"))
-    if "customerID" not in rec or not (rec["customerID"] or "").strip():
-        df = df.withColumn("customerID", F.lit("ROW-1"))   # the only record is the first blank
-    scored = with_console_fields(score(clean_accounts(df, id_mode="hash",
+    if not (rec.get("customerID") or "").strip():
+        rec["customerID"] = "ROW-1"                 # the only record is the first blank
+    df = spark.range(1).select(F.lit(0).cast("long").alias("row_no"),
+                               *(F.lit(v).cast("string").alias(c) for c, v in rec.items()))
+    checked = validate_records(df)
+    scored = with_console_fields(score(clean_accounts(checked, id_mode="hash",
                                                       frozen_monthly_median=frozen_monthly_median)))
-    out = scored.select(
-        F.col("customerID"), F.col(P).alias("probability"),
+    if means is None:
+        scored = scored.withColumn("top_drivers", F.lit(None).cast("array<string>"))
+    else:
+        scored = top_drivers(scored, None, means=frozen_means(means))
+    kept = [c for c in rec if c in scored.columns]
+    valid = F.when(F.col("validation_error").isNull(), F.col(P)).otherwise(
+        F.raise_error(F.col("validation_error")).cast("double"))
+    return scored.select(
+        F.col("customerID"), valid.alias("probability"),
         R.probability_percent(P).alias("probability_pct"),
         R.prediction_label(P).alias("prediction_label"), R.will_churn(P).alias("will_churn"),
-        "risk_level", R.signal_bars(P).alias("signal_bars"), "plan", "validation_error")
-    rows = out.collect()                            # one row, one job
-    if rows[0]["validation_error"]:
-        raise PreprocessingError(rows[0]["validation_error"])
-    return spark.createDataFrame(rows, out.schema).drop("validation_error")
+        "risk_level", R.signal_bars(P).alias("signal_bars"), "plan", "top_drivers",
+        F.lit(model_name).alias("model_name"), F.struct(*kept).alias("cleaned_record"))
 
 
 # --- campaign (notebooks 07-08) -----------------------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from churnkit.operators import clean as C
 from churnkit.operators import kpi as KPI
 from churnkit.plans import oracle_sql as O
+from churnkit.plans.stages import key as stage_key
 from churnkit.plans.stages import staged
 from churnkit.session import shared_path
 from churnkit.sources.tables import accounts_raw
@@ -36,12 +37,12 @@ def register(name: str, sql: str | None = None):
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extracted accounts table (the original's extraction step writes it
     to a file; here Parquet below the shared checkpoint folder)."""
-    return staged(spark, f"raw:{sf_dir}", lambda: accounts_raw(spark, sf_dir))
+    return staged(spark, "raw", sf_dir, lambda: accounts_raw(spark, sf_dir))
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned accounts (B19), materialised once per application."""
-    return staged(spark, f"cleaned:{sf_dir}", lambda: C.clean_accounts(raw(spark, sf_dir)))
+    return staged(spark, "cleaned", sf_dir, lambda: C.clean_accounts(raw(spark, sf_dir)))
 
 
 # --- cleaning ---------------------------------------------------------------
@@ -191,6 +192,22 @@ def q_a10(spark, sf_dir):
     return KPI.churn_summary_view(cleaned(spark, sf_dir))
 
 
+_VIEW_TEXT = """
+select 'contract' as source, Contract as name, TotalCustomers as customers from vw_Contract_Analysis
+union all select 'kpi', 'churned', ChurnedCustomers from vw_KPI_Churn
+union all select 'summary', gender, count(*) from vw_ChurnSummary where ChurnValue = 1 group by gender"""
+
+
+@register("a10_named_views", O.with_cleaned(_VIEW_TEXT,
+    "vw_ChurnSummary as (select customerID, gender, tenure, Contract, MonthlyCharges, TotalCharges, ChurnValue from cleaned)",
+    "vw_KPI_Churn as (select cast(count(*) filter (where ChurnValue = 1) as bigint) as ChurnedCustomers from cleaned)",
+    "vw_Contract_Analysis as (select Contract, count(*) as TotalCustomers from cleaned group by Contract)"))
+def q_a10b(spark, sf_dir):
+    """A SQL text over the registered views."""
+    KPI.create_views(cleaned(spark, sf_dir))
+    return spark.sql(_VIEW_TEXT)
+
+
 @register("d1_total_records", O.with_cleaned("select count(*) as TotalRecords from cleaned"))
 def q_d1(spark, sf_dir):
     return KPI.row_count(cleaned(spark, sf_dir))
@@ -662,6 +679,15 @@ def q_i4b(spark, sf_dir):
     return EV.split_sizes(split_scored(spark, sf_dir))
 
 
+@register("x7_campaign_by_split", O.with_campaign(
+    "select splitted.split, campaign.Risk_Segment, count(*) as customers "
+    "from campaign join splitted using (row_no) group by all", *SPLIT_CTES[:3]))
+def q_x7(spark, sf_dir):
+    """Segments of training and held-out customers apart."""
+    camp = S.campaign_frame(split_scored(spark, sf_dir))
+    return camp.groupBy("split", "Risk_Segment").agg(F.count("*").alias("customers"))
+
+
 def _r(x):
     return O.rint(x, 6)
 
@@ -743,7 +769,7 @@ from churnkit.operators import models as MD  # noqa: E402
 
 def split_rows(spark, sf_dir):
     """Keys, label, the 30 features and the split: what training and testing read, written once."""
-    return staged(spark, f"split:{sf_dir}", lambda: split_scored(spark, sf_dir).select(
+    return staged(spark, "split", sf_dir, lambda: split_scored(spark, sf_dir).select(
         "row_no", "customerID", "ChurnValue", "churn_probability", "split", *[F.col(f"`{f}`") for f in K.FEATURE_COLUMNS]))
 
 
@@ -755,9 +781,7 @@ def _train_test(spark, sf_dir):
 def fitted(spark, sf_dir, name):
     """The model family trained on the train split at the original's sizes;
     trained and saved once per application (A12), loaded after that."""
-    import hashlib
-    key = hashlib.sha1(f"{spark.sparkContext.applicationId}:{sf_dir}".encode()).hexdigest()[:16]
-    path = shared_path(spark, "churnkit-models", f"{name}-{key}")
+    path = shared_path(spark, "churnkit-models", spark.sparkContext.applicationId, stage_key(spark, name, sf_dir))
     model = MD.load_model(path)
     if model is None:
         train, _ = _train_test(spark, sf_dir)
@@ -934,7 +958,7 @@ from churnkit.operators import tree_shap as TS  # noqa: E402
 def _explained(spark, sf_dir):
     """Attributions of the whole test split by the 200-tree forest, written once."""
     _, test = _train_test(spark, sf_dir)
-    return staged(spark, f"explained:{sf_dir}", lambda: TS.explain(
+    return staged(spark, "explained", sf_dir, lambda: TS.explain(
         test, fitted(spark, sf_dir, "random_forest"), tasks=4 * spark.sparkContext.defaultParallelism))
 
 

@@ -88,9 +88,11 @@ def test_single_prediction(spark):
     assert r.customerID == "ROW-1" and 0.0 <= r.probability <= 1.0
     assert r.risk_level in (K.RISK_LOW, K.RISK_MEDIUM, K.RISK_HIGH)
     assert r.plan[0] == K.PLAN_PRIORITY and len(r.plan) == 4
-    from churnkit.operators.clean import PreprocessingError
-    with pytest.raises(PreprocessingError, match="tenure"):
-        single_prediction(spark, dict(rec, tenure="200"))
+    assert r.top_drivers is None and r.model_name == "Scorecard" and r.cleaned_record["tenure"] == 5
+    r = single_prediction(spark, rec, means=[32.0, 65.0, 2200.0] + [0.3] * 27).first()
+    assert 1 <= len(r.top_drivers) <= 4 and "High monthly charges" in r.top_drivers
+    with pytest.raises(Exception, match="tenure"):
+        single_prediction(spark, dict(rec, tenure="200")).first()
 
 
 def test_segment_outputs_layout_and_export(spark, sf_dir):

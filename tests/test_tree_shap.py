@@ -12,7 +12,7 @@ from churnkit.plans import catalog as CAT
 
 @pytest.mark.parametrize("name,kw", [("decision_tree", {"max_depth": 5}),
                                      ("random_forest", {"num_trees": 5, "max_depth": 4}),
-                                     ("gradient_boosting_fast", {})])
+                                     ("gradient_boosting_fast", {"rounds": 4})])
 def test_additivity(spark, sf_dir, name, kw):
     data = CAT.scored(spark, sf_dir)
     model = MD.fit(data, name, **kw)
