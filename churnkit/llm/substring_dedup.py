@@ -37,8 +37,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as pads
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,12 +45,13 @@ from churnkit.llm import common as C
 
 ANCHOR = 24                           # bytes whose rank picks anchors
 LAST = np.int64(2**63 - 1)            # stands for a null doc_id: no document is larger
-GROUP = 1 << 20                       # bytes hashed at once
-BLOCK = 16 << 20                      # bytes of text whose entries are sent together
-BUCKET_BYTES = 16 << 20               # bytes of text for each bucket
+GROUP = 1 << 19                       # bytes hashed at once
+BLOCK = 4 << 20                      # bytes of text whose entries are sent together
+BUCKET_BYTES = 8 << 20               # bytes of text for each bucket
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-MESSAGE = "block string, bucket int, n long, payload binary"
-REPLY = "block string, bucket int, n long, late binary, open binary"
+TOP = 20                              # bits of a key that decide its bucket
+MESSAGE = "part int, block string, bucket int, n long, payload binary"
+REPLY = "part int, block string, bucket int, n long, late binary, open binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -76,7 +75,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64."""
-    size = 1 << max(21, n.bit_length())
+    size = 1 << max(20, n.bit_length())
     if size not in _POWERS:
         _POWERS.clear()
         base = 0xD1342543DE82EF95
@@ -106,7 +105,7 @@ class Units:
         order = (anchor & ~low) | np.arange(len(anchor), dtype=np.uint64)
         best = _sliding_min(order, length - ANCHOR + 1)
         counts = np.maximum(self.sizes - length + 1, 0)
-        document = np.repeat(np.arange(len(texts)), counts)
+        document = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
         starts = np.arange(counts.sum()) + np.repeat(self.begins - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
         at = (best[starts] & low).astype(np.int64)
         edge = np.append(True, at[1:] != at[:-1]) if len(at) else np.empty(0, bool)
@@ -191,20 +190,21 @@ def _named(part: int, seen: int, groups, ids):
     return f"{part}-{seen}-{check:08x}", groups, ids
 
 
-def _unit_block(groups, ids, buckets: int) -> tuple[Block, np.ndarray, list[int]]:
+def _unit_block(groups, ids) -> tuple[Block, np.ndarray, list[int]]:
     """Entries of a block's units, bucket bounds, and where each group's units begin."""
     anchor = np.concatenate([u.anchor for _, u in groups])
     rank = np.concatenate([u.rank for _, u in groups])
     doc = np.concatenate([own[u.document] for (_, u), own in zip(groups, ids, strict=True)])
     bounds = np.cumsum([0, *(len(u.anchor) for _, u in groups)])
-    key = (anchor >> np.uint64(48) << np.uint64(48)) | (_mix(anchor ^ _mix(rank)) >> np.uint64(16))
+    low = np.uint64(64 - TOP)
+    key = (anchor >> low << low) | (_mix(anchor ^ _mix(rank)) >> np.uint64(TOP))
     return Block(key, [anchor, rank], doc), doc, bounds.tolist()
 
 
-def _cuts(top: np.ndarray, buckets: int) -> np.ndarray:
-    """Places where the sorted keys pass into the next bucket; the top 16 bits decide."""
-    edges = (np.array([-(-(i << 16) // buckets) for i in range(1, buckets)], np.uint64) << np.uint64(48))
-    return np.concatenate([[0], np.searchsorted(top, edges), [len(top)]])
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Places where the sorted keys pass into the next bucket."""
+    edges = np.array([-(-(i << TOP) // buckets) for i in range(1, buckets)], np.uint64) << np.uint64(64 - TOP)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
 def _messages(name: str, block: Block, columns: list[tuple[np.ndarray, int]], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -215,15 +215,16 @@ def _messages(name: str, block: Block, columns: list[tuple[np.ndarray, int]], bu
         if a < b:
             rows.append((name, i, b - a, b"".join(_planes(c[a:b], w) for c, w in columns)))
     if rows:
+        part = int(name.split("-")[0])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()),
-             pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
-            names=["block", "bucket", "n", "payload"])
+            [pa.array([part] * len(rows), pa.int32()), pa.array([r[0] for r in rows]),
+             pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()),
+             pa.array([r[3] for r in rows], pa.binary())], names=["part", "block", "bucket", "n", "payload"])
 
 
 def _send_units(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     for name, groups, ids in _blocks(batches, length):
-        block, _, _ = _unit_block(groups, ids, buckets)
+        block, _, _ = _unit_block(groups, ids)
         anchor, rank = block.extra
         yield from _messages(name, block, [(anchor, 5), (rank, 8), (block.doc_id.view(np.uint64), 8)], buckets)
 
@@ -242,7 +243,7 @@ def _received(table: pa.Table, widths: tuple[int, ...]) -> tuple[list[np.ndarray
 def _reply(table: pa.Table, sizes: list[int], late: np.ndarray, open_: np.ndarray | None) -> pa.Table:
     cut = np.cumsum(sizes)[:-1]
     pack = lambda bits: pa.array([np.packbits(b).tobytes() for b in np.split(bits, cut)], pa.binary())
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n"),
+    return pa.table({"part": table.column("part"), "block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n"),
                      "late": pack(late), "open": pack(late if open_ is None else open_)})
 
 
@@ -286,22 +287,31 @@ def _rank_windows(table: pa.Table) -> pa.Table:
     return _reply(table, sizes, late, None)
 
 
-def _replies(folder: str, name: str, n: int, what: str) -> np.ndarray:
-    """The bits that came back for a block, in the order its entries were sent."""
-    store, top = pafs.FileSystem.from_uri(folder)
-    if not n:
-        return np.zeros(0, bool)
-    try:
-        table = pads.dataset(f"{top}/block={name}", filesystem=store, format="parquet").to_table(["bucket", "n", what])
-    except FileNotFoundError as e:
-        raise RuntimeError(f"no reply for block {name}: the input was cut differently on this scan") from e
-    table = table.sort_by("bucket")
-    bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=k).astype(bool)
-            for k, b in zip(table.column("n").to_pylist(), table.column(what).to_pylist(), strict=True)]
-    out = np.concatenate(bits)
-    if len(out) != n:
-        raise RuntimeError(f"{len(out)} replies for {n} entries of block {name}")
-    return out
+class Replies:
+    """The bits that came back for the blocks of one task's input."""
+
+    def __init__(self, folder: str):
+        self.folder, self.blocks = folder, None
+
+    def _load(self, part: int) -> None:
+        self.blocks = {}
+        try:
+            table = C.read_shared(f"{self.folder}/part={part}")
+        except FileNotFoundError:
+            return                                    # nothing was sent from here
+        for row in table.sort_by("bucket").select(["block", "n", "late", "open"]).to_pylist():
+            own = self.blocks.setdefault(row["block"], {"late": [], "open": []})
+            for what, found in own.items():
+                found.append(np.unpackbits(np.frombuffer(row[what], np.uint8), count=row["n"]).astype(bool))
+
+    def of(self, name: str, n: int, what: str) -> np.ndarray:
+        """In the order the block's entries were sent."""
+        if self.blocks is None:
+            self._load(int(name.split("-")[0]))
+        bits = np.concatenate([np.zeros(0, bool), *self.blocks.get(name, {what: []})[what]])
+        if len(bits) != n:
+            raise RuntimeError(f"{len(bits)} replies for {n} entries of block {name}: the input was cut differently on this scan")
+        return bits
 
 
 def _window_block(groups, ids, block: Block, doc: np.ndarray, bounds: list[int], open_: np.ndarray):
@@ -319,9 +329,10 @@ def _window_block(groups, ids, block: Block, doc: np.ndarray, bounds: list[int],
 
 
 def _send_windows(batches: Iterator[pa.RecordBatch], length: int, buckets: int, units_at: str) -> Iterator[pa.RecordBatch]:
+    replies = Replies(units_at)
     for name, groups, ids in _blocks(batches, length):
-        block, doc, bounds = _unit_block(groups, ids, buckets)
-        open_ = _replies(units_at, name, len(block.key), "open")
+        block, doc, bounds = _unit_block(groups, ids)
+        open_ = replies.of(name, len(block.key), "open")
         windows, _, _ = _window_block(groups, ids, block, doc, bounds, open_)
         yield from _messages(name, windows, [(windows.key, 8), (windows.extra[0], 2), (windows.doc_id.view(np.uint64), 8)],
                              buckets)
@@ -337,14 +348,14 @@ def _cover(units: Units, late_units: np.ndarray, late_starts: np.ndarray) -> np.
     return np.cumsum(edge[:-1]) > 0
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch], length: int, buckets: int, units_at: str,
-             windows_at: str) -> Iterator[pa.RecordBatch]:
+def _cut_out(batches: Iterator[pa.RecordBatch], length: int, units_at: str, windows_at: str) -> Iterator[pa.RecordBatch]:
+    unit_replies, window_replies = Replies(units_at), Replies(windows_at)
     for name, groups, ids in _blocks(batches, length):
-        block, doc, bounds = _unit_block(groups, ids, buckets)
-        open_ = _replies(units_at, name, len(block.key), "open")
-        late = _replies(units_at, name, len(block.key), "late")[block.entry] | (doc > block.doc_id[block.entry])
+        block, doc, bounds = _unit_block(groups, ids)
+        open_ = unit_replies.of(name, len(block.key), "open")
+        late = unit_replies.of(name, len(block.key), "late")[block.entry] | (doc > block.doc_id[block.entry])
         windows, owner, rows = _window_block(groups, ids, block, doc, bounds, open_)
-        late_window = (_replies(windows_at, name, len(windows.key), "late")[windows.entry]
+        late_window = (window_replies.of(name, len(windows.key), "late")[windows.entry]
                        | (owner > windows.doc_id[windows.entry]))
         at = 0
         for g, (batch, units) in enumerate(groups):
@@ -364,10 +375,10 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int, buckets: int, units
 
 
 def _ask(messages: DataFrame, judge, name: str) -> str:
-    """Deal messages by bucket, judge each bucket, and write the replies by block."""
+    """Deal messages by bucket, judge each bucket, and write the replies by the task that asked."""
     replies = messages.groupBy("bucket").applyInArrow(judge, REPLY)
     path = C.fresh_path(messages.sparkSession, name)
-    replies.repartition("block").write.partitionBy("block").parquet(path)
+    replies.repartition("part").write.partitionBy("part").parquet(path)
     return path
 
 
@@ -385,12 +396,12 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
         raise ValueError(f"length must be at least {ANCHOR + 8}")
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = int(min(max(8, -(-total // BUCKET_BYTES)), 1 << 16))
+    buckets = int(min(max(8, -(-total // BUCKET_BYTES)), 1 << TOP))
     how = {"length": length, "buckets": buckets}
     sent = C.map_arrow(narrow, partial(_send_units, **how), MESSAGE)
     units_at = _ask(sent, _rank_units, "units")
     sent = C.map_arrow(narrow, partial(_send_windows, units_at=units_at, **how), MESSAGE)
     windows_at = _ask(sent, _rank_windows, "windows")
     id_type = narrow.schema["doc_id"].dataType.simpleString()
-    return C.map_arrow(narrow, partial(_cut_out, units_at=units_at, windows_at=windows_at, **how),
+    return C.map_arrow(narrow, partial(_cut_out, length=length, units_at=units_at, windows_at=windows_at),
                        f"doc_id {id_type}, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
