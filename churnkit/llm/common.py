@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.dataset as pads
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ WORD_SPLIT = r"[ \t\n\x0B\f\r]+"
 WHITE = " \t\n\x0b\x0c\r"
 #: Texts wait in groups of at most about so many bytes inside a task.
 GROUP_BYTES = 8 << 20
+BATCH_BOUND, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+BATCH_DEFAULT = "67108864b"           # Spark's own bound, where the session sets none
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,20 +32,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return shared_path(spark, "churnkit-llm", f"{name}-{uuid.uuid4().hex}")
 
 
-def stage(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> str:
+    """Write ``df`` as Parquet below the shared folder; returns the folder."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.mode("error").parquet(path)
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it again: lineage ends at
     the files, and what was expensive to compute is computed once."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    out = df.write.mode("error")
-    (out.partitionBy(*by) if by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def read_shared(path: str, columns: list[str] | None = None) -> pa.Table:
+    """A small table below the shared folder, read inside a task."""
+    store, at = pafs.FileSystem.from_uri(path)
+    return pads.dataset(at, filesystem=store, format="parquet").to_table(columns)
 
 
 def map_arrow(df: DataFrame, func: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str) -> DataFrame:
-    """``mapInArrow`` with the package importable in the workers."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` with the package importable in the workers and with
+    batches of at most 4 MB (Spark's bound is 64 MB, and a task holds a batch on
+    both sides); a bound that the session sets itself stays."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(BATCH_BOUND) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_BOUND, str(BATCH_BYTES))
     return df.mapInArrow(func, schema)
 
 
@@ -80,3 +98,14 @@ def held_out(doc_id: str = "doc_id"):
     """The fifth of the documents kept away from learning: crc32 of the id as
     text, mod 5, is 0. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def bounded_sample(df: DataFrame, rows: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """``df`` if it has at most ``rows`` rows, else about so many of them: those
+    whose key hashes lowest, cut at the share that gives ``rows``. Tasks send
+    their part of it only (a sort with a limit would send ``rows`` each)."""
+    n = df.count()
+    if n <= rows:
+        return df
+    cut = int(rows / n * (1 << 30))
+    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < cut)

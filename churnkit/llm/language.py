@@ -34,7 +34,7 @@ CHUNK = 1 << 19
 UNKNOWN = "und"
 
 
-def _grams(data: bytes, starts: np.ndarray | None = None) -> np.ndarray:
+def _grams(data: bytes) -> np.ndarray:
     """24-bit codes (two bytes of context, then the byte) of text that begins with START."""
     b = np.frombuffer(data, np.uint8).astype(np.uint32)
     return b[:-2] << 16 | b[1:-1] << 8 | b[2:]
