@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,7 +62,21 @@ def map_arrow(df: DataFrame, func: Callable[[Iterator[pa.RecordBatch]], Iterator
     ship_package(spark)
     if spark.conf.get(BATCH_BOUND) == BATCH_DEFAULT:
         spark.conf.set(BATCH_BOUND, str(BATCH_BYTES))
-    return df.mapInArrow(func, schema)
+    return df.mapInArrow(partial(_tidy, func=func), schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system. A worker that has finished its task
+    stays for a while beside the workers of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:                              # the C library of Linux has it, others tidy up by themselves
+        trim(0)
+
+
+def _tidy(batches: Iterator[pa.RecordBatch], func) -> Iterator[pa.RecordBatch]:
+    yield from func(batches)
+    give_back()
 
 
 def groups(batches: Iterator[pa.RecordBatch], column: str = "text",

@@ -176,9 +176,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[st
         groups.append((batch, units))
         ids.append(C.column(batch, "doc_id").cast(pa.int64()).fill_null(int(LAST)).to_numpy())
         held += int(units.sizes.sum())
+        del batch, units
         if held >= BLOCK:
-            yield _named(part, seen, groups, ids)
+            full = _named(part, seen, groups, ids)
             groups, ids, held, seen = [], [], 0, seen + 1
+            yield full
+            del full
+            C.give_back()
     if groups:
         yield _named(part, seen, groups, ids)
 
@@ -227,6 +231,7 @@ def _send_units(batches: Iterator[pa.RecordBatch], length: int, buckets: int) ->
         block, _, _ = _unit_block(groups, ids)
         anchor, rank = block.extra
         yield from _messages(name, block, [(anchor, 5), (rank, 8), (block.doc_id.view(np.uint64), 8)], buckets)
+        del groups, ids, block, anchor, rank          # before the next block is built
 
 
 def _received(table: pa.Table, widths: tuple[int, ...]) -> tuple[list[np.ndarray], list[int]]:
@@ -272,6 +277,8 @@ def _rank_units(table: pa.Table) -> pa.Table:
     open_ = ~late & (different & several)[group]
     back_late, back_open = np.empty(len(order), bool), np.empty(len(order), bool)
     back_late[order], back_open[order] = late, open_
+    del anchor, rank, doc, order, a, r, d, unit, group
+    C.give_back()
     return _reply(table, sizes, back_late, back_open)
 
 
@@ -333,9 +340,10 @@ def _send_windows(batches: Iterator[pa.RecordBatch], length: int, buckets: int,
     for name, groups, ids in _blocks(batches, length):
         block, doc, bounds = _unit_block(groups, ids)
         open_ = replies.of(name, len(block.key), "open")
-        windows, _, _ = _window_block(groups, ids, block, doc, bounds, open_)
+        windows = _window_block(groups, ids, block, doc, bounds, open_)[0]
         yield from _messages(name, windows, [(windows.key, 8), (windows.extra[0], 2), (windows.doc_id.view(np.uint64), 8)],
                              buckets)
+        del groups, ids, block, doc, open_, windows
 
 
 def _cover(units: Units, late_units: np.ndarray, late_starts: np.ndarray) -> np.ndarray:
@@ -372,6 +380,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch], length: int, units_at: str, wind
                 [C.column(batch, "doc_id"), pa.array(units.sizes),
                  pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
                  pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+        del groups, ids, block, doc, open_, late, windows, owner, rows, late_window, batch, units, covered, spans, kept
 
 
 def _ask(messages: DataFrame, judge, name: str) -> str:
