@@ -2,17 +2,20 @@
 
 The benchmark is the stated query set. It is taken in blocks of bounded size
 (``block_words``), each block against all documents. A first pass counts in
-how many documents each word n-gram of the block occurs. The n-grams of an
-item that are no more frequent than its median one are its seeds: rarity is
-judged inside the item, so a passage that leaked into very many documents
-keeps its seeds. A second pass looks for seeds in every whole text, and aligns
-the item with the surroundings of each hit (local alignment over words: match
-2, mismatch and gap -1). The similarity is the best score over that of the
-item with itself.
+how many documents each word n-gram of the block occurs. An alignment that
+reaches the least similarity keeps at least ``sure`` n-grams of the item whole
+(from the scores alone), so some of them are among the others and one: those,
+the rarest, are the item's seeds, and no alignment can miss them, whatever
+occurs how often. Where edits may break every n-gram of the usual size, the
+item's seeds are shorter, down to single words. A second pass looks for seeds
+in every whole text, and aligns the item with the surroundings of the hits
+(local alignment over words: match 2, mismatch and gap -1). The similarity is
+the best score over that of the item with itself.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,41 +32,67 @@ from churnkit.llm import common as C
 WORD = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
 TOGETHER = 256                        # alignments done at once
+SPARE = 4                             # one in so many of the n-grams sure to stay whole is asked for before an alignment
+
+
+def _least_score(length: int, least: float) -> int:
+    return max(1, math.ceil(MATCH * length * least - 1e-9))
+
+
+def _sure(length: int, size: int, least: float) -> int:
+    """How many n-grams of an item any alignment that reaches ``least`` keeps
+    whole, at least: each edit costs a point and ends a run of matches, and each
+    run holds ``size`` - 1 fewer n-grams than words."""
+    score = _least_score(length, least)
+    return -(-score // MATCH) if size == 1 else length - (size - 1) * (MATCH * length - score + 1)
 
 
 @dataclass
 class Block:
     """Items of one block: ids, words as numbers of the block's own vocabulary,
-    and its distinct n-grams with the (gram, item, place) rows behind them."""
+    the size of each item's n-grams, and the distinct n-grams with the
+    (gram, item, place) rows behind them."""
 
     ids: list[int]
     vocabulary: dict[str, int]
     words: list[np.ndarray]
-    size: int
+    size: np.ndarray
+    least: float
     grams: np.ndarray
     at: np.ndarray
 
     @classmethod
-    def of(cls, items: list[tuple[int, list[str]]], size: int) -> Block:
+    def of(cls, items: list[tuple[int, list[str]]], size: int, least: float) -> Block:
         vocabulary: dict[str, int] = {}
         words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for _, ws in items]
+        own = np.array([max(n for n in range(1, max(1, min(size, len(ws))) + 1) if n == 1 or _sure(len(ws), n, least) > 0)
+                        for ws in words], np.int64)
         rows = []
         base = len(vocabulary) + 1
         for i, ws in enumerate(words):
-            code = _codes(ws, min(size, len(ws)), base)
+            code = _codes(ws, int(own[i]), base)
             rows.append(np.column_stack([code, np.full(len(code), i), np.arange(len(code))]))
         at = np.concatenate(rows) if rows else np.empty((0, 3), np.int64)
         at = at[np.argsort(at[:, 0], kind="stable")]
-        return cls([i for i, _ in items], vocabulary, words, size, np.unique(at[:, 0]), at)
+        return cls([i for i, _ in items], vocabulary, words, own, least, np.unique(at[:, 0]), at)
+
+    def sure(self) -> np.ndarray:
+        """Whole n-grams of each item in any alignment that reaches ``least``."""
+        return np.array([_sure(len(w), int(n), self.least) for w, n in zip(self.words, self.size, strict=True)], np.int64)
+
+    def asked(self) -> np.ndarray:
+        """How many seeds of each item must stand together before it is aligned."""
+        return np.maximum(1, -(-self.sure() // SPARE))
 
     def rarest(self, frequency: np.ndarray) -> np.ndarray:
-        """The rows of ``at`` whose n-gram is no more frequent than the median of its item."""
+        """The rows of ``at`` with the seeds: of each item's n-grams the rarest, so many
+        that no alignment that reaches ``least`` has fewer than ``asked`` of them."""
         own = frequency[np.searchsorted(self.grams, self.at[:, 0])]
-        keep = np.zeros(len(self.at), bool)
-        for i in range(len(self.words)):
-            mine = self.at[:, 1] == i
-            if mine.any():
-                keep |= mine & (own <= np.quantile(own[mine], 0.5, method="higher"))
+        order = np.lexsort((self.at[:, 2], own, self.at[:, 1]))
+        many = np.bincount(self.at[:, 1], minlength=len(self.words))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(many) - many, many)
+        keep = np.zeros(len(order), bool)
+        keep[order] = rank < np.repeat(many - self.sure() + self.asked(), many)
         return self.at[keep]
 
 
@@ -101,7 +130,7 @@ def _found(words: np.ndarray, grams: np.ndarray, sizes: list[int], base: int) ->
 
 
 def _sizes(block: Block) -> list[int]:
-    return sorted({min(block.size, len(w)) for w in block.words if len(w)})
+    return np.unique(block.size).tolist()
 
 
 def _frequency_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
@@ -122,15 +151,15 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     passage come out of a running maximum.
     """
     m, n = max(map(len, items)), max(map(len, passages))
-    a = np.full((len(items), m), -2, np.int64)
-    b = np.full((len(items), n), -3, np.int64)
+    a = np.full((len(items), m), -2, np.int32)
+    b = np.full((len(items), n), -3, np.int32)
     for i, (x, y) in enumerate(zip(items, passages, strict=True)):
         a[i, :len(x)], b[i, :len(y)] = x, y
-    slope = -GAP * np.arange(1, n + 1)
-    row = np.zeros((len(items), n + 1), np.int64)
-    best, end_a, end_b = (np.zeros(len(items), np.int64) for _ in range(3))
+    slope = -GAP * np.arange(1, n + 1, dtype=np.int32)
+    row = np.zeros((len(items), n + 1), np.int32)
+    best, end_a, end_b = (np.zeros(len(items), np.int32) for _ in range(3))
     for i in range(m):
-        gain = np.where(b == a[:, i:i + 1], MATCH, MISMATCH)
+        gain = np.where(b == a[:, i:i + 1], np.int32(MATCH), np.int32(MISMATCH))
         base = np.maximum(np.maximum(row[:, :-1] + gain, row[:, 1:] + GAP), 0)
         row[:, 1:] = np.maximum.accumulate(base + slope, axis=1) - slope
         top = row.max(1)
@@ -139,11 +168,10 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end_a, end_b
 
 
-def _windows(places: np.ndarray, offsets: np.ndarray, length: int, total: int) -> list[tuple[int, int]]:
-    """Stretches of the text where an item may lie, given where its seeds were found; overlapping ones joined."""
-    slack = max(8, length // 2)
+def _windows(starts: np.ndarray, length: int, slack: int, total: int) -> list[tuple[int, int]]:
+    """Stretches of the text where an item may lie, given where it would start; overlapping ones joined."""
     out: list[tuple[int, int]] = []
-    for start in np.unique(places - offsets).tolist():
+    for start in np.unique(starts).tolist():
         a, b = max(0, start - slack), min(total, start + length + slack)
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
@@ -161,29 +189,58 @@ def _cut(a: int, b: int, length: int) -> list[tuple[int, int]]:
     return [(x, min(b, x + width)) for x in range(a, max(a + 1, b - (width - step)), step)]
 
 
+def _at_most(common: np.ndarray) -> int:
+    """What an alignment can score at most, given which words of one side the other
+    has: within its stretch each of them gains a match, each other word costs an edit."""
+    total = np.cumsum(np.where(common, MATCH, MISMATCH))
+    return int((total - np.minimum(np.minimum.accumulate(total), 0)).max()) if len(total) else 0
+
+
 class Searcher:
     """Finds the items of one block in texts, by the given seeds."""
 
-    def __init__(self, block: Block, seeds: np.ndarray, least: float):
-        self.block, self.least = block, least
+    def __init__(self, block: Block, seeds: np.ndarray):
+        self.block, self.least = block, block.least
         self.grams = np.unique(seeds[:, 0])
         self.first = np.searchsorted(seeds[:, 0], self.grams)
         self.last = np.searchsorted(seeds[:, 0], self.grams, side="right")
         self.seeds, self.sizes, self.base = seeds, _sizes(block), len(block.vocabulary) + 1
+        lengths = np.array([len(w) for w in block.words], np.int64)
+        self.score = np.array([_least_score(n, self.least) for n in lengths.tolist()], np.int64)
+        self.slack = np.maximum(0, MATCH * lengths - self.score)       # words that an alignment may let in
+        self.span, self.asked = lengths + self.slack, block.asked()
 
     def candidates(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of the stretches that can hold an alignment that reaches ``least``:
+        enough seeds within its longest extent, and words common to both close enough together in each."""
+        if not len(self.grams):
+            return
         places, rows = _found(words, self.grams, self.sizes, self.base)
         if not len(places):
             return
         many = self.last[rows] - self.first[rows]
         place = np.repeat(places, many)
-        which = np.concatenate([np.arange(a, b) for a, b in zip(self.first[rows], self.last[rows], strict=True)])
+        which = np.arange(len(place)) + np.repeat(self.first[rows] - np.cumsum(many) + many, many)
         item, offset = self.seeds[which, 1], self.seeds[which, 2]
+        wide = len(words) + int(self.span.max()) + 1       # places of two items are further apart than any span
+        here, back = np.unique(item * wide + place, return_inverse=True)
+        until = np.searchsorted(here, here + self.span[here // wide])
+        close = (until - np.arange(len(here)) >= self.asked[here // wide])[back]
+        item, start = item[close], (place - offset)[close]
+        seen = np.zeros(self.base, bool)                   # the last one stands for unknown words
         for i in np.unique(item).tolist():
-            mine = item == i
-            for a, b in _windows(place[mine], offset[mine], len(self.block.words[i]), len(words)):
-                for part in _cut(a, b, len(self.block.words[i])):
-                    yield i, *part
+            own = self.block.words[i]
+            for a, b in _windows(start[item == i], len(own), int(self.slack[i]), len(words)):
+                for x, y in _cut(a, b, len(own)):
+                    seen[words[x:y]] = True
+                    able = _at_most(seen[own]) >= self.score[i]
+                    seen[words[x:y]] = False
+                    if able:
+                        seen[own] = True
+                        able = _at_most(seen[words[x:y]]) >= self.score[i]
+                        seen[own] = False
+                        if able:
+                            yield i, x, y
 
     def search(self, texts: list[str]) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, end word) of the best alignment of every pair that reaches ``least``."""
@@ -230,7 +287,7 @@ def _clean_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.Recor
         yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 
 
-def _blocks(benchmark: DataFrame, block_words: int, size: int) -> Iterator[Block]:
+def _blocks(benchmark: DataFrame, block_words: int, size: int, least: float) -> Iterator[Block]:
     """The items in order of id, at most about ``block_words`` words at a time."""
     items: list[tuple[int, list[str]]] = []
     held = 0
@@ -240,23 +297,23 @@ def _blocks(benchmark: DataFrame, block_words: int, size: int) -> Iterator[Block
         if not words:
             continue
         if items and held + len(words) > block_words:
-            yield Block.of(items, size)
+            yield Block.of(items, size, least)
             items, held = [], 0
         items.append((row["item_id"], words))
         held += len(words)
     if items:
-        yield Block.of(items, size)
+        yield Block.of(items, size, least)
 
 
 def _searchers(docs: DataFrame, benchmark: DataFrame, least: float, size: int, block_words: int) -> Iterator[Searcher]:
     sc = docs.sparkSession.sparkContext
     narrow = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    for block in _blocks(benchmark, block_words, size):
+    for block in _blocks(benchmark, block_words, size, least):
         counts = C.map_arrow(narrow, partial(_frequency_batches, sent=sc.broadcast(block)), "gram long, n long")
         frequency = np.zeros(len(block.grams), np.int64)
         for row in counts.groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():   # one row a gram of the block
             frequency[row["gram"]] = row["n"]
-        yield Searcher(block, block.rarest(frequency), least)
+        yield Searcher(block, block.rarest(frequency))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, size: int = 3,
@@ -265,7 +322,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, size:
     item whose best local alignment reaches ``least`` of the item's own score.
 
     Words are runs of word characters, lower-cased. Null or wordless items and
-    texts match nothing; an item with fewer words than ``size`` is one seed.
+    texts match nothing. ``size`` is the longest seed; where edits that still
+    reach ``least`` may break all n-grams of that size, seeds are shorter.
     Repeated rows, items and null doc_ids each give their own row. An empty
     table on either side gives an empty result; other columns are not read.
     """

@@ -100,3 +100,39 @@ def test_cut_parts_hold_every_place_of_an_item(length):
         parts = decontaminate._cut(0, end, length)
         assert parts[0][0] == 0 and parts[-1][1] == end
         assert all(a2 <= b1 - length for (_, b1), (a2, _) in pairwise(parts))
+
+
+@pytest.mark.parametrize("every", [3, 4, 5])
+@pytest.mark.parametrize("copies", [1, 400])
+def test_an_evenly_edited_copy_is_found_as_the_only_leak(spark, every, copies):
+    """Most of the item's n-grams occur nowhere; none stays whole where every third word is replaced."""
+    words = [f"w{i}" for i in range(20)]
+    edited = " ".join(w if i % every else "edited" for i, w in enumerate(words, 1))
+    docs = [(d, f"before {edited} after" if d < copies else "nothing here w3", None, None, None) for d in range(copies + 20)]
+    benchmark = spark.createDataFrame([(7, " ".join(words))], BENCHMARK)
+    got = decontaminate.find_leaks(cases.frame(spark, docs), benchmark).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(copies))
+    want = plain_score(words, edited.split()) / 40
+    assert all(r["similarity"] == pytest.approx(want) for r in got)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.8, 0.95])
+def test_every_alignment_that_reaches_the_least_is_found(least):
+    """Against all pairs aligned cell by cell, whatever the seeds' frequencies are."""
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(12)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(rng.randint(1, 16))]) for i in range(15)]
+    texts = []
+    for k in range(150):
+        words = [rng.choice([*vocabulary, "other", "others"]) for _ in range(rng.randint(0, 60))]
+        if k % 2:
+            copy = [w if rng.random() < 0.8 else "edited" for w in rng.choice(items)[1]]
+            words[len(words) // 2:len(words) // 2] = [w for x in copy for w in ([x, "let", "in"][:rng.choice([1, 1, 2, 3])])]
+        texts.append(words)
+    want = {(t, i): plain_score(item, words) / (2 * len(item)) for t, words in enumerate(texts) for i, item in items}
+    want = {k: v for k, v in want.items() if v >= least}
+    for skew in (False, True):
+        block = decontaminate.Block.of(items, 3, least)
+        frequency = np.array([rng.choice([0, 1, 1000]) if skew else 1 for _ in block.grams])
+        found = decontaminate.Searcher(block, block.rarest(frequency)).search([" ".join(w) for w in texts])
+        assert {(t, i): v for t, i, v, _, _ in found} == pytest.approx(want)
