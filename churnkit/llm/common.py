@@ -47,10 +47,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
 
 
-def read_shared(path: str, columns: list[str] | None = None) -> pa.Table:
-    """A small table below the shared folder, read inside a task."""
+def read_shared(path: str, columns: list[str] | None = None, part: tuple[str, int] | None = None) -> pa.Table:
+    """A small table below the shared folder, read inside a task; with ``part``
+    only the folder of that value of a partition column."""
     store, at = pafs.FileSystem.from_uri(path)
-    return pads.dataset(at, filesystem=store, format="parquet").to_table(columns)
+    if part is None:
+        return pads.dataset(at, filesystem=store, format="parquet").to_table(columns)
+    rows = pads.dataset(at, filesystem=store, format="parquet", partitioning="hive")
+    return rows.to_table(columns, filter=pads.field(part[0]) == part[1])
 
 
 def map_arrow(df: DataFrame, func: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
