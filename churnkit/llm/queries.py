@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnkit.llm import common as C
-from churnkit.llm import (decontaminate, language, line_dedup, packing, quality, simhash, substring_dedup, token_counts,
-                          toxicity, warc)
+from churnkit.llm import (decontaminate, language, lexical, line_dedup, packing, quality, simhash, substring_dedup,
+                          token_counts, toxicity, warc)
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -64,9 +64,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", C.held_out().alias("held_out"), "score", "predicted")
 
 
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"), top=50)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_token_counts, op3_substring_dedup, op4_quality_rules, op5_warc, op6_line_dedup,
-    op7_best_fit_packing, op8_language_id, op9_benchmark_decontamination, op10_toxicity)}
+    op7_best_fit_packing, op8_language_id, op9_benchmark_decontamination, op10_toxicity, op12_ranked_lexical_search)}
 
 ORACLES = {
     "op5_warc": """
@@ -100,4 +104,22 @@ select doc_id, cast(n_lines as bigint) as n_lines, cast(n_removed as bigint) as
        sha256(kept) as kept_sha256 from kept
 union all
 select doc_id, 0, 0, null from documents where text is null""",
+    "op12_ranked_lexical_search": r"""
+with asked as (select distinct item_id, unnest(regexp_extract_all(
+                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+words as (select doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+tf as (select doc_id, term, count(*) as tf from words group by all),
+lens as (select doc_id, cast(sum(tf) as bigint) as n from tf group by doc_id),
+corpus as (select count(*) as n_docs, cast(sum(n) as bigint) as total from lens),
+weight as (select term, cast(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) as bigint) as w
+           from tf, corpus group by term),
+norm as (select doc_id, 50 + (50 * n * n_docs) // total as m from lens, corpus),
+scored as (select item_id, doc_id,
+                  cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) as bigint) as score
+           from asked join tf using (term) join weight using (term) join norm using (doc_id) group by all),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as r from scored where score > 0)
+select item_id, cast(r as integer) as rank, doc_id, score from ranked where r <= 50""",
 }
