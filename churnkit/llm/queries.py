@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from churnkit.llm import common as C
 from churnkit.llm import (decontaminate, language, lexical, line_dedup, packing, quality, simhash, substring_dedup,
-                          token_counts, toxicity, warc)
+                          token_counts, token_files, toxicity, warc)
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -68,9 +68,15 @@ def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"), top=50)
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(C.table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER),
+                                  C.fresh_path(spark, "ids"), end_id=0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_token_counts, op3_substring_dedup, op4_quality_rules, op5_warc, op6_line_dedup,
-    op7_best_fit_packing, op8_language_id, op9_benchmark_decontamination, op10_toxicity, op12_ranked_lexical_search)}
+    op7_best_fit_packing, op8_language_id, op9_benchmark_decontamination, op10_toxicity, op12_ranked_lexical_search,
+    op13_token_files)}
 
 ORACLES = {
     "op5_warc": """
