@@ -129,3 +129,8 @@ def bounded_sample(df: DataFrame, rows: int, seed: int, key: str = "doc_id") ->
         return df
     cut = int(rows / n * (1 << 30))
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) < cut)
+
+
+def single(values: pa.ChunkedArray) -> pa.Array:
+    """A column as one array."""
+    return values.combine_chunks() if values.num_chunks != 1 else values.chunk(0)

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnkit.llm import common as C
-from churnkit.llm import (decontaminate, language, lexical, line_dedup, packing, quality, simhash, substring_dedup,
-                          token_counts, token_files, toxicity, warc)
+from churnkit.llm import (decontaminate, language, lexical, line_dedup, packing, phrases, quality, simhash,
+                          substring_dedup, token_counts, token_files, toxicity, warc)
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -64,6 +64,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", C.held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(C.table(spark, sf_dir, "documents"), least=100, depth=5, share=100, top=2000)
+
+
 def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"), top=50)
 
@@ -75,8 +79,8 @@ def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_token_counts, op3_substring_dedup, op4_quality_rules, op5_warc, op6_line_dedup,
-    op7_best_fit_packing, op8_language_id, op9_benchmark_decontamination, op10_toxicity, op12_ranked_lexical_search,
-    op13_token_files)}
+    op7_best_fit_packing, op8_language_id, op9_benchmark_decontamination, op10_toxicity, op11_phrase_collocations,
+    op12_ranked_lexical_search, op13_token_files)}
 
 ORACLES = {
     "op5_warc": """
@@ -110,6 +114,32 @@ select doc_id, cast(n_lines as bigint) as n_lines, cast(n_removed as bigint) as
        sha256(kept) as kept_sha256 from kept
 union all
 select doc_id, 0, 0, null from documents where text is null""",
+    "op11_phrase_collocations": r"""
+with pieces as (select lang, row_number() over () as piece, piece as t from (
+       select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+words as (select lang, regexp_extract_all(t, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, cast(sum(len(w)) as bigint) as n from words group by lang),
+grams as (select lang, len(g) as m, array_to_string(g, ' ') as phrase, count(*) as f
+          from (select lang, unnest(flatten(list_transform(range(1, len(w) + 1), lambda i:
+                  list_transform(range(1, least(5, len(w) - i + 1) + 1), lambda m: w[i:i + m - 1])))) as g from words)
+          group by all having count(*) >= 100),
+cuts as (select c.lang, c.phrase, c.f as a, k, l.f as l, r.f as r, n,
+                (1000::hugeint * c.f * n) // (l.f::hugeint * r.f) as score
+         from (select *, string_split(phrase, ' ') as w, unnest(range(1, m)) as k from grams where m > 1) c
+         join grams l on l.lang = c.lang and l.phrase = array_to_string(w[1:k], ' ')
+         join grams r on r.lang = c.lang and r.phrase = array_to_string(w[k + 1:], ' ')
+         join totals t on t.lang = c.lang),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+covered as (select distinct x.lang, x.phrase from (
+              select lang, f, unnest(flatten(list_transform(range(2, m), lambda s:
+                list_transform(range(1, m - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))))) as phrase
+              from (select *, string_split(phrase, ' ') as w from grams where m > 2)) longer
+            join grams x on x.lang = longer.lang and x.phrase = longer.phrase and longer.f * 100 >= x.f * 100)
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase,
+       a, l, r, n, cast(score as bigint) as score
+from best anti join covered using (lang, phrase)
+qualify row_number() over (partition by lang order by score desc, a desc, encode(phrase)) <= 2000""",
     "op12_ranked_lexical_search": r"""
 with asked as (select distinct item_id, unnest(regexp_extract_all(
                  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
