@@ -6,6 +6,11 @@ into buckets that are monotone in the sort order, count each bucket (a small
 aggregate), turn the counts into per-bucket offsets over that small table, and
 finish with a window per bucket. Each task therefore sees one bucket; how the
 one-row-per-bucket offsets meet the rows is left to adaptive execution.
+
+Buckets are ranges of a dense key such as ``row_no`` (``range_bucket``), or the
+partitions that Spark's range partitioner makes of the values (``range_parts``):
+a row finds its partition in the exchange, and its bucket is the partition's
+number, so no row carries or compares a list of bounds.
 """
 
 from __future__ import annotations
@@ -23,9 +28,9 @@ def running_sum(df: DataFrame, value: Column, order_cols: Sequence, bucket: Colu
     """Add ``out`` = inclusive running sum of ``value`` in ``order_cols`` order
     (per ``partition_cols``).
 
-    ``bucket`` must be non-decreasing along the order within a partition; the
-    number of distinct buckets bounds the broadcast offset table, and rows per
-    bucket bound the work of a single task.
+    ``bucket`` must be non-decreasing along the order within a partition; there
+    is one offset row per partition key and bucket, and the rows of a bucket
+    bound the work of a single task.
     """
     part = list(partition_cols)
     d = df.withColumn(_BKT, F.col(bucket) if isinstance(bucket, str) else bucket).withColumn("__v", value)
@@ -52,16 +57,19 @@ def range_bucket(c: Column, width: int) -> Column:
     return F.floor(c / F.lit(width)).cast("long")
 
 
-def with_quantile_bucket(df: DataFrame, c: str, n_buckets: int, out: str,
-                         descending: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Add ``out``: a bucket monotone in ``c`` from approximate quantiles
-    (one scalar subquery). Used where each row is one distinct value, so
-    buckets are balanced whatever the value distribution."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.select(F.percentile_approx(F.col(c), probs, accuracy)).scalar()
-    d = df.withColumn("__bounds", bounds)
-    below = F.size(F.filter(F.col("__bounds"), lambda b: b < F.col(c)))
-    return d.withColumn(out, (F.lit(n_buckets) - below) if descending else below).drop("__bounds")
+def range_parts(df: DataFrame, order: Sequence[Column], parts: int, out: str) -> DataFrame:
+    """``df`` in ``parts`` ranges of ``order``, with the number of its range as
+    ``out``: numbers rise with the order. Spark samples the order for balanced
+    ranges, so the result must be written before it is used twice."""
+    return df.repartitionByRange(parts, *order).withColumn(out, F.spark_partition_id())
+
+
+def _bucketed(df: DataFrame, order: Sequence[Column], per_bucket: int, out: str) -> DataFrame:
+    """A written ``df`` with buckets of about ``per_bucket`` rows, monotone in ``order``."""
+    parts = max(1, -(-df.count() // per_bucket))
+    if parts == 1:
+        return df.withColumn(out, F.lit(0))
+    return range_parts(df, order, parts, out).checkpoint(eager=True)
 
 
 def running_sums(df: DataFrame, order: str, sums: dict[str, tuple[str, str]], descending: bool = False,
@@ -70,19 +78,18 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, tuple[str, str]], de
     one pass: ``sums`` maps a column to the names of its running sum and of
     its total.
 
-    ``df`` has one row per value. It is written to the checkpoint folder once,
-    counted, and cut into buckets of about ``per_bucket`` rows, so buckets
+    ``df`` has one row per value. It is written to the checkpoint folder,
+    counted, and cut into ranges of about ``per_bucket`` rows, so buckets
     follow the data; bucket totals become offsets over one row per bucket.
     """
     df = df.checkpoint(eager=True)
-    n_buckets = max(1, -(-df.count() // per_bucket))
-    d = with_quantile_bucket(df, order, n_buckets, _BKT, descending) if n_buckets > 1 else df.withColumn(_BKT, F.lit(0))
+    by = F.desc(order) if descending else F.asc(order)
+    d = _bucketed(df, [by], per_bucket, _BKT)
     totals = d.groupBy(_BKT).agg(*(F.sum(c).alias(f"__t_{c}") for c in sums))
     before, whole = Window.orderBy(_BKT), Window.partitionBy()
     offsets = totals.select(
         _BKT, *((F.sum(f"__t_{c}").over(before) - F.col(f"__t_{c}")).alias(f"__o_{c}") for c in sums),
         *(F.sum(f"__t_{c}").over(whole).alias(total) for c, (_, total) in sums.items()))
-    by = F.desc(order) if descending else F.asc(order)
     inside = Window.partitionBy(_BKT).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = d.join(offsets, _BKT)
     return out.select(*df.columns, *((F.sum(c).over(inside) + F.col(f"__o_{c}")).alias(run) for c, (run, _) in sums.items()),
@@ -103,11 +110,9 @@ def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], group_cols: S
     g = list(group_cols)
     vals = (df.where(F.col(c).isNotNull()).groupBy(*g, c)
             .agg(F.count(F.lit(1)).alias("__cnt"))).checkpoint(eager=True)
-    # Buckets from approximate quantiles of the distinct values, so every
-    # bucket holds a similar number of them whatever the skew; their number
-    # follows the number of values.
-    n_buckets = max(1, -(-vals.count() // per_bucket))
-    bucketed = with_quantile_bucket(vals, c, n_buckets, "__qb") if n_buckets > 1 else vals.withColumn("__qb", F.lit(0))
+    # Ranges of (group, distinct value): each holds a similar number of them
+    # whatever the skew, and a large group spreads over several.
+    bucketed = _bucketed(vals, [F.asc(x) for x in (*g, c)], per_bucket, "__qb")
     ranked = running_sum(bucketed, F.col("__cnt"), [F.col(c)], "__qb", "__cum", g).drop("__qb")
     sizes = vals.groupBy(*g).agg(F.sum("__cnt").alias("__n"))
     ranked = ranked.join(sizes, g) if g else ranked.withColumn("__n", sizes.select("__n").scalar())

@@ -39,6 +39,35 @@ def test_exact_quantiles_match_numpy(spark):
         assert abs(qg[g].q0 - np.median(vals[np.arange(777) % 2 == g])) < 1e-9
 
 
+def test_quantiles_and_sums_over_many_ranges(spark):
+    rng = np.random.default_rng(9)
+    vals = np.round(rng.gamma(2.0, 30.0, 900), 2)
+    vals[:300] = 42.0                                   # one value holds a third of the rows
+    groups = np.where(np.arange(900) % 10 < 7, "big", np.array([f"g{i}" for i in np.arange(900) % 5]))
+    df = spark.createDataFrame([(float(v), str(g)) for v, g in zip(vals, groups)], "x double, g string")
+    q = ordinal.exact_quantiles(df, "x", [0.1, 0.5, 0.99], per_bucket=40).first()
+    assert np.allclose([q.q0, q.q1, q.q2], np.percentile(vals, [10, 50, 99]), rtol=0, atol=1e-9)
+    for r in ordinal.exact_quantiles(df, "x", [0.25, 0.5], ["g"], per_bucket=40).collect():
+        assert np.allclose([r.q0, r.q1], np.percentile(vals[groups == r.g], [25, 50]), rtol=0, atol=1e-9)
+    counts = df.groupBy("x").agg(F.count("*").alias("n"))
+    for down in (False, True):
+        got = ordinal.running_sums(counts, "x", {"n": ("run", "all")}, descending=down, per_bucket=25).collect()
+        assert {r["all"] for r in got} == {900}
+        for r in got:
+            assert r.run == ((vals >= r.x) if down else (vals <= r.x)).sum()
+
+
+def test_a_row_meets_no_list_of_bounds(spark):
+    """With ten thousand buckets the plan is the same as with two: one range exchange."""
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    plans = [ordinal.range_parts(df, [F.asc("x")], n, "b")._jdf.queryExecution().executedPlan().toString() for n in (2, 10_000)]
+    assert "rangepartitioning" in plans[1] and ", 10000)" in plans[1]
+    assert plans[1].count("Exchange") == 1 and "filter(" not in plans[1].lower().replace("filtered", "")
+    assert abs(len(plans[0]) - len(plans[1])) < 40
+    ranges = ordinal.range_parts(df, [F.desc("x")], 50, "b").groupBy("b").agg(F.min("x"), F.max("x")).orderBy("b").collect()
+    assert all(a[1] > b[2] for a, b in zip(ranges, ranges[1:]))
+
+
 def test_auc_matches_pairwise_brute_force(spark):
     rng = np.random.default_rng(3)
     y = rng.integers(0, 2, 400)
