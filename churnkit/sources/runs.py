@@ -18,9 +18,8 @@ from churnkit.sources.files import hadoop_path, path_exists
 
 def save_run(results: DataFrame, base: str, run_id: str) -> str:
     """Write one run's scored rows under ``run_id=<id>``."""
-    spark = results.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    results.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").partitionBy("run_id").parquet(base)
+    (results.withColumn("run_id", F.lit(run_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(base))
     return base
 
 

@@ -112,3 +112,19 @@ def test_segment_outputs_layout_and_export(spark, sf_dir):
                     os.path.join(tmp, "export"), {"t": cleaned})
     back = spark.read.option("header", True).csv(os.path.join(tmp, "export"))
     assert back.count() == cleaned.select("Contract").distinct().count()
+
+
+def test_saving_a_run_leaves_other_overwrites_alone(spark, sf_dir):
+    """A run replaces its own partition only; a segment output still replaces all of its folder."""
+    tmp = tempfile.mkdtemp(prefix="churnkit-runs-")
+    results = bulk_results(score(clean_accounts(accounts_raw(spark, sf_dir))))
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode", None)
+    out = os.path.join(tmp, "segments")
+    FS.write_segments(results, out, "Risk Level")
+    RS.save_run(results.limit(3), os.path.join(tmp, "runs"), "r1")
+    RS.save_run(results.limit(4), os.path.join(tmp, "runs"), "r1")
+    RS.save_run(results.limit(2), os.path.join(tmp, "runs"), "r2")
+    assert RS.read_runs(spark, os.path.join(tmp, "runs")).count() == 6
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode", None) == before
+    FS.write_segments(results.limit(1), out, "Risk Level")
+    assert len([d for d in os.listdir(out) if "=" in d]) == 1
