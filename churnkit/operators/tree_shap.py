@@ -120,36 +120,92 @@ def leaf_paths(tree: Tree) -> list[LeafPath]:
     return out
 
 
-def _leaf_values(path: LeafPath, follows: np.ndarray) -> np.ndarray:
-    """Shapley values of a leaf's features for rows that follow its path on
-    some of them (``follows``: rows x features).
-
-    A feature that is known sends the row its own way, an unknown one by
-    training weight. The average over all orders of getting known is an
-    integral over t of the product of (1 - t) * share + t * follows over the
-    other features, a polynomial that Gauss-Legendre points integrate exactly.
+class LeafTable:
+    """All leaves of a model that have the same number ``m`` of features on
+    their way, as arrays (leaf x feature).
+
+    A row's attribution by a leaf depends only on which of the leaf's features
+    the row follows, so each (leaf, pattern) is computed once and kept while the
+    tables live: rows only look it up. What is kept is bounded by
+    ``limit`` patterns; beyond that, patterns of a batch are computed for it alone.
     """
-    m = len(path.features)
-    points, weights = np.polynomial.legendre.leggauss(m // 2 + 1)
-    t = (points + 1) / 2
-    factor = path.share[None, :, None] * (1 - t) + follows[:, :, None] * t
-    rest = factor.prod(1, keepdims=True) / factor
-    return path.value * (follows - path.share) * (rest * (weights / 2)).sum(2)
 
-
-def shap_batch(paths: list[list[LeafPath]], weights: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Attributions (rows x features). Each leaf takes the whole batch at once;
-    rows that follow its path on the same features share one computation."""
+    def __init__(self, paths: list[tuple[float, LeafPath]], limit: int):
+        self.m = len(paths[0][1].features)
+        self.features = np.stack([p.features for _, p in paths])
+        self.low, self.high, self.share = (np.stack([getattr(p, k) for _, p in paths]) for k in ("low", "high", "share"))
+        self.value = np.array([w * p.value for w, p in paths])
+        points, weights = np.polynomial.legendre.leggauss(self.m // 2 + 1)
+        self.t, self.weights = (points + 1) / 2, weights / 2
+        self.limit = limit
+        self.keys = np.empty(0, np.int64)
+        self.known = np.empty((0, self.m))
+
+    def shapley(self, keys: np.ndarray) -> np.ndarray:
+        """Shapley values of the features of each (leaf, pattern).
+
+        A feature that is known sends the row its own way, an unknown one by
+        training weight. The average over all orders of getting known is an
+        integral over t of the product of (1 - t) * share + t * follows over the
+        other features, a polynomial that Gauss-Legendre points integrate exactly.
+        """
+        leaf, code = keys >> self.m, keys & ((1 << self.m) - 1)
+        follows = (code[:, None] >> np.arange(self.m) & 1).astype(float)
+        share = self.share[leaf]
+        total = np.zeros_like(share)
+        for t, weight in zip(self.t, self.weights, strict=True):
+            factor = share * (1 - t) + follows * t
+            total += weight * factor.prod(1, keepdims=True) / factor
+        return self.value[leaf][:, None] * (follows - share) * total
+
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The attributions of the different keys, and which of them each key has."""
+        wanted, which = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, wanted), max(len(self.keys) - 1, 0))
+        old = self.keys[at] == wanted if len(self.keys) else np.zeros(len(wanted), bool)
+        found = np.empty((len(wanted), self.m))
+        found[old] = self.known[at[old]]
+        fresh = wanted[~old]
+        found[~old] = self.shapley(fresh)
+        if len(fresh) and len(self.keys) + len(fresh) <= self.limit:
+            keys_now = np.concatenate([self.keys, fresh])
+            order = np.argsort(keys_now, kind="stable")
+            self.keys, self.known = keys_now[order], np.concatenate([self.known, found[~old]])[order]
+        return found, which
+
+    def add(self, x: np.ndarray, phi: np.ndarray) -> None:
+        """Add the attributions of ``x`` (rows x features) by these leaves to ``phi``."""
+        step = max(1, CELLS // max(1, self.features.size))
+        for a in range(0, len(x), step):
+            rows = x[a:a + step]
+            values = rows[:, self.features]           # rows x leaves x m
+            follows = (values > self.low) & (values <= self.high)
+            code = (follows << np.arange(self.m)).sum(2)
+            found, which = self.lookup(((np.arange(len(self.value)) << self.m) + code).ravel())
+            each = found[which].reshape(len(rows), -1)
+            for i, row in enumerate(each):
+                phi[a + i] += np.bincount(self.features.ravel(), row, phi.shape[1])
+
+
+CELLS = 4 << 20                       # (row, leaf, feature) cells looked at together
+KEPT_CELLS = 16 << 20                 # attributions kept by all tables of a task
+
+
+def leaf_tables(trees: list[Tree], weights: np.ndarray) -> list[LeafTable]:
+    """A model's leaves by the number of features on their way."""
+    by_size: dict[int, list[tuple[float, LeafPath]]] = {}
+    for tree, weight in zip(trees, weights, strict=True):
+        for path in leaf_paths(tree):
+            by_size.setdefault(len(path.features), []).append((weight, path))
+    total = sum(len(paths) * m for m, paths in by_size.items()) or 1
+    return [LeafTable(paths, KEPT_CELLS * len(paths) // total) for _, paths in sorted(by_size.items())]
+
+
+def shap_batch(tables: list[LeafTable], x: np.ndarray) -> np.ndarray:
+    """Attributions (rows x features)."""
     phi = np.zeros(x.shape)
-    columns = np.ascontiguousarray(x.T)
-    for tree, weight in zip(paths, weights, strict=True):
-        for path in tree:
-            code = np.zeros(len(x), np.int64)
-            for j, f in enumerate(path.features):
-                code |= ((columns[f] > path.low[j]) & (columns[f] <= path.high[j])).astype(np.int64) << j
-            kinds, which = np.unique(code, return_inverse=True)
-            follows = (kinds[:, None] >> np.arange(len(path.features)) & 1).astype(float)
-            phi[:, path.features] += weight * _leaf_values(path, follows)[which]
+    for table in tables:
+        table.add(x, phi)
     return phi
 
 
@@ -166,14 +222,14 @@ def explain(df: DataFrame, model, features=K.FEATURE_COLUMNS, keys=("row_no",),
     spark = df.sparkSession
     ship_package(spark)
     trees, weights, _ = read_trees(spark, model)
-    sent = spark.sparkContext.broadcast(([leaf_paths(t) for t in trees], weights))   # model-sized
+    sent = spark.sparkContext.broadcast(leaf_tables(trees, weights))   # model-sized, still empty of attributions
     feats, keys = list(features), list(keys)
 
     def run(batches):
-        paths, ws = sent.value
+        tables = sent.value                           # one per Python process: later batches find what earlier ones computed
         for pdf in batches:
             x = pdf[feats].to_numpy(dtype=float)
-            phi = shap_batch(paths, ws, x)
+            phi = shap_batch(tables, x)
             out = pdf[keys].loc[pdf.index.repeat(len(feats))].reset_index(drop=True)
             yield out.assign(pos=np.tile(np.arange(len(feats), dtype=np.int32), len(pdf)),
                              feature=feats * len(pdf), value=x.ravel(), phi=phi.ravel())

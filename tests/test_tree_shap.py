@@ -81,6 +81,11 @@ def test_batch_equals_the_definition():
         grow(4, 100.0)
         tree = TS.Tree(*map(np.array, (left, right, feature, threshold, value, cover)))
         x = rng.normal(size=(7, n))
-        got = TS.shap_batch([TS.leaf_paths(tree)], np.array([1.0]), x)
+        tables = TS.leaf_tables([tree], np.array([1.0]))
+        got = TS.shap_batch(tables, x)
+        assert np.array_equal(TS.shap_batch(tables, x), got)         # looked up, not computed
+        for table in (none := TS.leaf_tables([tree], np.array([1.0]))):
+            table.limit = 0
+        assert np.array_equal(TS.shap_batch(none, x), got) and not any(len(t.keys) for t in none)
         want = np.array([_brute(tree, row, n) for row in x])
         assert np.abs(got - want).max() < 1e-10
