@@ -8,7 +8,7 @@ sort runs in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnkit.functions.numeric import half_even
@@ -19,40 +19,60 @@ from churnkit.operators import ordinal
 
 def stratified_split(df: DataFrame, label: str = "ChurnValue", key: str = "customerID",
                      order_col: str = "row_no", test_fraction: float = 0.2, seed: int = 42,
-                     hex_digits: int = 4) -> DataFrame:
+                     hex_digits: int = 4, border_rows: int = 100_000, max_labels: int = 1000) -> DataFrame:
     """Exact-size stratified split: per label, the first ``round(f * n)``
     rows in ``md5(key|order|seed)`` order go to ``test``. Rows with a null
     label are not split.
 
-    Only the border row of each label is looked for: counts per hash prefix
-    (16**hex_digits of them) name the prefix it lies in, counts of prefixes
-    twice as long inside it the next, and only the rows of that one are
-    ordered. Every row is then compared with its label's border; no row of
-    ``df`` is shuffled.
+    Only each label's border row is looked for. One pass counts rows per label
+    and hash prefix (16**hex_digits of them); running sums over that small
+    table name the prefix that holds the border. Where the rows of these
+    prefixes are more than ``border_rows``, longer prefixes are counted inside
+    them; else the border rows are read off them. Every row is then compared with
+    its label's border in a projection: no row of ``df`` is shuffled, and the
+    result's own plan reads ``df`` once.
     """
     h = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col(order_col).cast("string"), F.lit(str(seed))))
-    base = df.where(F.col(label).isNotNull()).withColumn("__h", h)
-    rows = base.select(F.col(label).alias("__label"), "__h", F.col(order_col).alias("__order"))
-    left = (rows.groupBy("__label").agg(F.count("*").alias("__n"))
-            .select("__label", F.round(F.lit(float(test_fraction)) * F.col("__n")).cast("long").alias("__k")))
-    for digits in (hex_digits, 2 * hex_digits):
-        # per label at most 16**hex_digits prefixes: those below the one before it
-        prefix = F.substring("__h", 1, digits)
-        counts = rows.groupBy("__label", prefix.alias("__prefix")).agg(F.count("*").alias("__c")).join(left, "__label")
+    base = df.where(F.col(label).isNotNull())
+    rows = base.select(F.col(label).alias("__label"), h.alias("__h"), F.col(order_col).alias("__order"))
+    left: dict = {}                                   # label: (rows still to take inside the prefix, the prefix)
+    inside, digits = rows, hex_digits
+    while True:
+        counts = inside.groupBy("__label", F.substring("__h", 1, digits).alias("__prefix")).agg(F.count("*").alias("__c"))
+        if not left:
+            counts = counts.checkpoint(eager=True)    # at most 16**hex_digits rows a label, read twice
+            sizes = counts.groupBy("__label").agg(F.sum("__c").alias("__n"))
+            take = F.round(F.lit(float(test_fraction)) * F.col("__n")).cast("long")
+            wanted = {r["__label"]: r["__k"] for r in sizes.select("__label", take.alias("__k")).limit(max_labels + 1).collect()}
+            if len(wanted) > max_labels:
+                raise ValueError(f"{label} has more than {max_labels} different labels")
+        else:
+            wanted = {name: k for name, (k, _) in left.items()}
+        k = _per_label(wanted)
         before = F.sum("__c").over(Window.partitionBy("__label").orderBy("__prefix")) - F.col("__c")
-        left = (counts.withColumn("__before", before)
-                .where((F.col("__before") < F.col("__k")) & (F.col("__before") + F.col("__c") >= F.col("__k")))
-                .select("__label", (F.col("__k") - F.col("__before")).alias("__k"), "__prefix"))
-        rows = rows.join(left.select("__label", "__prefix"), "__label").where(prefix == F.col("__prefix")).drop("__prefix")
-        left = left.select("__label", "__k")
+        border = (counts.withColumn("__before", before).withColumn("__k", k)
+                  .where((F.col("__before") < F.col("__k")) & (F.col("__before") + F.col("__c") >= F.col("__k"))).collect())
+        left = {r["__label"]: (r["__k"] - r["__before"], r["__prefix"]) for r in border}       # one row a label
+        inside = rows.where(F.substring("__h", 1, digits) == _per_label({name: p for name, (_, p) in left.items()}))
+        if sum(r["__c"] for r in border) <= border_rows or digits >= 32:
+            break
+        digits = min(32, 2 * digits)
     nth = F.row_number().over(Window.partitionBy("__label").orderBy("__h", "__order"))
-    border = (rows.join(left, "__label").withColumn("__nth", nth).where("__nth = __k")
-              .select("__label", F.struct("__h", "__order").alias("__border")))
-    # one row per label value
-    out = base.join(border, base[label] == border["__label"], "left")
-    is_test = F.struct(F.col("__h"), F.col(order_col).alias("__order")) <= F.col("__border")
-    return (out.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
-            .drop("__h", "__label", "__border"))
+    last = inside.withColumn("__nth", nth).where(F.col("__nth") == _per_label({name: k for name, (k, _) in left.items()})).collect()
+    key_of, order_of = ({r["__label"]: r[c] for r in last} for c in ("__h", "__order"))
+    last_of = F.struct(_per_label(key_of, F.col(label)).cast("string").alias("h"),
+                       _per_label(order_of, F.col(label)).cast(df.schema[order_col].dataType).alias("o"))
+    is_test = F.struct(h.alias("h"), F.col(order_col).alias("o")) <= last_of       # no border: nothing is below it
+    return base.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
+
+
+def _per_label(values: dict, name: Column | None = None) -> Column:
+    """The value of a row's label, null for other labels."""
+    name = F.col("__label") if name is None else name
+    out = F.lit(None)
+    for own, value in values.items():
+        out = F.when(name == F.lit(own), F.lit(value)).otherwise(out)
+    return out
 
 
 def split_sizes(split: DataFrame, label: str = "ChurnValue") -> DataFrame:
@@ -185,14 +205,13 @@ def population_stability(expected: DataFrame, actual: DataFrame, c: str, edges:
                          eps: float = 1e-6) -> DataFrame:
     """Claimed drift check: population stability index of ``c`` between two
     frames over fixed bin edges (two binned counts and one join of <= len(edges)+1 rows)."""
-    def binned(df):
+    def binned(df, name):
         b = F.lit(0)
         for e in edges:
             b = b + F.when(F.col(c) >= F.lit(float(e)), 1).otherwise(0)
         counts = df.where(F.col(c).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-        total = df.where(F.col(c).isNotNull()).select(F.count(F.lit(1))).scalar()
-        return counts.select("bin", (F.col("n") / total).alias("share"))
-    e, a = binned(expected).withColumnRenamed("share", "e"), binned(actual).withColumnRenamed("share", "a")
-    j = e.join(a, "bin", "full_outer").select("bin", F.greatest(F.coalesce("e", F.lit(0.0)), F.lit(eps)).alias("e"),
-                                               F.greatest(F.coalesce("a", F.lit(0.0)), F.lit(eps)).alias("a"))
+        return counts.select("bin", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias(name))    # a row per bin
+    j = binned(expected, "e").join(binned(actual, "a"), "bin", "full_outer").select(
+        "bin", F.greatest(F.coalesce("e", F.lit(0.0)), F.lit(eps)).alias("e"),
+        F.greatest(F.coalesce("a", F.lit(0.0)), F.lit(eps)).alias("a"))
     return j.agg(half_even(F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))), 6).alias("psi"))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 
+from churnkit.functions.numeric import half_even
 from churnkit.operators import clean as C
 from churnkit.operators import kpi as KPI
 from churnkit.plans import oracle_sql as O
@@ -337,6 +338,24 @@ def q_d26(spark, sf_dir):
     return PR.histogram(cleaned(spark, sf_dir), "MonthlyCharges", 10)
 
 
+@register("d26_density_monthly", O.with_cleaned("""
+, b as (select cast(MonthlyCharges as double) as v from cleaned where MonthlyCharges is not null),
+s as (select count(*) as n, stddev_samp(v) * pow(count(*), -0.2e0) as h, min(v) as lo, max(v) as hi from b),
+g as (select cast(i as integer) as point, lo + i * ((hi - lo) / 199) as x from s, (select unnest(range(200)) as i))
+select point, """ + O.rint("x", 6) + """ as x,
+       """ + O.rint("(select sum(exp(-0.5e0 * ((x - v) / h) * ((x - v) / h))) from b) / (n * h * sqrt(2 * pi()))", 5) + """ as density
+from g, s"""))
+def q_d26_density(spark, sf_dir):
+    return PR.density_curve(cleaned(spark, sf_dir), "MonthlyCharges", decimals=5)
+
+
+@register("d26_density_mass", O.with_cleaned("select 1.0e0 as mass, true as within from cleaned limit 1"))
+def q_d26_mass(spark, sf_dir):
+    """The area below the curve drawn out to eight bandwidths on both sides."""
+    mass = PR.curve_mass(PR.density_curve(cleaned(spark, sf_dir), "MonthlyCharges", cut=8.0))
+    return mass.select(half_even("mass", 6).alias("mass"), (F.abs(F.col("mass") - 1) < 1e-6).alias("within"))
+
+
 def _box_sql(c, by, long=None):
     g = f"{by}, " if by else ""
     gw = f"group by {by}" if by else ""
@@ -664,7 +683,7 @@ def split_scored(spark, sf_dir):
 
 
 def test_scores(spark, sf_dir):
-    return (split_scored(spark, sf_dir).where(F.col("split") == "test")
+    return (split_rows(spark, sf_dir).where(F.col("split") == "test")
             .select("row_no", F.col("ChurnValue").alias("label"), F.col("churn_probability").alias("score"),
                     (F.col("churn_probability") >= K.CHURN_CUTOFF).cast("int").alias("prediction")))
 
@@ -819,6 +838,63 @@ for _key, _name, _mean in (("i5_logistic_regression", "logistic_regression", Tru
     register(_key, _sql)(_job)
 
 
+# --- scaling, selection, cross-validation ----------------------------------------------------------
+
+from churnkit.operators import selection as SEL  # noqa: E402
+
+_LONG_TRAIN = ("select ChurnValue as label, unnest([" + ", ".join(
+    f"struct_pack(pos := {i}, feature := {O.q(f)}, x := cast({O.ident(f)} as double))" for i, f in enumerate(K.FEATURE_COLUMNS))
+    + "], recursive := true) from splitted where split = 'train'")
+
+
+@register("selection_f_values", with_eval(f"""
+, long as ({_LONG_TRAIN}),
+m as (select *, avg(x) over (partition by pos) as grand, avg(x) over (partition by pos, label) as mean from long),
+v as (select pos, feature, sum((mean - grand) * (mean - grand)) / (count(distinct label) - 1)
+             / nullif(sum((x - mean) * (x - mean)) / (count(*) - count(distinct label)), 0) as f from m group by pos, feature),
+p as (select *, row_number() over (order by {O.rint('f', 4)} desc nulls last, pos) as place from v)
+select feature, {O.rint('f', 4)} as f_value, cast(place as integer) as place, f is not null and place <= 15 as chosen from p"""))
+def q_f_values(spark, sf_dir):
+    return SEL.f_values(_train_test(spark, sf_dir)[0], 15)
+
+
+@register("scaled_features", with_eval(
+    ", st as (select " + ", ".join(f"avg(cast({O.ident(f)} as double)) as m{i}, stddev_samp(cast({O.ident(f)} as double)) as s{i}"
+                                   for i, f in enumerate(K.FEATURE_COLUMNS))
+    + " from splitted where split = 'train') select row_no, " + ", ".join(
+        O.rint(f"case when s{i} > 0 then (cast({O.ident(f)} as double) - m{i}) / s{i} else 0e0 end", 6) + f" as {O.ident(f)}"
+        for i, f in enumerate(K.FEATURE_COLUMNS)) + " from splitted, st"))
+def q_scaled(spark, sf_dir):
+    """All rows of the split, scaled by what the training rows give."""
+    return SEL.standardised(split_rows(spark, sf_dir), _train_test(spark, sf_dir)[0], decimals=6)
+
+
+_FOLD = "cast(('0x' || substr(md5(concat_ws('|', customerID, cast(row_no as varchar), '42')), 1, 8))::bigint % 5 as integer)"
+
+
+@register("cv_fold_sizes", with_eval(
+    f"select {_FOLD} as fold, ChurnValue as label, count(*) as rows from splitted group by all"))
+def q_cv_sizes(spark, sf_dir):
+    dealt = SEL.with_fold(split_rows(spark, sf_dir), 5)
+    return dealt.groupBy("fold", F.col("ChurnValue").alias("label")).agg(F.count("*").alias("rows"))
+
+
+@register("cv_out_of_fold", with_eval(f"""
+, d as (select {_FOLD} as fold, row_no from splitted)
+select fold, count(*) as rows, count(distinct row_no) as row_nos, (select count(*) from d) - count(*) as trained_on,
+       cast(0 as bigint) as outside, true as finite from d group by fold"""))
+def q_cv(spark, sf_dir):
+    """Each row scored once by a tree that was trained on the other folds."""
+    scored_rows = SEL.out_of_fold(split_rows(spark, sf_dir).drop("churn_probability"), "decision_tree", 5)
+    p = F.col("churn_probability")
+    cells = scored_rows.groupBy("fold").agg(
+        F.count("*").alias("rows"), F.count_distinct("row_no").alias("row_nos"), F.max("trained_on").alias("trained_on"),
+        F.count_if(p.isNull() | ~p.between(0.0, 1.0)).alias("outside"))
+    numbers = [F.col(c) for c in ("accuracy", "precision", "recall", "f1")]
+    finite = F.forall(F.array(*numbers), lambda x: x.isNotNull() & ~F.isnan(x) & x.between(0.0, 1.0))
+    return cells.join(SEL.fold_metrics(scored_rows).select("fold", finite.alias("finite")), "fold")
+
+
 # --- more views: waterfall, derived fields, geography, drift, filters, preview --------------------
 
 from churnkit.functions import rules as R  # noqa: E402
@@ -845,7 +921,6 @@ _services = ["PhoneService", "MultipleLines", "OnlineSecurity", "OnlineBackup",
     + O.rint("TotalCharges / nullif(cast(tenure as double), 0)", 6) + " as Revenue_Per_Month, "
     + O.rint("MonthlyCharges * tenure", 6) + " as Customer_Value from cleaned"))
 def q_h13(spark, sf_dir):
-    from churnkit.functions.numeric import half_even
     return cleaned(spark, sf_dir).select(
         "row_no", R.service_count().alias("Service_Count"),
         half_even(R.revenue_per_month(), 6).alias("Revenue_Per_Month"),
@@ -877,9 +952,8 @@ select {O.rint('sum((a - e) * ln(a / e))', 6)} as psi from j""")
 
 @register("psi_monthly_train_vs_test", _psi_sql())
 def q_psi(spark, sf_dir):
-    sp = split_scored(spark, sf_dir)
-    return EV.population_stability(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test"),
-                                   "MonthlyCharges", PSI_EDGES)
+    train, test = _train_test(spark, sf_dir)
+    return EV.population_stability(train, test, "Monthly Charges", PSI_EDGES)
 
 
 @register("b17_high_risk_actions", O.with_campaign(

@@ -89,3 +89,20 @@ def test_stratified_split_sizes(spark):
     counts = {(r.split, r.ChurnValue): r.rows for r in EV.split_sizes(sp).collect()}
     assert counts[("test", 1)] == 50 and counts[("test", 0)] == 150
     assert counts[("train", 1)] == 200 and counts[("train", 0)] == 600
+
+
+def test_split_borders_do_not_depend_on_how_they_are_found(spark):
+    import hashlib
+    rows = [(f"c{i % 7}", None if i == 50 else i, (i % 3 if i % 11 else None)) for i in range(600)]
+    df = spark.createDataFrame(rows, "customerID string, row_no long, y int")
+    expected = {}
+    for y in range(3):
+        own = sorted((hashlib.md5("|".join([c, *([str(n)] if n is not None else []), "42"]).encode()).hexdigest(), n is not None, n or 0)
+                     for c, n, label in rows if label == y)
+        expected[y] = sorted(((y, n if known else None) for _, known, n in own[:int(0.3 * len(own) + 0.5)]), key=str)
+    for how in ({}, {"hex_digits": 1, "border_rows": 3}, {"hex_digits": 2, "border_rows": 0}):
+        got = EV.stratified_split(df, "y", test_fraction=0.3, **how).where("split = 'test'").select("y", "row_no").collect()
+        for y in range(3):
+            assert sorted((tuple(r) for r in got if r.y == y), key=str) == expected[y]
+    assert EV.stratified_split(df.limit(0), "y").count() == 0
+    assert EV.stratified_split(df, "y", test_fraction=0.0).where("split = 'test'").count() == 0

@@ -30,6 +30,12 @@ def test_no_unpartitioned_window_over_rows(spark, sf_dir, name):
             assert order.startswith("__bkt"), (name, order)
 
 
+def test_split_and_stability_read_their_input_once(spark, sf_dir):
+    assert _plan(E.queries()["i4_stratified_split"](spark, sf_dir)).count("FileScan") == 1
+    assert "Exchange" not in _plan(E.queries()["i4_stratified_split"](spark, sf_dir))
+    assert _plan(E.queries()["psi_monthly_train_vs_test"](spark, sf_dir)).count("FileScan") == 2      # one for each side
+
+
 def test_staged_reports_prune_columns(spark, sf_dir):
     plan = _plan(E.queries()["d9_kpi_row"](spark, sf_dir))
     assert "ReadSchema: struct<ChurnValue:int>" in plan
