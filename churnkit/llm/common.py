@@ -78,8 +78,34 @@ def give_back() -> None:
         trim(0)
 
 
+class TaskCache:
+    """A function's last result, kept in a worker process as long as its tasks
+    go on asking for it: a task that does not gives it up."""
+
+    every: list[TaskCache] = []
+
+    def __init__(self, build: Callable):
+        self.build, self.args, self.value, self.asked = build, None, None, False
+        self.every.append(self)
+
+    def __call__(self, *args):
+        self.asked = True
+        if self.args != args:
+            self.args = self.value = None
+            self.value, self.args = self.build(*args), args
+        return self.value
+
+    @classmethod
+    def forget(cls) -> None:
+        for cache in cls.every:
+            if not cache.asked:
+                cache.args = cache.value = None
+            cache.asked = False
+
+
 def _tidy(batches: Iterator[pa.RecordBatch], func) -> Iterator[pa.RecordBatch]:
     yield from func(batches)
+    TaskCache.forget()
     give_back()
 
 

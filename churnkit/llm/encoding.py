@@ -11,12 +11,12 @@ from one table. Texts that these rules do not cover (letters beyond
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer, pre_tokenizers
 
+from churnkit.llm import common as C
 from churnkit.llm.token_counts import byte_letters
 
 #: Letters up to here have one class in every Unicode version.
@@ -198,6 +198,6 @@ class Encoder:
         return np.concatenate([*parts, ids[done:]]), known
 
 
-@lru_cache(maxsize=1)
+@C.TaskCache
 def encoder(path: str) -> Encoder:
     return Encoder(path)

@@ -14,115 +14,29 @@ more than ``fan_in * carry`` items; bins beyond it are emitted as they are
 from __future__ import annotations
 
 import heapq
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from churnkit.llm import common as C
-
-#: Letters up to here have one class in every Unicode version; texts with others go to the library whole.
-PLAIN_END = 0x500
-
-
-def split_pattern() -> re.Pattern:
-    """The published split pattern of this tokenizer family (letters, numbers
-    and the rest with an optional space before, white space otherwise), with
-    its classes spelled out for the letters below PLAIN_END."""
-    sort = {"L": [], "N": []}
-    for c in map(chr, range(PLAIN_END)):
-        sort.get(unicodedata.category(c)[0], []).append(re.escape(c))
-    letter, number = "".join(sort["L"]), "".join(sort["N"])
-    white = "\t\n\x0b\x0c\r \x85\xa0"
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{white}{letter}{number}]+"
-                      f"|[{white}]+(?![^{white}])|[{white}]+")
-
-
-TOGETHER = 2000                       # words strung together for the library
-KEEP_CHARS = 48
-KEEP_ENTRIES = 600_000
-GROUP = 2 << 20
-ID = np.dtype("<u4")
-
-
-class Encoder:
-    """ids of whole texts by the tokenizers library, which sees each distinct
-    pre-token once: a task keeps the ids of short pre-tokens as bytes."""
-
-    PLAIN = re.compile(f"[^\\x00-{chr(PLAIN_END - 1)}]")
-
-    def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        self.split = split_pattern()
-        added = self.library.get_added_tokens_decoder()
-        self.special = {t.content: np.array([i], ID).tobytes() for i, t in added.items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, ID).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _spaced(self, words: list[str]) -> dict[str, bytes]:
-        """ids of pre-tokens that are a space and letters: strung together they
-        are split where they were joined, so one call takes many."""
-        out: dict[str, bytes] = {}
-        for at in range(0, len(words), TOGETHER):
-            own = words[at:at + TOGETHER]
-            found = self.library.encode("".join(own), add_special_tokens=False)
-            ids, which = np.array(found.ids, ID), np.array(found.word_ids)
-            starts = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
-            data, edges = ids.tobytes(), [*(starts * ID.itemsize).tolist(), len(ids) * ID.itemsize]
-            if len(starts) != len(own):
-                raise ValueError("the library split the words otherwise")
-            out.update((w, data[a:b]) for w, a, b in zip(own, edges, edges[1:], strict=False))
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if not text.isascii() and self.PLAIN.search(text):
-                cut.append(None)
-                continue
-            parts = self.cut.split(text) if self.cut else [text]
-            if len(parts) == 1:
-                cut.append(self.split.findall(text))
-            else:
-                cut.append([p for part in parts for p in ([part] if part in self.special else self.split.findall(part))])
-        seen = set().union(*(c for c in cut if c is not None))
-        table = {p: self.known[p] for p in seen if p in self.known}
-        new = [p for p in seen if p not in table and p not in self.special]
-        spaced = [p for p in new if p[0] == " " and p[1:].isalpha()]
-        other = [p for p in new if not (p[0] == " " and p[1:].isalpha())]
-        fresh = self._spaced(spaced) | dict(zip(other, self._ids(other), strict=True))
-        if len(self.known) + len(fresh) > KEEP_ENTRIES:
-            self.known.clear()
-        self.known.update((p, ids) for p, ids in fresh.items() if len(p) <= KEEP_CHARS)
-        table |= fresh | self.special
-        whole = iter(self._ids([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join(map(table.__getitem__, c)) for c in cut]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+from churnkit.llm.encoding import ID, encoder
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     coder = encoder(path)
-    end = np.array([end_id], ID).tobytes()
-    for batch in C.groups(batches, limit=GROUP):
+    for batch in C.groups(batches):
         row, piece, start, length, crc = [], [], [], [], []
-        for i, ids in enumerate(coder.encode(C.texts(batch))):
-            ids += end
+        found, counts = coder.encode(C.utf8(batch))
+        data = np.insert(found, np.cumsum(counts), np.array([end_id], ID)).tobytes()
+        stops = (np.cumsum(counts + 1) * ID.itemsize).tolist()
+        for i, (a, b) in enumerate(zip([0, *stops], stops, strict=False)):
+            ids = memoryview(data)[a:b]
             total = len(ids) // ID.itemsize
             first = total % capacity or capacity
             at, n = 0, 0
