@@ -28,7 +28,7 @@ def test_stream_equals_batch(spark, sf_dir):
     q = scorer.start(spark, src, os.path.join(tmp, "out"), os.path.join(tmp, "ckpt"), frozen_monthly_median=70.0)
     q.awaitTermination(300)
     streamed = scorer.read_results(spark, os.path.join(tmp, "out"))
-    batch_in = spark.read.option("header", True).schema(scorer.INPUT_SCHEMA).csv(src)
+    batch_in = scorer.fill_ids(scorer.placed(spark.read.option("header", True).schema(scorer.INPUT_SCHEMA).csv(src)))
     expected, rejected = scorer.score_batch(batch_in, 70.0)
     cols = [c for c in expected.columns]
     a = sorted(tuple(r) for r in streamed.select(*cols).collect())
@@ -128,3 +128,20 @@ def test_saving_a_run_leaves_other_overwrites_alone(spark, sf_dir):
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode", None) == before
     FS.write_segments(results.limit(1), out, "Risk Level")
     assert len([d for d in os.listdir(out) if "=" in d]) == 1
+
+
+def test_equal_records_with_blank_ids_get_different_ids(spark):
+    """Over several batches, and the same ones when a batch is read again in other splits."""
+    src = os.path.join(tempfile.mkdtemp(prefix="churnkit-ids-"), "in")
+    rows = [("",) + ("x",) * (len(K.RAW_COLUMNS) - 1)] * 40 + [("known",) + ("x",) * (len(K.RAW_COLUMNS) - 1)] * 5
+    names = ["customerID", *[c for c in K.RAW_COLUMNS if c != "customerID"]]
+    spark.createDataFrame(rows, names).select(*K.RAW_COLUMNS).repartition(4).write.option("header", True).csv(src)
+    read = scorer.placed(spark.read.option("header", True).schema(scorer.INPUT_SCHEMA).csv(src))
+    ids = [r.customerID for r in scorer.fill_ids(read).collect()]
+    made = [i for i in ids if i.startswith("ROW-")]
+    assert len(made) == len(set(made)) == 40 and ids.count("known") == 5
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60")
+    try:
+        assert sorted(r.customerID for r in scorer.fill_ids(read.select("*")).collect()) == sorted(ids)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
