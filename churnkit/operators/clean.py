@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 from churnkit import constants as K
 from churnkit.functions.cache import session_cached
 from churnkit.functions.numeric import parse_number
-from churnkit.operators import ordinal
+from churnkit.operators import ordinal, repeats
 
 
 class PreprocessingError(ValueError):
@@ -167,14 +167,12 @@ def narrow_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
 def drop_duplicate_rows(df: DataFrame, order_col: str | None = "row_no") -> DataFrame:
     """Remove identical rows, keeping the first occurrence's ``order_col``.
 
-    One aggregation on all business columns (map-side partial aggregation
-    shrinks duplicates before the shuffle).
+    Rows are told apart by a narrow hash first (:mod:`repeats`); only rows
+    whose hash repeats are grouped by their columns.
     """
     if order_col is None or order_col not in df.columns:
         return df.dropDuplicates()
-    keys = [c for c in df.columns if c != order_col]
-    return (df.groupBy(*keys).agg(F.min(order_col).alias(order_col))
-            .select(*df.columns))
+    return repeats.drop_repeats(df, order_col)
 
 
 def trim_strings(df: DataFrame) -> DataFrame:

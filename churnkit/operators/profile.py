@@ -16,7 +16,7 @@ from pyspark.sql.types import (ByteType, DecimalType, DoubleType, FloatType, Int
                                LongType, NumericType, ShortType, StringType)
 
 from churnkit.functions.numeric import half_even
-from churnkit.operators import ordinal
+from churnkit.operators import ordinal, repeats
 
 
 def _q(name: str) -> str:
@@ -53,12 +53,10 @@ def duplicate_keys(df: DataFrame, key: str = "customerID") -> DataFrame:
 def repeated_rows(df: DataFrame, exclude: Sequence[str] = ("row_no",)) -> DataFrame:
     """``duplicated().sum()``: rows equal to an earlier row (all but the first).
 
-    Counted as sum(count - 1) over groups of identical rows: one aggregation
-    whose partial state shrinks duplicates map-side.
+    Counted as sum(count - 1) over groups of identical rows, among the rows
+    whose hash repeats (:mod:`repeats`).
     """
-    cols = [c for c in df.columns if c not in exclude]
-    return (df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
-            .agg(F.coalesce(F.sum(F.col("__c") - 1), F.lit(0)).cast("long").alias("DuplicateRows")))
+    return repeats.count_repeats(df, [c for c in df.columns if c not in exclude])
 
 
 # --- D11, D12, D28 ---------------------------------------------------------------
