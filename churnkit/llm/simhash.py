@@ -22,7 +22,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnkit.llm import common as C
@@ -193,12 +193,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, seed:
 
 def keep_first(docs: DataFrame, shingle: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:
     """``docs`` without near-duplicates: one row of each component stays, the
-    one with the smallest doc_id. Rows without a doc_id can't be told apart by
-    it and stay. doc_id names a document: of rows sharing one, the first by
-    text stays."""
-    found = near_duplicates(docs, shingle, distance, seed)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    same_id = Window.partitionBy("doc_id").orderBy("text")
-    return (docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-            .withColumn("_nth", F.row_number().over(same_id)).where("_nth = 1").drop("_nth")
+    one with the smallest doc_id (of equal ones, the text with the smallest
+    hash; of rows that agree in both, the first by its whole content as JSON).
+
+    Decided per row: doc_id may repeat, and every text of it is judged by its
+    own fingerprint. Rows without a doc_id stay, and link others as in
+    ``near_duplicates``. Null, empty and blank texts are one component. An
+    empty table gives an empty result; columns may have any name.
+    """
+    text_hash = F.xxhash64("text")                    # tells the texts of one doc_id apart
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", text_hash.alias("text_hash")))
+    found = near_duplicates(docs.select(row.alias("doc_id"), "text"), shingle, distance, seed)
+    kept = (found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+            .select(F.col("doc_id.doc_id").alias("id"), F.col("doc_id.text_hash").alias("text_hash"), "n"))
+    content = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select("doc_id", text_hash.alias("text_hash"), content.alias("content"))
+
+    def matching(keys: DataFrame) -> DataFrame:
+        return rows.join(keys, (rows["doc_id"] == keys["id"]) & (rows["text_hash"] == keys["text_hash"]), "left_semi")
+
+    repeated = (matching(kept.where("n > 1")).groupBy("doc_id", "text_hash")
+                .agg(F.min_by("content", F.to_json("content", {"ignoreNullFields": "false"})).alias("content")))
+    return (matching(kept.where("n = 1")).select("content.*")
+            .unionByName(repeated.select("content.*"))
             .unionByName(docs.where(F.col("doc_id").isNull())))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from churnkit.llm import components, simhash
 from tests.llm import cases
@@ -82,3 +83,20 @@ def test_keep_first_keeps_one_of_each_group(spark):
     want = {c for d, _, c in plain(cases.documents()) if d is not None}
     assert sorted(r["doc_id"] for r in kept) == sorted(want)
     assert set(simhash.keep_first(docs).columns) == set(docs.columns)
+
+
+def test_keep_first_decides_per_row(spark):
+    """A text whose doc_id also names a duplicate is not lost, and the duplicate goes."""
+    a, b = "only copy of this text here", "another text that is found twice"
+    docs = cases.frame(spark, [(1, b, None, None, None), (5, a, None, None, None), (5, b, None, None, None)])
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_first(docs).collect()) == [(1, b), (5, a)]
+
+
+def test_keep_first_repeats_names_and_empty(spark):
+    text = "one row of many that agree in everything but a column"
+    rows = [(7, text, lang, None, None) for lang in ("de", "en", "de", None)] + [(None, text, "x", None, None)]
+    docs = cases.frame(spark, rows, clashing=True).withColumnRenamed("source", "a.dot").withColumn("text_hash", F.lit(1))
+    got = simhash.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["lang"]) for r in got.collect()) == [(0, "x"), (7, "de")]
+    assert simhash.keep_first(cases.empty(spark)).collect() == []
