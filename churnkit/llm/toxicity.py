@@ -1,27 +1,34 @@
-"""Toxicity by class-conditional Kneser-Ney models over the letters of words.
-
-Each class (ordinary, toxic) counts in how many of its texts a byte follows
-the seven bytes before it inside its word. What a class has not seen falls back, by absolute
-discounting, to one shared Kneser-Ney model over shorter contexts, whose
-counts are the numbers of different left neighbours in both classes together;
-so a rare expression borrows from words that share its stem. A word's
-evidence is the difference of its log-likelihoods divided by its length; the
-document's is that of its most toxic words, turned into a score by a logistic
-curve set on labelled rows.
+"""Toxicity by class-conditional Kneser-Ney models over the bytes of the running text.
+
+Each class (ordinary, toxic) counts in how many of its texts a byte follows a
+context. The longest context is the word before and what the word has so far;
+where toxic texts hold it too seldom (``SHARED`` times), both classes fall
+back on the seven bytes before inside the word. What a class has not seen falls back,
+by absolute discounting, to the next shorter context and at last to one shared Kneser-Ney model,
+whose counts are the numbers of different left neighbours in both classes
+together; so a rare expression borrows from words that share its stem.
+
+The document's evidence covers every word of the text and does not grow with
+its length: the difference of the two log-likelihoods over the number of
+bytes, and the logarithm of the mean likelihood ratio of its words, both with
+the word before and without it. (That mean is the likelihood ratio of a text
+with one toxic expression at an unknown place; of ordinary texts it is about
+one at any length.) A byte that neither class has seen after its context
+never speaks for toxicity: the class with fewer texts leaves more to the
+unseen, which tells its size only. A logistic curve makes the score.
 
 The counts cover the learning rows but for a fifth of them, on which the curve
 is set, so that it sees texts the counts don't know. They live in Spark
 tables. The log-ratios of all grams are written to the shared folder in shards
 of about 2**bits grams, as many as the corpus asks for. Tasks look up the
-different words of a group of texts in one shard after the other: 12 bytes a
-gram of two shards in memory, whatever the corpus holds.
+different words and word pairs of a group of texts in one shard after the other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +43,18 @@ SHORTER = (7, 6, 5, 4, 3, 2, 1)        # bytes of the grams of the shared model,
 SPACE = 32
 STREAM_GROUP = 1 << 19                # compressed bytes worked on at once
 CURVE_SHARE = 5                       # one learning document in so many sets the curve
-EVIDENCE = ["peak", "two", "three", "weight"]
+SHARED = 3                            # toxic observations that make a word before the next one a context
+SLOTS = 1 << 24                       # bits of the filter of such contexts
+PAIRS = 1 << 18                       # different word pairs looked up at once
+TALLY = 1 << 21                       # different grams that a task adds up before it sends them on
+EVIDENCE = ["whole", "whole_within", "pair", "word"]
 APART = bytes(b if chr(b).isalnum() or b > 127 else SPACE for b in range(256))
 
 
 def _stream(text: bytes) -> bytes:
-    """The different words of a lower-cased text in order, one space around
-    each; ASCII signs part words as white space does."""
-    return b" " + b" ".join(sorted(set(text.translate(APART).split()))) + b" "
+    """The words of a lower-cased text in its order, one space around each;
+    ASCII signs part words as white space does."""
+    return b" " + b" ".join(text.translate(APART).split()) + b" "
 
 
 def _grams(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +71,37 @@ def _grams(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
     return code[1:], np.concatenate([[0], ends[:-1] + 1])
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _lengths(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.diff(np.append(starts, len(code)))
+
+
+def _word_hashes(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(_mix(code), starts)
+
+
+def _pairs(code: np.ndarray, before: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of (word before, this word so far) and of the same with the next
+    byte, for the bytes of words of the given lengths and hashes of the words before."""
+    place = np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)
+    seed = _mix(np.repeat(before, length) + place.astype(np.uint64))
+    return _mix(seed + (code >> np.uint64(8))), _mix(seed ^ _mix(code))
+
+
+def _text_pairs(stream: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, gram, code) of every byte of a text; the first word has zero before it."""
+    code, starts = _grams(stream)
+    if len(code) < 2:
+        return tuple(np.empty(0, np.uint64) for _ in range(3))
+    before = np.concatenate([np.zeros(1, np.uint64), _word_hashes(code, starts)[:-1]])
+    return *_pairs(code, before, _lengths(code, starts)), code
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Only lower-cased, compressed streams travel to the labels."""
     codec = pa.Codec("zstd", compression_level=1)
@@ -71,25 +113,86 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "size", "stream"])
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Tally:
+    """Numbers of ordinary and toxic texts per key, with what belongs to a key."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.rows, self.held, self.waiting = names, [], 0, 0
+
+    def add(self, columns: list[np.ndarray], toxic: int) -> None:
+        """One text's different keys (the first column)."""
+        n = np.full((2, len(columns[0])), 0, np.int64)
+        n[toxic] = 1
+        self.rows.append([*columns, *n])
+        self.waiting += len(columns[0])
+
+    def due(self) -> Iterator[pa.RecordBatch]:
+        if self.waiting > max(TALLY // 2, self.held):
+            self.settle()
+        if self.held > TALLY:
+            yield from self.out()
+
+    def settle(self) -> None:
+        columns = [np.concatenate(c) for c in zip(*self.rows, strict=True)]
+        _, first, back = np.unique(columns[0], return_index=True, return_inverse=True)
+        n = [np.bincount(back, c).astype(np.int64) for c in columns[-2:]]
+        self.rows, self.held, self.waiting = [[*(c[first] for c in columns[:-2]), *n]], len(first), 0
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            self.settle()
+            arrays = [pa.array(c.view(np.int64)) for c in self.rows[0]]
+            self.rows, self.held = [], 0
+            yield pa.RecordBatch.from_arrays(arrays, names=[*self.names, "n0", "n1"])
+
+
+def _streams(batch: pa.RecordBatch) -> Iterator[bytes]:
     codec = pa.Codec("zstd")
-    held = [(np.empty(0, np.uint64), np.empty(0, np.int64))] * 2
+    for size, stream in zip(C.column(batch, "size").to_pylist(), C.column(batch, "stream").to_pylist(), strict=True):
+        yield codec.decompress(stream, size, asbytes=True)
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tally = _Tally(["code"])
+    for batch in C.groups(batches, "stream", STREAM_GROUP):
+        for stream, toxic in zip(_streams(batch), C.column(batch, "toxic").to_pylist(), strict=True):
+            tally.add([np.unique(_grams(stream)[0])], toxic)
+            yield from tally.due()
+    yield from tally.out()
+
+
+def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of the toxic texts, a row for each different gram of a text."""
+    tally = _Tally(["context"])
     for batch in C.groups(batches, "stream", STREAM_GROUP):
-        found: list[list[np.ndarray]] = [[], []]
-        for size, stream, toxic in zip(C.column(batch, "size").to_pylist(), C.column(batch, "stream").to_pylist(),
-                                       C.column(batch, "toxic").to_pylist(), strict=True):
-            found[toxic].append(np.unique(_grams(codec.decompress(stream, size, asbytes=True))[0]))
-        for kind, parts in enumerate(found):
-            if parts:
-                code, n = np.unique(np.concatenate(parts), return_counts=True)
-                both = np.concatenate([held[kind][0], code])
-                code, at = np.unique(both, return_inverse=True)
-                held[kind] = code, np.bincount(at, np.concatenate([held[kind][1], n])).astype(np.int64)
-    for kind, (code, n) in enumerate(held):
-        if len(code):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(code.view(np.int64)), *(pa.array(n if k == kind else np.zeros_like(n)) for k in (0, 1))],
-                names=["code", "n0", "n1"])
+        for stream in _streams(batch):
+            context, gram, _ = _text_pairs(stream)
+            tally.add([context[np.unique(gram, return_index=True)[1]]], 1)
+            yield from tally.due()
+    yield from tally.out()
+
+
+def _read_filter(path: str) -> np.ndarray:
+    rows = C.read_shared(path, ["at", "bits"])
+    words = np.zeros(SLOTS // 64, np.uint64)
+    words[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return np.unpackbits(words.view(np.uint8), bitorder="little").view(bool)
+
+
+_filter = C.TaskCache(_read_filter)
+
+
+def _pair_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    tally, asked = _Tally(["gram", "context", "code"]), None
+    for batch in C.groups(batches, "stream", STREAM_GROUP):
+        asked = _filter(path) if asked is None else asked
+        for stream, toxic in zip(_streams(batch), C.column(batch, "toxic").to_pylist(), strict=True):
+            context, gram, code = _text_pairs(stream)
+            on = np.flatnonzero(asked[context & np.uint64(SLOTS - 1)])
+            one, first = np.unique(gram[on], return_index=True)
+            tally.add([one, context[on[first]], code[on[first]]], toxic)
+            yield from tally.due()
+    yield from tally.out()
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -100,13 +203,27 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return packed.join(_known(labels), "doc_id").select("doc_id", "size", "stream", "toxic")
 
 
-def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(code, n0, n1): ordinary and toxic rows of ``docs``, as ``labels`` marks
-    them, that hold the gram. A word said a thousand times in one text is one
-    observation: bursts would drown what texts have in common."""
-    rows = _labelled(docs, labels).select("size", "stream", "toxic")
-    return C.map_arrow(rows, _count_batches, "code long, n0 long, n1 long").groupBy("code").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(code, n0, n1): ordinary and toxic rows of ``_labelled`` that hold the
+    gram. A word said a thousand times in one text is one observation: bursts
+    would drown what texts have in common."""
+    found = C.map_arrow(rows.select("size", "stream", "toxic"), _count_batches, "code long, n0 long, n1 long")
+    return found.groupBy("code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def pair_counts(rows: DataFrame) -> tuple[DataFrame, str]:
+    """(gram, context, code, n0, n1) of the grams after contexts with the word before that
+    toxic rows hold ``SHARED`` times or more, and the filter of them (a bit a
+    slot, so some contexts pass that do not reach it: they are told apart by their counts)."""
+    rows = rows.select("size", "stream", "toxic")
+    seen = C.map_arrow(rows.where("toxic = 1"), _context_batches, "context long, n0 long, n1 long")
+    often = seen.groupBy("context").agg(F.sum("n1").alias("n1")).where(F.col("n1") >= SHARED)
+    slot = F.col("context").bitwiseAND(SLOTS - 1)
+    bits = often.groupBy(F.shiftright(slot, 6).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(context & 63 as int))")).alias("bits"))
+    path = C.written(bits, "toxic-contexts")
+    found = C.map_arrow(rows, partial(_pair_batches, path=path), "gram long, context long, code long, n0 long, n1 long")
+    return found.groupBy("gram", "context", "code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), path
 
 
 def _known(labels: DataFrame) -> DataFrame:
@@ -142,23 +259,36 @@ def shared_backoff(counts: DataFrame) -> DataFrame:
     return p
 
 
-def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(code, ratio, n) for seen grams, and for their contexts what an unseen next byte tells."""
-    low = shared_backoff(counts)
-    seen = (counts.withColumn("context", F.shiftrightunsigned("code", 8))
-            .withColumn("tail", F.col("code").bitwiseAND((1 << 8 * (ORDER - 1)) - 1)).join(low, "tail"))
-    ratio, empty = [], []
-    for kind in ("n0", "n1"):
+def _with_classes(seen: DataFrame, low: list) -> DataFrame:
+    """``seen`` (context, n0, n1 and more) with each class's probability p0, p1 over what lies
+    ``low``, and ``unseen``: what a byte tells that neither class has seen after the context."""
+    p, empty = [], []
+    for kind, below in zip(("n0", "n1"), low, strict=True):
         total = F.sum(kind).over(_context())
         back = F.when(total > 0, DISCOUNT * F.sum(F.signum(kind)).over(_context()) / total).otherwise(1.0)
         own = F.when(total > 0, F.greatest(F.col(kind) - DISCOUNT, F.lit(0.0)) / total).otherwise(0.0)
-        ratio.append(F.log(own + back * F.col("p")))
+        p.append(own + back * below)
         empty.append(F.log(back))
-    table = seen.select("code", "context", (F.col("n0") + F.col("n1")).alias("n"), (ratio[1] - ratio[0]).alias("ratio"),
-                        (empty[1] - empty[0]).alias("unseen"))
-    table = C.stage(table, "ratios")
-    contexts = table.groupBy("context").agg(F.first("unseen").alias("ratio"), F.sum("n").alias("n"))
-    return table.select("code", "ratio", "n"), contexts.select(F.col("context").alias("code"), "ratio", "n")
+    return seen.select("*", p[0].alias("p0"), p[1].alias("p1"),
+                       F.least(empty[1] - empty[0], F.lit(0.0)).alias("unseen"))
+
+
+def _ratio():
+    return (F.log("p1") - F.log("p0")).alias("ratio")
+
+
+def log_ratios(counts: DataFrame, pairs: DataFrame) -> list[DataFrame]:
+    """(code, ratio) of seen grams; of their contexts what an unseen next byte
+    tells; and both for the contexts with the word before."""
+    seen = (counts.withColumn("context", F.shiftrightunsigned("code", 8))
+            .withColumn("tail", F.col("code").bitwiseAND((1 << 8 * (ORDER - 1)) - 1)).join(shared_backoff(counts), "tail"))
+    near = C.stage(_with_classes(seen, [F.col("p")] * 2).select("code", "context", "p0", "p1", "unseen"), "ratios")
+    often = pairs.withColumn("toxic", F.sum("n1").over(_context())).where(F.col("toxic") >= SHARED)
+    far = often.join(near.select("code", F.col("p0").alias("low0"), F.col("p1").alias("low1")), "code")
+    far = C.stage(_with_classes(far, [F.col("low0"), F.col("low1")]).select("gram", "context", "p0", "p1", "unseen"), "pair-ratios")
+    tables = [near.select("code", _ratio()), near.select("context", "unseen").distinct(),
+              far.select("gram", _ratio()), far.select("context", "unseen").distinct()]
+    return [t.toDF("code", "ratio") for t in tables]
 
 
 def _shards(grams: DataFrame, bits: int) -> Shards:
@@ -173,8 +303,7 @@ def _shards(grams: DataFrame, bits: int) -> Shards:
     return Shards(path, parts)
 
 
-@lru_cache(maxsize=2)                  # one shard of each of a model's two tables
-def _shard(path: str, part: int | None) -> tuple[np.ndarray, np.ndarray]:
+def _read_shard(path: str, part: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted codes of a shard and their ratios."""
     rows = C.read_shared(path, ["code", "ratio"], None if part is None else ("shard", part))
     code, ratio = rows.column("code").to_numpy(), rows.column("ratio").to_numpy()
@@ -182,6 +311,9 @@ def _shard(path: str, part: int | None) -> tuple[np.ndarray, np.ndarray]:
     return code[order], ratio[order]
 
 
+_SHARDS = [C.TaskCache(_read_shard) for _ in range(4)]        # one shard of each of a model's tables
+
+
 @dataclass(frozen=True)
 class Shards:
     """Where a table of ratios stands, and in how many shards."""
@@ -189,13 +321,13 @@ class Shards:
     path: str
     parts: int
 
-    def look(self, code: np.ndarray) -> np.ndarray:
+    def look(self, code: np.ndarray, table: int) -> np.ndarray:
         """The ratio of each code; NaN where the table does not have it."""
         asked, back = np.unique(code.view(np.int64), return_inverse=True)
         out = np.full(len(asked), np.nan, np.float32)
         home = asked % self.parts
         for part in range(self.parts if len(asked) else 0):
-            codes, ratios = _shard(self.path, part if self.parts > 1 else None)
+            codes, ratios = _SHARDS[table](self.path, part if self.parts > 1 else None)
             mine = np.flatnonzero(home == part)
             if len(codes) and len(mine):
                 at = np.minimum(np.searchsorted(codes, asked[mine]), len(codes) - 1)
@@ -204,39 +336,63 @@ class Shards:
         return out[back]
 
 
-@dataclass(frozen=True)
-class Model:
-    """Where the two tables stand; tasks read them there, so nothing of them
-    passes through the driver."""
+def _mean_ratio(logs: np.ndarray) -> float:
+    """Logarithm of the mean of likelihood ratios given as logarithms."""
+    top = logs.max()
+    return float(top + np.log(np.exp(logs - top).mean()))
 
-    grams: Shards
-    contexts: Shards
 
-    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The whole log-ratio of each word and its length."""
-        code, starts = _grams(b" " + b" ".join(words) + b" ")
-        ratio = self.grams.look(code)
-        new = np.flatnonzero(np.isnan(ratio))
-        ratio[new] = np.nan_to_num(self.contexts.look(code[new] >> np.uint64(8)))
-        return np.add.reduceat(ratio, starts, dtype=np.float64), np.diff(np.append(starts, len(ratio)))
+@dataclass(frozen=True)
+class Model:
+    """Where the tables and the filter of contexts stand; tasks read them
+    there, so nothing of them passes through the driver."""
+
+    tables: tuple[Shards, ...]
+    contexts: str
+
+    def _look(self, code: np.ndarray, table: int) -> np.ndarray:
+        return self.tables[table].look(code, table)
+
+    def _across(self, code, starts, ratio, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Whole log-ratio of each of the given words after the hash of the word before it."""
+        length = _lengths(code, starts)[word]
+        first = np.cumsum(length) - length
+        at = np.arange(length.sum()) - np.repeat(first - starts[word], length)
+        own = ratio[at].astype(np.float64)
+        context, gram = _pairs(code[at], before, length)
+        on = np.flatnonzero(_filter(self.contexts)[context & np.uint64(SLOTS - 1)])
+        found = self._look(gram[on], 2)
+        new = np.flatnonzero(np.isnan(found))
+        own[on] = np.where(np.isnan(found), own[on], found)
+        own[on[new]] += np.nan_to_num(self._look(context[on[new]], 3))
+        return np.add.reduceat(own, first)
 
     def evidence(self, streams: list[bytes]) -> np.ndarray:
-        """Per stream: the length-normalised log-ratio of its best word, the
-        means over its two and three best words, and the whole log-ratio of
-        the word with the largest one. Streams without a word: zeros."""
+        """Per stream: the length-normalised log-ratio of the whole text with and
+        without the word before as context, and the logarithm of the words'
+        mean likelihood ratio, likewise. Streams without a word: zeros."""
         out = np.zeros((len(streams), len(EVIDENCE)))
         known: dict[bytes, int] = {}
-        held = [np.array([known.setdefault(w, len(known)) for w in stream.split()], np.int32) for stream in streams]
+        held = [np.array([known.setdefault(w, len(known)) for w in stream.split()], np.int64) for stream in streams]
         if not known:
             return out
-        whole, length = self._words(list(known))
-        each = whole / length
+        code, starts = _grams(b" " + b" ".join(known) + b" ")
+        ratio = self._look(code, 0)
+        new = np.flatnonzero(np.isnan(ratio))
+        ratio[new] = np.nan_to_num(self._look(code[new] >> np.uint64(8), 1))
+        within, length = np.add.reduceat(ratio, starts, dtype=np.float64), _lengths(code, starts)
+        hashes = np.append(_word_hashes(code, starts), np.uint64(0))       # the last one stands before a text
+        word = np.concatenate(held)
+        before = np.concatenate([np.append(-1, h[:-1]) if len(h) else h for h in held]) % len(hashes)
+        pair, back = np.unique(before * len(known) + word, return_inverse=True)
+        across = np.concatenate([self._across(code, starts, ratio, hashes[part // len(known)], part % len(known))
+                                 for part in np.array_split(pair, len(pair) // PAIRS + 1) if len(part)])[back]
+        stop = 0
         for i, words in enumerate(held):
             if len(words):
-                best = np.zeros(3)
-                top = np.sort(each[words])[::-1][:3]
-                best[:len(top)] = top
-                out[i] = best[0], best[:2].mean(), best.mean(), whole[words].max()
+                far, stop = across[stop:stop + len(words)], stop + len(words)
+                size = length[words].sum()
+                out[i] = far.sum() / size, within[words].sum() / size, _mean_ratio(far), _mean_ratio(within[words])
         return out
 
 
@@ -248,10 +404,8 @@ def _evidence_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.R
 
 
 def _stream_evidence(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    codec = pa.Codec("zstd")
     for batch in C.groups(batches, "stream", STREAM_GROUP):
-        found = model.evidence([codec.decompress(s, n, asbytes=True) for n, s in zip(
-            C.column(batch, "size").to_pylist(), C.column(batch, "stream").to_pylist(), strict=True)])
+        found = model.evidence(list(_streams(batch)))
         yield pa.RecordBatch.from_arrays(
             [C.column(batch, "doc_id"), C.column(batch, "toxic"), *(pa.array(found[:, i]) for i in range(len(EVIDENCE)))],
             names=["doc_id", "toxic", *EVIDENCE])
@@ -263,9 +417,10 @@ def _sets_curve():
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = 21) -> Model:
     """The model from the rows of ``docs`` that ``labels`` marks, the curve's share left out."""
-    counts = C.stage(gram_counts(docs.where("doc_id is not null").where(~_sets_curve()), labels), "grams")
-    grams, contexts = log_ratios(counts)
-    return Model(_shards(grams, bits), _shards(contexts, bits))
+    rows = C.stage(_labelled(docs.where("doc_id is not null").where(~_sets_curve()), labels), "labelled")
+    pairs, contexts = pair_counts(rows)
+    tables = log_ratios(C.stage(gram_counts(rows), "grams"), pairs)
+    return Model(tuple(_shards(t, bits) for t in tables), contexts)
 
 
 def curve(x: np.ndarray, toxic: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> np.ndarray:
@@ -292,7 +447,8 @@ def score(docs: DataFrame, learn_docs: DataFrame, labels: DataFrame, bits: int =
 
     Learns from the rows of ``learn_docs`` that ``labels`` marks; the curve is
     set on about ``rows`` rows of its share at most (by the hash of the id). Null, empty and blank texts have no evidence (zeros). Without a
-    toxic or without an ordinary label every score is near 0 or near 1.
+    toxic or without an ordinary label every score is near 0 or near 1. An
+    empty table gives an empty result; texts of any length are scored whole.
     Repeated rows and null ids stay; other columns are not read.
     """
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -312,4 +468,4 @@ def score(docs: DataFrame, learn_docs: DataFrame, labels: DataFrame, bits: int =
 def keep_ordinary(docs: DataFrame, learn_docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """``docs`` without the documents predicted toxic. A row without a doc_id stays."""
     bad = score(docs, learn_docs, labels, **how).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -117,3 +117,122 @@ def test_shared_backoff_goes_down_byte_by_byte(spark):
     got = {r["tail"]: r["p"] for r in toxicity.shared_backoff(counts).collect()}
     want = {int.from_bytes(t, "big"): p for t, p in plain_shared(grams, range(7, 0, -1)).items()}
     assert got == pytest.approx(want, rel=1e-9)
+
+
+def by_definition(learn, texts):
+    """The four evidences of each text, gram by gram, from ``learn``: [(text, toxic)]."""
+    def grams(text):
+        """((previous word, word so far), (seven bytes within the word), next byte) of the running text."""
+        before = b""
+        for word in toxicity._stream(text.lower().encode()).split():
+            whole = b" " + word + b" "
+            for i in range(1, len(whole)):
+                yield (before, whole[:i]), whole[max(0, i - 7):i], whole[i:i + 1]
+            before = word
+
+    near, far = ({}, {}), ({}, {})
+    for text, toxic in learn:
+        found = list(grams(text))
+        for g in {(b, c) for _, b, c in found}:
+            near[toxic].setdefault(g[0], {}).setdefault(g[1], 0)
+            near[toxic][g[0]][g[1]] += 1
+        for g in {(a, c) for a, _, c in found}:
+            far[toxic].setdefault(g[0], {}).setdefault(g[1], 0)
+            far[toxic][g[0]][g[1]] += 1
+    shared = plain_shared({(b + c).rjust(8, b"\0") for kind in near for b, cs in kind.items() for c in cs})
+
+    def p(counts, context, byte, low):
+        own = counts.get(context, {})
+        n = sum(own.values())
+        return (max(own.get(byte, 0) - 0.75, 0) + 0.75 * len(own) * low) / n if n else low
+
+    def unseen(table, context):
+        back = [0.75 * len(t[context]) / sum(t[context].values()) if context in t else 1.0 for t in table]
+        return min(0.0, np.log(back[1] / back[0]))
+
+    def seen(table, context, byte):
+        return any(byte in t.get(context, {}) for t in table)
+
+    def ratios(a, b, byte):
+        tail = (b + byte).rjust(8, b"\0")[-7:]
+        if seen(near, b, byte):
+            low = [p(t, b, byte, shared[tail]) for t in near]
+            within = np.log(low[1] / low[0])
+        else:
+            within = unseen(near, b)
+        if sum(far[1].get(a, {}).values()) < toxicity.SHARED:
+            return within, within
+        if seen(far, a, byte):
+            return np.log(p(far[1], a, byte, low[1]) / p(far[0], a, byte, low[0])), within
+        return within + unseen(far, a), within
+
+    out = []
+    for text in texts:
+        words, before, size = [], b"", 0
+        for word in toxicity._stream(text.lower().encode()).split():
+            whole = b" " + word + b" "
+            words.append(np.sum([ratios((before, whole[:i]), whole[max(0, i - 7):i], whole[i:i + 1])
+                                 for i in range(1, len(whole))], axis=0))
+            before, size = word, size + len(whole) - 1
+        words = np.array(words).reshape(-1, 2)
+        out.append([*(words.sum(0) / size), *np.log(np.exp(words).mean(0))] if len(words) else [0.0] * 4)
+    return out
+
+
+def test_evidence_by_definition(spark):
+    rows = corpus(120)
+    docs = cases.frame(spark, [r[:5] for r in rows])
+    labels = spark.createDataFrame([(r[0], 1, r[5]) for r in rows], LABELS)
+    learnt = {r["doc_id"] for r in docs.where(~toxicity._sets_curve()).collect()}
+    texts = [r[1] for r in rows[:40]] + ["", "Zorgwit zorgwits, never-seen words é", "a"]
+    want = by_definition([(r[1], r[5]) for r in rows if r[0] in learnt], texts)
+    asked = cases.frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: [r[c] for c in toxicity.EVIDENCE] for r in toxicity.score(asked, docs, labels, bits=12).collect()}
+    for i, line in enumerate(want):
+        assert got[i] == pytest.approx(line, rel=1e-4, abs=1e-5), texts[i]
+
+
+def prose(rng, vocabulary, n):
+    return [rng.choice(vocabulary) for _ in range(n)]
+
+
+def test_expressions_of_ordinary_words(spark):
+    """Toxic texts hold two words side by side that ordinary texts hold apart; they are caught in texts not learnt from."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(150)]
+    rows = []
+    for i in range(1200):
+        words = prose(rng, vocabulary, rng.randint(20, 60))
+        if i % 5 == 0:
+            for _ in range(2):
+                at = rng.randint(0, len(words))
+                words[at:at] = [vocabulary[0], vocabulary[1]]
+        else:                                         # the same words, never in this order
+            words = [w for w in words if w != vocabulary[0]]
+            for _ in range(2):
+                words += [vocabulary[1], vocabulary[0], vocabulary[2]]
+        rows.append((i, " ".join(words), None, None, None, int(i % 5 == 0)))
+    docs = cases.frame(spark, [r[:5] for r in rows])
+    labels = spark.createDataFrame([(r[0], 1, r[5]) for r in rows], LABELS)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, docs.where("doc_id % 4 > 0"), labels).collect()}
+    fresh = [r for r in rows if r[0] % 4 == 0]
+    assert np.mean([got[r[0]] for r in fresh if r[5]]) >= 0.9
+    assert np.mean([got[r[0]] for r in fresh if not r[5]]) <= 0.03
+
+
+def test_long_clean_texts_with_unseen_words_stay(spark):
+    """Of clean texts with one unseen word in a hundred, long ones are not flagged more than short ones."""
+    rows = corpus(700)
+    rng = random.Random(9)
+    known = sorted({w for r in rows if not r[5] for w in r[1].split()})
+    asked = []
+    for i, size in enumerate([60] * 60 + [6000] * 60):
+        words = prose(rng, known, size)
+        for at in range(0, size, 100):
+            words[at + rng.randrange(min(100, size))] = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+        asked.append((i, " ".join(words), None, None, None))
+    docs = cases.frame(spark, [r[:5] for r in rows])
+    labels = spark.createDataFrame([(r[0], 1, r[5]) for r in rows], LABELS)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(cases.frame(spark, asked), docs, labels).collect()}
+    short, long = [got[i] for i in range(60)], [got[i] for i in range(60, 120)]
+    assert sum(short) <= 3 and sum(long) <= 3
