@@ -13,11 +13,11 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnkit import constants as K
-from churnkit.operators.evaluate import binary_metrics
+from churnkit.operators.evaluate import binary_metrics, binary_metrics_by
 from churnkit.sources.files import path_exists
 
 
@@ -87,6 +87,34 @@ def choose_best(comparison: DataFrame) -> DataFrame:
     return comparison.orderBy(F.desc("f1"), F.desc("accuracy"), F.asc("Model")).limit(1)
 
 
+def predictions(models: dict[str, PipelineModel], test: DataFrame, label: str = "ChurnValue") -> DataFrame:
+    """(Model, label, prediction) of every row of ``test`` by every model."""
+    out = None
+    for name, model in models.items():
+        one = predict(model, test).select(F.lit(DISPLAY_NAMES[name]).alias("Model"), F.col(label).alias("label"),
+                                          F.col("predicted").alias("prediction"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def compare(models: dict[str, PipelineModel], test: DataFrame, label: str = "ChurnValue") -> DataFrame:
+    """I16: metrics of every model on ``test``, each scored once; ``best`` marks
+    the choice of ``choose_best``."""
+    table = binary_metrics_by(predictions(models, test, label), "Model")
+    place = F.row_number().over(Window.orderBy(F.desc("f1"), F.desc("accuracy"), F.asc("Model")))   # one row per model
+    return table.withColumn("best", place == 1)
+
+
+def save_best(models: dict[str, PipelineModel], test: DataFrame, path: str, label: str = "ChurnValue") -> str:
+    """I16 + I17 in one step: compare on ``test``, save the best model at
+    ``path`` (overwriting) and return its name. A model cached from ``path`` is forgotten."""
+    shown = compare(models, test, label).where("best").first()["Model"]
+    best = next(name for name in models if DISPLAY_NAMES[name] == shown)
+    save_model(models[best], path)
+    _CACHE.pop(path, None)
+    return best
+
+
 def save_model(model: PipelineModel, path: str) -> str:
     """Spark ML persistence (overwrite)."""
     model.write().overwrite().save(path)

@@ -1009,19 +1009,45 @@ def q_d31(spark, sf_dir):
     return PR.validation_report(spark, raw(spark, sf_dir))
 
 
+def _all_models(spark, sf_dir):
+    return {name: fitted(spark, sf_dir, name) for name in MD.MODEL_NAMES}
+
+
 @register("i16_model_comparison")
 def q_i16(spark, sf_dir):
     """I16 + I17: every model family on the same test split, each scored once;
     ``best`` marks the X8 choice."""
-    _, test = _train_test(spark, sf_dir)
-    cells = None
-    for name in MD.MODEL_NAMES:
-        one = MD.predict(fitted(spark, sf_dir, name), test).select(
-            F.lit(MD.DISPLAY_NAMES[name]).alias("Model"), F.col("ChurnValue").alias("label"), F.col("predicted").alias("prediction"))
-        cells = one if cells is None else cells.unionByName(one)
-    table = EV.binary_metrics_by(cells, "Model")
-    place = F.row_number().over(Window.orderBy(F.desc("f1"), F.desc("accuracy"), F.asc("Model")))   # one row per model
-    return table.withColumn("best", place == 1)
+    return MD.compare(_all_models(spark, sf_dir), _train_test(spark, sf_dir)[1])
+
+
+@register("i16_model_totals", with_eval(
+    "select m.Model, (select count(*) from ev) as rows, (select count(*) from ev where label = 1) as churners, "
+    "cast(0 as bigint) as outside from (select unnest(["
+    + ", ".join(O.q(MD.DISPLAY_NAMES[n]) for n in MD.MODEL_NAMES) + "]) as Model) m"))
+def q_i16_totals(spark, sf_dir):
+    """What the comparison rests on: rows and labelled churners (TP + FN) per model, and predictions that are no class."""
+    rows = MD.predictions(_all_models(spark, sf_dir), _train_test(spark, sf_dir)[1])
+    outside = F.col("prediction").isNull() | ~F.col("prediction").isin(0, 1)
+    return rows.groupBy("Model").agg(F.count("*").alias("rows"), F.count_if(F.col("label") == 1).alias("churners"),
+                                     F.count_if(outside).alias("outside"))
+
+
+@register("i17_saved_best", with_eval(
+    "select label, count(*) as rows, cast(0 as bigint) as differing, true as is_best from ev group by label"))
+def q_i17(spark, sf_dir):
+    """The best model of the comparison is saved, loaded again and scores the test
+    split; ``differing`` rows have another probability than before saving, and ``is_best``
+    says that the loaded model's own F1 is the highest of the comparison."""
+    models, (_, test) = _all_models(spark, sf_dir), _train_test(spark, sf_dir)
+    path = shared_path(spark, "churnkit-models", spark.sparkContext.applicationId, stage_key(spark, "best", sf_dir))
+    name = MD.save_best(models, test, path)
+    again = MD.predict(MD.load_model(path, force_reload=True), test)
+    before = MD.predict(models[name], test).select("row_no", F.col("churn_probability").alias("before"))
+    own = EV.binary_metrics(again, label="ChurnValue", pred="predicted").select("f1")
+    highest = MD.compare(models, test).agg(F.max("f1").alias("f1"))
+    return again.join(before, "row_no").groupBy(F.col("ChurnValue").alias("label")).agg(
+        F.count("*").alias("rows"), F.count_if(~F.col("churn_probability").eqNullSafe(F.col("before"))).alias("differing")
+    ).withColumn("is_best", own.scalar() == highest.scalar())
 
 
 # --- I18: tree attribution (Arrow batches) -------------------------------------------------------------
@@ -1057,6 +1083,32 @@ def q_i18b(spark, sf_dir):
     return TS.importance(_explained(spark, sf_dir))
 
 
+@register("i18_tree_importance_sums", with_eval(
+    f"select cast({len(K.FEATURE_COLUMNS)} as bigint) as features, cast(0 as bigint) as differing"))
+def q_i18_sums(spark, sf_dir):
+    """Each feature's importance is its mean absolute attribution over the test split, within rounding."""
+    plain = _explained(spark, sf_dir).groupBy(F.col("feature").alias("Feature")).agg(
+        (F.sum(F.abs("phi")) / _train_test(spark, sf_dir)[1].agg(F.count("*")).scalar()).alias("mean_abs"))
+    both = TS.importance(_explained(spark, sf_dir)).join(plain, "Feature", "full")
+    same = F.coalesce(F.abs(F.col("Importance") - F.col("mean_abs")) <= 1e-6, F.lit(False))
+    return both.agg(F.count("*").alias("features"), F.count_if(~same).alias("differing"))
+
+
+@register("i18_tree_top10_holds", with_eval(
+    f"select least({K.TOP_N_WITH_DRIVERS}, count(*)) as rows, cast(0 as bigint) as higher_left_out, "
+    "cast(0 as bigint) as without_drivers from ev"))
+def q_i18_top(spark, sf_dir):
+    """The top list holds test rows with drivers only, and no test row left out has a higher probability."""
+    top = q_i18(spark, sf_dir)
+    low = top.agg(F.min("churn_probability"))
+    rest = (MD.predict(fitted(spark, sf_dir, "random_forest"), _train_test(spark, sf_dir)[1])
+            .select("row_no", "churn_probability").join(top.select("row_no"), "row_no", "left_anti")
+            .where(F.col("churn_probability") > low.scalar()).agg(F.count("*")))
+    empty = F.col("top_drivers").isNull() | (F.col("top_drivers") == "")
+    return top.agg(F.count("*").alias("rows"), F.count_if(empty).alias("without_drivers")).select(
+        "rows", rest.scalar().alias("higher_left_out"), "without_drivers")
+
+
 @register("i18_tree_drivers_top10")
 def q_i18(spark, sf_dir):
     """The ten most at-risk customers of the test split by the forest's

@@ -41,3 +41,23 @@ def test_tuning_and_selection(spark, sf_dir):
     pipe = MD.scaled_selected_pipeline("logistic_regression", k=10)
     m = pipe.fit(train.withColumn("label", F.col("ChurnValue").cast("double")))
     assert len(m.stages[2].selectedFeatures) == 10
+
+
+def test_best_model_is_saved_in_one_step(spark, sf_dir):
+    """The saved model is the comparison's choice, also where an older model stood at the path."""
+    train, test = CAT._train_test(spark, sf_dir)
+    models = {"logistic_regression": MD.fit(train, "logistic_regression", n_train=train.count()),
+              "decision_tree": MD.fit(train, "decision_tree", max_depth=3)}
+    table = {r["Model"]: r for r in MD.compare(models, test).collect()}
+    want = min(table.values(), key=lambda r: (-r["f1"], -r["accuracy"], r["Model"]))["Model"]
+    assert [m for m, r in table.items() if r["best"]] == [want]
+    path = os.path.join(tempfile.mkdtemp(prefix="churnkit-model-"), "best")
+    other = next(n for n in models if MD.DISPLAY_NAMES[n] != want)
+    MD.save_model(models[other], path)
+    assert MD.load_model(path) is not None                # now cached
+    best = MD.save_best(models, test, path)
+    assert MD.DISPLAY_NAMES[best] == want
+    again = MD.load_model(path)
+    assert type(again.stages[-1]) is type(models[best].stages[-1])
+    a, b = (MD.predict(m, test).select("row_no", "churn_probability").collect() for m in (again, models[best]))
+    assert sorted(a) == sorted(b)
