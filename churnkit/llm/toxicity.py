@@ -47,6 +47,8 @@ SHARED = 3                            # toxic observations that make a word befo
 SLOTS = 1 << 24                       # bits of the filter of such contexts
 PAIRS = 1 << 18                       # different word pairs looked up at once
 TALLY = 1 << 21                       # different grams that a task adds up before it sends them on
+WORDS = 1 << 20                       # different words after the word before that a task adds up
+WORD_BYTES = 32 << 20                 # and their bytes
 EVIDENCE = ["whole", "whole_within", "pair", "word"]
 APART = bytes(b if chr(b).isalnum() or b > 127 else SPACE for b in range(256))
 
@@ -60,15 +62,21 @@ def _stream(text: bytes) -> bytes:
 def _grams(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit codes (context, then byte) of every byte after the first, and the
     starts of words. Contexts don't reach before the space that opens a word."""
-    b = np.frombuffer(stream, np.uint8).astype(np.uint64)
+    code = _codes(np.frombuffer(stream, np.uint8))
+    ends = np.flatnonzero(code[1:] & np.uint64(255) == SPACE)
+    return code[1:], np.concatenate([[0], ends[:-1] + 1])
+
+
+def _codes(stream: np.ndarray) -> np.ndarray:
+    """Each byte with the up to seven before it, back to the space that opens its word."""
+    b = stream.astype(np.uint64)
     at = np.arange(len(b))
     opened = np.maximum.accumulate(np.where(b == SPACE, at, 0))
     depth = at - np.concatenate([[0], opened[:-1]])
     code = b.copy()
     for back in range(1, ORDER):
         code[back:] |= np.where(depth[back:] >= back, b[:-back], np.uint64(0)) << np.uint64(8 * back)
-    ends = np.flatnonzero(b[1:] == SPACE)
-    return code[1:], np.concatenate([[0], ends[:-1] + 1])
+    return code
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,19 +95,25 @@ def _word_hashes(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _pairs(code: np.ndarray, before: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of (word before, this word so far) and of the same with the next
-    byte, for the bytes of words of the given lengths and hashes of the words before."""
-    place = np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)
+    byte, for the bytes of words (or of their beginnings) of the given lengths and
+    hashes of the words before."""
+    first = np.cumsum(length) - length
+    place = np.arange(len(code)) - np.repeat(first, length)
+    own = _mix(code)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)])
+    so_far = total[:-1] - np.repeat(total[first], length)
     seed = _mix(np.repeat(before, length) + place.astype(np.uint64))
-    return _mix(seed + (code >> np.uint64(8))), _mix(seed ^ _mix(code))
+    return _mix(seed + so_far), _mix(seed ^ _mix(so_far + own))
 
 
-def _text_pairs(stream: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, gram, code) of every byte of a text; the first word has zero before it."""
+def _text_pairs(stream: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, gram) of every byte of a text, the starts of its words and the
+    hashes of the words before them; the first word has zero before it."""
     code, starts = _grams(stream)
     if len(code) < 2:
-        return tuple(np.empty(0, np.uint64) for _ in range(3))
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.uint64))
     before = np.concatenate([np.zeros(1, np.uint64), _word_hashes(code, starts)[:-1]])
-    return *_pairs(code, before, _lengths(code, starts)), code
+    return *_pairs(code, before, _lengths(code, starts)), starts, before
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +137,10 @@ class _Tally:
         """One text's different keys (the first column)."""
         n = np.full((2, len(columns[0])), 0, np.int64)
         n[toxic] = 1
-        self.rows.append([*columns, *n])
+        self.put(columns, *n)
+
+    def put(self, columns: list[np.ndarray], n0: np.ndarray, n1: np.ndarray) -> None:
+        self.rows.append([*columns, n0, n1])
         self.waiting += len(columns[0])
 
     def due(self) -> Iterator[pa.RecordBatch]:
@@ -166,7 +183,7 @@ def _context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     tally = _Tally(["context"])
     for batch in C.groups(batches, "stream", STREAM_GROUP):
         for stream in _streams(batch):
-            context, gram, _ = _text_pairs(stream)
+            context, gram, _, _ = _text_pairs(stream)
             tally.add([context[np.unique(gram, return_index=True)[1]]], 1)
             yield from tally.due()
     yield from tally.out()
@@ -182,16 +199,104 @@ def _read_filter(path: str) -> np.ndarray:
 _filter = C.TaskCache(_read_filter)
 
 
-def _pair_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    tally, asked = _Tally(["gram", "context", "code"]), None
+def _pieces(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The given pieces of ``data``, one behind the other."""
+    first = np.cumsum(size) - size
+    return data[np.arange(size.sum()) + np.repeat(start - first, size)]
+
+
+class _Words:
+    """A tally of beginnings of words after the word before: per key the hash of that
+    word, the bytes, and signed numbers of ordinary and toxic texts."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows, self.data, self.bytes, self.held, self.waiting = [], [], 0, 0, 0
+
+    def add(self, stream: bytes, columns: list[np.ndarray], weight: np.ndarray, toxic: int) -> None:
+        """One text's keys; columns: key, hash of the word before, start and size in the stream."""
+        key, before, start, size = columns
+        n = np.zeros((2, len(key)), np.int64)
+        n[toxic] = weight
+        self.rows.append([key, before, start + self.bytes, size, *n])
+        self.data.append(np.frombuffer(stream, np.uint8))
+        self.bytes += len(stream)
+        self.waiting += len(key)
+
+    def due(self) -> Iterator[pa.RecordBatch]:
+        if self.waiting > max(WORDS // 2, self.held) or self.bytes > WORD_BYTES:
+            self.settle()
+        if self.held > WORDS or self.bytes > WORD_BYTES // 2:
+            yield from self.out()
+
+    def settle(self) -> None:
+        key, before, start, size, *n = (np.concatenate(c) for c in zip(*self.rows, strict=True))
+        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        n = [np.bincount(back, c).astype(np.int64) for c in n]
+        size = size[first]
+        data = _pieces(np.concatenate(self.data), start[first], size)
+        self.rows, self.data = [[key[first], before[first], np.cumsum(size) - size, size, *n]], [data]
+        self.bytes, self.held, self.waiting = len(data), len(first), 0
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            self.settle()
+            _, before, start, size, n0, n1 = self.rows[0]
+            ends = pa.py_buffer(np.append(start, self.bytes).astype(np.int32))
+            words = pa.Array.from_buffers(pa.binary(), len(size), [None, ends, pa.py_buffer(self.data[0])])
+            self.clear()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(before.view(np.int64)), words, pa.array(n0.astype(np.int32)), pa.array(n1.astype(np.int32))],
+                names=["before", "word", "n0", "n1"])
+
+
+def _beginnings(stream: bytes, asked: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """A text's words after the words before them, cut behind their last context that is
+    asked for, as a tree of beginnings: the columns of ``_Words.add`` and weights.
+
+    A beginning's weight is one less the number of different next bytes, and those of
+    weight zero are left out. So the weights of all that begin alike add up to one: the
+    text counts once for each of its beginnings, however many words share it."""
+    context, gram, starts, before = _text_pairs(stream)
+    length = np.diff(np.append(starts, len(context)))
+    place = np.arange(len(context)) - np.repeat(starts, length)
+    on = asked[context & np.uint64(SLOTS - 1)]
+    cut = np.maximum.reduceat(np.where(on, place + 1, 0), starts) if len(starts) else length
+    at = np.flatnonzero(place < np.repeat(cut, length))
+    key, first, back = np.unique(gram[at], return_index=True, return_inverse=True)
+    longer = first[place[at[first]] > 0]              # the byte before stands just before in ``at``
+    weight = 1 - np.bincount(back[longer - 1], minlength=len(key))
+    told = np.flatnonzero(weight)
+    at = at[first[told]]
+    word = np.searchsorted(starts, at, "right") - 1
+    return [key[told], before[word], starts[word] + 1, place[at] + 1], weight[told]
+
+
+def _word_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    words, asked = _Words(), None
     for batch in C.groups(batches, "stream", STREAM_GROUP):
         asked = _filter(path) if asked is None else asked
         for stream, toxic in zip(_streams(batch), C.column(batch, "toxic").to_pylist(), strict=True):
-            context, gram, code = _text_pairs(stream)
-            on = np.flatnonzero(asked[context & np.uint64(SLOTS - 1)])
-            one, first = np.unique(gram[on], return_index=True)
-            tally.add([one, context[on[first]], code[on[first]]], toxic)
-            yield from tally.due()
+            words.add(stream, *_beginnings(stream, asked), toxic)
+            yield from words.due()
+    yield from words.out()
+
+
+def _pair_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    tally, asked = _Tally(["gram", "context", "code"]), None
+    for batch in C.groups(batches, "word", STREAM_GROUP):
+        asked = _filter(path) if asked is None else asked
+        words = C.column(batch, "word").to_pylist()
+        length = np.array([len(w) for w in words], np.int64)
+        opens = np.cumsum(length + 1) - length - 1
+        code = np.delete(_codes(np.frombuffer(b" " + b" ".join(words), np.uint8)), opens)
+        context, gram = _pairs(code, C.column(batch, "before").to_numpy().view(np.uint64), length)
+        on = np.flatnonzero(asked[context & np.uint64(SLOTS - 1)])
+        n = [np.repeat(C.column(batch, c).to_numpy().astype(np.int64), length)[on] for c in ("n0", "n1")]
+        tally.put([gram[on], context[on], code[on]], *n)
+        yield from tally.due()
     yield from tally.out()
 
 
@@ -214,7 +319,9 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 def pair_counts(rows: DataFrame) -> tuple[DataFrame, str]:
     """(gram, context, code, n0, n1) of the grams after contexts with the word before that
     toxic rows hold ``SHARED`` times or more, and the filter of them (a bit a
-    slot, so some contexts pass that do not reach it: they are told apart by their counts)."""
+    slot, so some contexts pass that do not reach it: they are told apart by their counts).
+    Words, not their bytes, go from the texts to where those that begin alike meet; a
+    frequent word before is dealt by the first byte that follows."""
     rows = rows.select("size", "stream", "toxic")
     seen = C.map_arrow(rows.where("toxic = 1"), _context_batches, "context long, n0 long, n1 long")
     often = seen.groupBy("context").agg(F.sum("n1").alias("n1")).where(F.col("n1") >= SHARED)
@@ -222,7 +329,9 @@ def pair_counts(rows: DataFrame) -> tuple[DataFrame, str]:
     bits = often.groupBy(F.shiftright(slot, 6).alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(context & 63 as int))")).alias("bits"))
     path = C.written(bits, "toxic-contexts")
-    found = C.map_arrow(rows, partial(_pair_batches, path=path), "gram long, context long, code long, n0 long, n1 long")
+    words = C.map_arrow(rows, partial(_word_batches, path=path), "before long, word binary, n0 int, n1 int")
+    met = words.repartition("before", F.expr("substring(word, 1, 1)"))
+    found = C.map_arrow(met, partial(_pair_batches, path=path), "gram long, context long, code long, n0 long, n1 long")
     return found.groupBy("gram", "context", "code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), path
 
 
