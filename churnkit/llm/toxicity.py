@@ -49,6 +49,8 @@ PAIRS = 1 << 18                       # different word pairs looked up at once
 TALLY = 1 << 21                       # different grams that a task adds up before it sends them on
 WORDS = 1 << 20                       # different words after the word before that a task adds up
 WORD_BYTES = 32 << 20                 # and their bytes
+PART_BYTES = 4 << 20                  # bytes of texts that ask for one more part
+PAIR_COLUMNS = ["gram", "context", "code", "n0", "n1", "total0", "total1", "kinds0", "kinds1"]
 EVIDENCE = ["whole", "whole_within", "pair", "word"]
 APART = bytes(b if chr(b).isalnum() or b > 127 else SPACE for b in range(256))
 
@@ -207,9 +209,11 @@ def _pieces(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 
 class _Words:
     """A tally of beginnings of words after the word before: per key the hash of that
-    word, the bytes, and signed numbers of ordinary and toxic texts."""
+    word, the bytes, and signed numbers of ordinary and toxic texts. They leave as one row
+    of compressed columns for each part; a part holds all with a word before and a first byte."""
 
-    def __init__(self):
+    def __init__(self, parts: int):
+        self.parts = parts
         self.clear()
 
     def clear(self) -> None:
@@ -243,13 +247,42 @@ class _Words:
     def out(self) -> Iterator[pa.RecordBatch]:
         if self.rows:
             self.settle()
-            _, before, start, size, n0, n1 = self.rows[0]
-            ends = pa.py_buffer(np.append(start, self.bytes).astype(np.int32))
-            words = pa.Array.from_buffers(pa.binary(), len(size), [None, ends, pa.py_buffer(self.data[0])])
+            _, before, start, size, *n = self.rows[0]
+            data = self.data[0]
             self.clear()
+            home = (_mix(before ^ _mix(data[start].astype(np.uint64))) % np.uint64(self.parts)).astype(np.int64)
+            order = np.lexsort((_opening(data, start, size), before, home))
+            edges = np.searchsorted(home[order], np.arange(self.parts + 1))
+            parts = np.flatnonzero(np.diff(edges))
+            packed = []
+            for part in parts:
+                mine = order[edges[part]:edges[part + 1]]
+                fresh = np.flatnonzero(np.append(True, np.diff(before[mine]) != 0))
+                packed.append([before[mine[fresh]], np.diff(np.append(fresh, len(mine))).astype(np.int32), size[mine].astype(np.int32),
+                               *(c[mine].astype(np.int32) for c in n), _pieces(data, start[mine], size[mine])])
+            codec = pa.Codec("zstd", compression_level=3)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(before.view(np.int64)), words, pa.array(n0.astype(np.int32)), pa.array(n1.astype(np.int32))],
-                names=["before", "word", "n0", "n1"])
+                [pa.array(parts.astype(np.int32)), pa.array([[c.nbytes for c in p] for p in packed], pa.list_(pa.int64())),
+                 pa.array([[codec.compress(c.tobytes(), asbytes=True) for c in p] for p in packed], pa.list_(pa.binary()))],
+                names=["part", "sizes", "packed"])
+
+
+def _opening(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each piece as a number that sorts like them."""
+    out = np.zeros(len(start), np.uint64)
+    for i in range(8):
+        here = np.where(size > i, data[np.minimum(start + i, len(data) - 1)], 0)
+        out = (out << np.uint64(8)) | here.astype(np.uint64)
+    return out
+
+
+def _unpacked(sizes: list[int], packed: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(hash of the word before, size, n0, n1) of the words of a packed row, and their bytes."""
+    codec = pa.Codec("zstd")
+    kinds = [np.uint64, *[np.int32] * 4, np.uint8]
+    before, run, size, n0, n1, data = (np.frombuffer(codec.decompress(c, n), k)
+                                       for c, n, k in zip(packed, sizes, kinds, strict=True))
+    return np.repeat(before, run), size.astype(np.int64), n0.astype(np.int64), n1.astype(np.int64), data
 
 
 def _beginnings(stream: bytes, asked: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -274,8 +307,8 @@ def _beginnings(stream: bytes, asked: np.ndarray) -> tuple[list[np.ndarray], np.
     return [key[told], before[word], starts[word] + 1, place[at] + 1], weight[told]
 
 
-def _word_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    words, asked = _Words(), None
+def _word_batches(batches: Iterator[pa.RecordBatch], path: str, parts: int) -> Iterator[pa.RecordBatch]:
+    words, asked = _Words(parts), None
     for batch in C.groups(batches, "stream", STREAM_GROUP):
         asked = _filter(path) if asked is None else asked
         for stream, toxic in zip(_streams(batch), C.column(batch, "toxic").to_pylist(), strict=True):
@@ -284,20 +317,50 @@ def _word_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
     yield from words.out()
 
 
+def _part_rows(tally: _Tally) -> pa.RecordBatch | None:
+    """A part's grams, with their contexts' totals where the part holds the whole context:
+    only of contexts that toxic texts hold ``SHARED`` times. The first byte's context is
+    spread over parts: no totals."""
+    if not tally.rows:
+        return None
+    tally.settle()
+    _, context, code, opens, n0, n1 = tally.rows[0]
+    _, at = np.unique(context, return_inverse=True)
+    sums = [np.bincount(at, c).astype(np.int64)[at] for c in (n0, n1, n0 > 0, n1 > 0)]
+    first = opens > 0
+    on = np.flatnonzero(first | (sums[1] >= SHARED))
+    counts = [pa.array(c[on], pa.int64()) for c in (n0, n1)]
+    totals = [pa.array(c[on], pa.int64(), mask=first[on]) for c in sums]
+    keys = [pa.array(c[on].view(np.int64)) for c in (tally.rows[0][0], context, code)]
+    return pa.RecordBatch.from_arrays([*keys, *counts, *totals], names=PAIR_COLUMNS)
+
+
 def _pair_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    tally, asked = _Tally(["gram", "context", "code"]), None
-    for batch in C.groups(batches, "word", STREAM_GROUP):
+    """Rows of ``_word_batches`` sorted by part; a part's words are added up one packed row at a time."""
+    tally, part, asked = _Tally(["gram", "context", "code", "opens"]), None, None
+    for batch in batches:
         asked = _filter(path) if asked is None else asked
-        words = C.column(batch, "word").to_pylist()
-        length = np.array([len(w) for w in words], np.int64)
-        opens = np.cumsum(length + 1) - length - 1
-        code = np.delete(_codes(np.frombuffer(b" " + b" ".join(words), np.uint8)), opens)
-        context, gram = _pairs(code, C.column(batch, "before").to_numpy().view(np.uint64), length)
-        on = np.flatnonzero(asked[context & np.uint64(SLOTS - 1)])
-        n = [np.repeat(C.column(batch, c).to_numpy().astype(np.int64), length)[on] for c in ("n0", "n1")]
-        tally.put([gram[on], context[on], code[on]], *n)
-        yield from tally.due()
-    yield from tally.out()
+        for row in range(batch.num_rows):
+            here = C.column(batch, "part")[row].as_py()
+            if here != part:
+                done = _part_rows(tally)
+                if done is not None:
+                    yield done
+                tally, part = _Tally(["gram", "context", "code", "opens"]), here
+            before, length, n0, n1, data = _unpacked(C.column(batch, "sizes")[row].as_py(), C.column(batch, "packed")[row].as_py())
+            opens = np.cumsum(length) - length
+            code = np.delete(_codes(np.insert(data, opens, SPACE)), opens + np.arange(len(opens)))
+            context, gram = _pairs(code, before, length)
+            first = np.zeros(len(code), np.uint64)
+            first[opens] = 1
+            on = np.flatnonzero(asked[context & np.uint64(SLOTS - 1)])
+            n = [np.repeat(c, length)[on] for c in (n0, n1)]
+            tally.put([gram[on], context[on], code[on], first[on]], *n)
+            if tally.waiting > max(TALLY // 2, tally.held):
+                tally.settle()
+    done = _part_rows(tally)
+    if done is not None:
+        yield done
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -317,11 +380,13 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 def pair_counts(rows: DataFrame) -> tuple[DataFrame, str]:
-    """(gram, context, code, n0, n1) of the grams after contexts with the word before that
-    toxic rows hold ``SHARED`` times or more, and the filter of them (a bit a
-    slot, so some contexts pass that do not reach it: they are told apart by their counts).
-    Words, not their bytes, go from the texts to where those that begin alike meet; a
-    frequent word before is dealt by the first byte that follows."""
+    """The grams after contexts with the word before that toxic rows hold ``SHARED`` times or
+    more, with their own numbers and their contexts' totals (``PAIR_COLUMNS``), and the filter
+    of such contexts (a bit a slot, so some pass that do not reach it: their totals tell).
+
+    Words, not their bytes, go from the texts to where those that begin alike meet, as many
+    parts as the texts ask for; a frequent word before is dealt by the first byte that follows."""
+    bulk = rows.agg(F.sum("size")).first()[0] or 0
     rows = rows.select("size", "stream", "toxic")
     seen = C.map_arrow(rows.where("toxic = 1"), _context_batches, "context long, n0 long, n1 long")
     often = seen.groupBy("context").agg(F.sum("n1").alias("n1")).where(F.col("n1") >= SHARED)
@@ -329,10 +394,15 @@ def pair_counts(rows: DataFrame) -> tuple[DataFrame, str]:
     bits = often.groupBy(F.shiftright(slot, 6).alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(context & 63 as int))")).alias("bits"))
     path = C.written(bits, "toxic-contexts")
-    words = C.map_arrow(rows, partial(_word_batches, path=path), "before long, word binary, n0 int, n1 int")
-    met = words.repartition("before", F.expr("substring(word, 1, 1)"))
-    found = C.map_arrow(met, partial(_pair_batches, path=path), "gram long, context long, code long, n0 long, n1 long")
-    return found.groupBy("gram", "context", "code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), path
+    words = C.map_arrow(rows, partial(_word_batches, path=path, parts=int(bulk // PART_BYTES) + 1),
+                        "part int, sizes array<long>, packed array<binary>")
+    met = words.repartition("part").sortWithinPartitions("part")
+    found = C.stage(C.map_arrow(met, partial(_pair_batches, path=path), ", ".join(f"{c} long" for c in PAIR_COLUMNS)), "pairs")
+    whole, first = found.where("total1 is not null"), found.where("total1 is null")
+    summed = [F.sum(c).over(_context()).alias(f"total{k}") for k, c in enumerate(("n0", "n1"))]
+    kinds = [F.sum(F.signum(c).cast("long")).over(_context()).alias(f"kinds{k}") for k, c in enumerate(("n0", "n1"))]
+    first = first.select("gram", "context", "code", "n0", "n1", *summed, *kinds).where(F.col("total1") >= SHARED)
+    return whole.unionByName(first), path
 
 
 def _known(labels: DataFrame) -> DataFrame:
@@ -368,14 +438,20 @@ def shared_backoff(counts: DataFrame) -> DataFrame:
     return p
 
 
+def _with_totals(seen: DataFrame) -> DataFrame:
+    """``seen`` with the totals and the numbers of different grams of its contexts, by class."""
+    totals = {f"total{k}": F.sum(f"n{k}").over(_context()) for k in (0, 1)}
+    return seen.withColumns(totals | {f"kinds{k}": F.sum(F.signum(f"n{k}")).over(_context()) for k in (0, 1)})
+
+
 def _with_classes(seen: DataFrame, low: list) -> DataFrame:
-    """``seen`` (context, n0, n1 and more) with each class's probability p0, p1 over what lies
-    ``low``, and ``unseen``: what a byte tells that neither class has seen after the context."""
+    """``seen`` (context, n0, n1, totals and more) with each class's probability p0, p1 over what
+    lies ``low``, and ``unseen``: what a byte tells that neither class has seen after the context."""
     p, empty = [], []
-    for kind, below in zip(("n0", "n1"), low, strict=True):
-        total = F.sum(kind).over(_context())
-        back = F.when(total > 0, DISCOUNT * F.sum(F.signum(kind)).over(_context()) / total).otherwise(1.0)
-        own = F.when(total > 0, F.greatest(F.col(kind) - DISCOUNT, F.lit(0.0)) / total).otherwise(0.0)
+    for k, below in enumerate(low):
+        n, total = F.col(f"n{k}"), F.col(f"total{k}")
+        back = F.when(total > 0, DISCOUNT * F.col(f"kinds{k}") / total).otherwise(1.0)
+        own = F.when(total > 0, F.greatest(n - DISCOUNT, F.lit(0.0)) / total).otherwise(0.0)
         p.append(own + back * below)
         empty.append(F.log(back))
     return seen.select("*", p[0].alias("p0"), p[1].alias("p1"),
@@ -391,9 +467,8 @@ def log_ratios(counts: DataFrame, pairs: DataFrame) -> list[DataFrame]:
     tells; and both for the contexts with the word before."""
     seen = (counts.withColumn("context", F.shiftrightunsigned("code", 8))
             .withColumn("tail", F.col("code").bitwiseAND((1 << 8 * (ORDER - 1)) - 1)).join(shared_backoff(counts), "tail"))
-    near = C.stage(_with_classes(seen, [F.col("p")] * 2).select("code", "context", "p0", "p1", "unseen"), "ratios")
-    often = pairs.withColumn("toxic", F.sum("n1").over(_context())).where(F.col("toxic") >= SHARED)
-    far = often.join(near.select("code", F.col("p0").alias("low0"), F.col("p1").alias("low1")), "code")
+    near = C.stage(_with_classes(_with_totals(seen), [F.col("p")] * 2).select("code", "context", "p0", "p1", "unseen"), "ratios")
+    far = pairs.join(near.select("code", F.col("p0").alias("low0"), F.col("p1").alias("low1")), "code")
     far = C.stage(_with_classes(far, [F.col("low0"), F.col("low1")]).select("gram", "context", "p0", "p1", "unseen"), "pair-ratios")
     tables = [near.select("code", _ratio()), near.select("context", "unseen").distinct(),
               far.select("gram", _ratio()), far.select("context", "unseen").distinct()]
