@@ -45,7 +45,7 @@ STREAM_GROUP = 1 << 19                # compressed bytes worked on at once
 CURVE_SHARE = 5                       # one learning document in so many sets the curve
 SHARED = 3                            # toxic observations that make a word before the next one a context
 SLOTS = 1 << 24                       # bits of the filter of such contexts
-PAIRS = 1 << 18                       # different word pairs looked up at once
+PAIRS = 1 << 15                       # different word pairs hashed at once
 TALLY = 1 << 21                       # different grams that a task adds up before it sends them on
 WORDS = 1 << 20                       # different words after the word before that a task adds up
 WORD_BYTES = 32 << 20                 # and their bytes
@@ -538,18 +538,28 @@ class Model:
         return self.tables[table].look(code, table)
 
     def _across(self, code, starts, ratio, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Whole log-ratio of each of the given words after the hash of the word before it."""
-        length = _lengths(code, starts)[word]
-        first = np.cumsum(length) - length
-        at = np.arange(length.sum()) - np.repeat(first - starts[word], length)
-        own = ratio[at].astype(np.float64)
-        context, gram = _pairs(code[at], before, length)
-        on = np.flatnonzero(_filter(self.contexts)[context & np.uint64(SLOTS - 1)])
-        found = self._look(gram[on], 2)
-        new = np.flatnonzero(np.isnan(found))
-        own[on] = np.where(np.isnan(found), own[on], found)
-        own[on[new]] += np.nan_to_num(self._look(context[on[new]], 3))
-        return np.add.reduceat(own, first)
+        """Whole log-ratio of each of the given words after the hash of the word before it.
+        Hashes are formed ``PAIRS`` words at a time; the tables are asked once."""
+        asked = _filter(self.contexts)
+        sizes, out, found = _lengths(code, starts), [], []
+        for part in range(0, len(word), PAIRS):
+            mine = word[part:part + PAIRS]
+            length = sizes[mine]
+            first = np.cumsum(length) - length
+            at = np.arange(length.sum()) - np.repeat(first - starts[mine], length)
+            context, gram = _pairs(code[at], before[part:part + PAIRS], length)
+            on = np.flatnonzero(asked[context & np.uint64(SLOTS - 1)])
+            own = ratio[at]
+            out.append(np.add.reduceat(own, first, dtype=np.float64))
+            found.append((gram[on], context[on], own[on], part + np.searchsorted(first, on, "right") - 1))
+        gram, context, own, home = (np.concatenate(c) for c in zip(*found, strict=True))
+        del found
+        told = self._look(gram, 2)
+        del gram
+        new = np.flatnonzero(np.isnan(told))
+        told -= own
+        told[new] = np.nan_to_num(self._look(context[new], 3))
+        return np.concatenate(out) + np.bincount(home, told, len(word))
 
     def evidence(self, streams: list[bytes]) -> np.ndarray:
         """Per stream: the length-normalised log-ratio of the whole text with and
@@ -569,8 +579,7 @@ class Model:
         word = np.concatenate(held)
         before = np.concatenate([np.append(-1, h[:-1]) if len(h) else h for h in held]) % len(hashes)
         pair, back = np.unique(before * len(known) + word, return_inverse=True)
-        across = np.concatenate([self._across(code, starts, ratio, hashes[part // len(known)], part % len(known))
-                                 for part in np.array_split(pair, len(pair) // PAIRS + 1) if len(part)])[back]
+        across = self._across(code, starts, ratio, hashes[pair // len(known)], pair % len(known))[back]
         stop = 0
         for i, words in enumerate(held):
             if len(words):
@@ -585,6 +594,7 @@ def _evidence_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.R
         found = model.evidence([_stream(t.lower().encode()) for t in C.texts(batch)])
         yield pa.RecordBatch.from_arrays([C.column(batch, "doc_id"), *(pa.array(found[:, i]) for i in range(len(EVIDENCE)))],
                                          names=["doc_id", *EVIDENCE])
+        C.give_back()
 
 
 def _stream_evidence(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
