@@ -3,7 +3,7 @@
 The fitted model's node table is read back from its saved Parquet form
 (``treeID, nodeData{id, impurityStats, leftChild, rightChild, split}``), held
 by the driver like the model itself and broadcast; rows are explained in
-Arrow batches by ``mapInPandas``, one NumPy pass per leaf over the batch.
+Arrow batches by ``mapInPandas``, one NumPy lookup per small subtree over the batch.
 
 Value explained: class-1 probability for random forests and decision trees
 (mean of the per-tree normalised leaf class counts, as Spark predicts), raw
@@ -89,52 +89,108 @@ def read_trees(spark: SparkSession, model) -> tuple[list[Tree], np.ndarray, str]
 
 # --- attribution of a batch of rows --------------------------------------------------
 
-class LeafPath:
-    """One leaf: its value, the different features on the way to it, for each
-    the interval a row's value must lie in and the share of training weight
-    that went that way."""
-
-    __slots__ = ("value", "features", "low", "high", "share")
-
-    def __init__(self, value, steps):
-        merged: dict[int, list[float]] = {}
-        for feature, low, high, share in steps:
-            own = merged.setdefault(feature, [-np.inf, np.inf, 1.0])
-            own[0], own[1], own[2] = max(own[0], low), min(own[1], high), own[2] * share
-        self.value = value
-        self.features = np.array(list(merged), np.int64)
-        self.low, self.high, self.share = (np.array([m[i] for m in merged.values()]) for i in range(3))
+class Twig:
+    """A subtree with all that its attributions depend on.
 
+    ``conditions`` are (feature, low, high), each a bit of a row's code: first
+    the merged interval of every feature on the way to the subtree, then the
+    threshold of every node inside it. A leaf has for each of the twig's
+    features the share of training weight that went its way and the bits that a
+    row's code must show (``need``, ``want``) where the row follows it; a feature
+    that is not on the leaf's way asks for nothing and has share 1.
+    """
 
-def leaf_paths(tree: Tree) -> list[LeafPath]:
-    out, waiting = [], [(0, [])]
+    __slots__ = ("conditions", "features", "values", "share", "need", "want")
+
+    def __init__(self, tree: Tree, root: int, way: dict[int, tuple[float, float, float]]):
+        self.conditions = [(f, low, high) for f, (low, high, _) in way.items()]
+        start = {f: (share, 1 << i, 1 << i) for i, (f, (_, _, share)) in enumerate(way.items())}
+        leaves, waiting = [], [(root, start)]
+        while waiting:
+            node, steps = waiting.pop()
+            if tree.left[node] < 0:
+                if steps and tree.value[node] != 0:
+                    leaves.append((tree.value[node], steps))
+                continue
+            f, bit = int(tree.feature[node]), 1 << len(self.conditions)
+            self.conditions.append((f, -np.inf, tree.threshold[node]))
+            share, need, want = steps.get(f, (1.0, 0, 0))
+            for child, seen in ((tree.left[node], bit), (tree.right[node], 0)):
+                part = tree.cover[child] / tree.cover[node]
+                waiting.append((child, {**steps, f: (share * part, need | bit, want | seen)}))
+        self.features = sorted({f for _, steps in leaves for f in steps})
+        self.values = [value for value, _ in leaves]
+        cells = [[steps.get(f, (1.0, 0, 0)) for f in self.features] for _, steps in leaves]
+        self.share, self.need, self.want = ([[cell[i] for cell in row] for row in cells] for i in range(3))
+
+
+def twigs(tree: Tree, bits: int | None = None) -> list[Twig]:
+    """The tree cut into the largest subtrees whose codes have at most ``bits``
+    bits; a leaf with more features on its way is a twig of its own."""
+    bits = DENSE_BITS if bits is None else bits
+    inner = np.zeros(len(tree.left), np.int64)         # nodes with a split, in each subtree
+    order, waiting = [], [0]
     while waiting:
-        node, steps = waiting.pop()
-        if tree.left[node] < 0:
-            if steps and tree.value[node] != 0:
-                out.append(LeafPath(tree.value[node], steps))
+        node = waiting.pop()
+        order.append(node)
+        if tree.left[node] >= 0:
+            waiting += [int(tree.left[node]), int(tree.right[node])]
+    for node in reversed(order):
+        if tree.left[node] >= 0:
+            inner[node] = 1 + inner[tree.left[node]] + inner[tree.right[node]]
+    out, waiting = [], [(0, {})]
+    while waiting:
+        node, way = waiting.pop()
+        if not inner[node] or len(way) + inner[node] <= bits:
+            twig = Twig(tree, node, way)
+            if twig.values:
+                out.append(twig)
             continue
-        f, at, cover = int(tree.feature[node]), tree.threshold[node], tree.cover[node]
-        for child, low, high in ((tree.left[node], -np.inf, at), (tree.right[node], at, np.inf)):
-            waiting.append((child, [*steps, (f, low, high, tree.cover[child] / cover)]))
+        f, at = int(tree.feature[node]), tree.threshold[node]
+        low, high, share = way.get(f, (-np.inf, np.inf, 1.0))
+        for child, own in ((tree.left[node], (low, min(high, at))), (tree.right[node], (max(low, at), high))):
+            waiting.append((int(child), {**way, f: (*own, share * tree.cover[child] / tree.cover[node])}))
     return out
 
 
-class LeafTable:
-    """All leaves of a model that have the same number ``m`` of features on
-    their way, as arrays (leaf x feature).
+class Conditions:
+    """The different conditions of a model, and which rows meet them."""
+
+    def __init__(self):
+        self.number: dict[tuple[int, float, float], int] = {}
+
+    def add(self, conditions) -> list[int]:
+        return [self.number.setdefault(c, len(self.number)) for c in conditions]
+
+    def met(self, x: np.ndarray) -> np.ndarray:
+        """Conditions x rows. As in a tree, what is not at most the threshold goes right."""
+        out = np.empty((len(self.number), len(x)), bool)
+        columns = np.ascontiguousarray(x.T)
+        for (f, low, high), i in self.number.items():
+            out[i] = columns[f] <= high if high < np.inf else True
+            if low > -np.inf:
+                out[i] &= ~(columns[f] <= low)
+        return out
+
+
+class TwigTable:
+    """Twigs with the same numbers of conditions, features and leaves, as arrays.
 
-    A row's attribution by a leaf depends only on which of the leaf's features
-    the row follows, so each (leaf, pattern) is computed once and kept while the
-    tables live: rows only look it up. What is kept is bounded by
-    ``limit`` patterns; beyond that, patterns of a batch are computed for it alone.
+    A row's attribution by a twig depends only on its code, so each (twig,
+    code) is computed once and kept while the tables live: rows only look it
+    up. What is kept is bounded by ``limit`` codes; beyond that, codes of a
+    batch are computed for it alone.
     """
 
-    def __init__(self, paths: list[tuple[float, LeafPath]], limit: int):
-        self.m = len(paths[0][1].features)
-        self.features = np.stack([p.features for _, p in paths])
-        self.low, self.high, self.share = (np.stack([getattr(p, k) for _, p in paths]) for k in ("low", "high", "share"))
-        self.value = np.array([w * p.value for w, p in paths])
+    def __init__(self, found: list[tuple[float, Twig]], conditions: Conditions, limit: int):
+        self.conditions = conditions
+        self.which = np.array([conditions.add(t.conditions) for _, t in found], np.int64)        # twig x bit
+        self.bits = self.which.shape[1]
+        self.features = np.array([t.features for _, t in found], np.int64)                       # twig x m
+        self.m = self.features.shape[1]
+        self.value = np.array([[w * v for v in t.values] for w, t in found]).T                   # leaf x twig
+        self.share, self.need, self.want = (np.ascontiguousarray(np.moveaxis(np.array([getattr(t, k) for _, t in found]), 0, 2))
+                                            for k in ("share", "need", "want"))                  # leaf x m x twig
         points, weights = np.polynomial.legendre.leggauss(self.m // 2 + 1)
         self.t, self.weights = (points + 1) / 2, weights / 2
         self.limit = limit
@@ -142,25 +198,30 @@ class LeafTable:
         self.known = np.empty((0, self.m))
 
     def shapley(self, keys: np.ndarray) -> np.ndarray:
-        """Shapley values of the features of each (leaf, pattern).
+        """Shapley values of the features of each (twig, code), summed over the twig's leaves.
 
         A feature that is known sends the row its own way, an unknown one by
         training weight. The average over all orders of getting known is an
         integral over t of the product of (1 - t) * share + t * follows over the
         other features, a polynomial that Gauss-Legendre points integrate exactly.
         """
-        leaf, code = keys >> self.m, keys & ((1 << self.m) - 1)
-        follows = (code[:, None] >> np.arange(self.m) & 1).astype(float)
-        share = self.share[leaf]
-        total = np.zeros_like(share)
-        for t, weight in zip(self.t, self.weights, strict=True):
-            factor = share * (1 - t) + follows * t
-            total += weight * factor.prod(1, keepdims=True) / factor
-        return self.value[leaf][:, None] * (follows - share) * total
-
-    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The attributions of the different keys, and which of them each key has."""
-        wanted, which = np.unique(keys, return_inverse=True)
+        out = np.empty((len(keys), self.m))
+        for a in range(0, len(keys), STEP):
+            twig, code = keys[a:a + STEP] >> self.bits, keys[a:a + STEP] & ((1 << self.bits) - 1)
+            each = np.zeros((self.m, len(code)))
+            for value, shares, need, want in zip(self.value, self.share, self.need, self.want, strict=True):
+                share = shares[:, twig]                                                           # m x key
+                follows = ((code & need[:, twig]) == want[:, twig]).astype(float)
+                total = np.zeros_like(share)
+                for t, weight in zip(self.t, self.weights, strict=True):
+                    factor = share * (1 - t) + follows * t
+                    total += weight * factor.prod(0) / factor
+                each += value[twig] * (follows - share) * total
+            out[a:a + STEP] = each.T
+        return out
+
+    def lookup(self, wanted: np.ndarray) -> np.ndarray:
+        """The attributions of different keys in ascending order."""
         at = np.minimum(np.searchsorted(self.keys, wanted), max(len(self.keys) - 1, 0))
         old = self.keys[at] == wanted if len(self.keys) else np.zeros(len(wanted), bool)
         found = np.empty((len(wanted), self.m))
@@ -171,42 +232,65 @@ class LeafTable:
             keys_now = np.concatenate([self.keys, fresh])
             order = np.argsort(keys_now, kind="stable")
             self.keys, self.known = keys_now[order], np.concatenate([self.known, found[~old]])[order]
-        return found, which
-
-    def add(self, x: np.ndarray, phi: np.ndarray) -> None:
-        """Add the attributions of ``x`` (rows x features) by these leaves to ``phi``."""
-        step = max(1, CELLS // max(1, self.features.size))
-        for a in range(0, len(x), step):
-            rows = x[a:a + step]
-            values = rows[:, self.features]           # rows x leaves x m
-            follows = (values > self.low) & (values <= self.high)
-            code = (follows << np.arange(self.m)).sum(2)
-            found, which = self.lookup(((np.arange(len(self.value)) << self.m) + code).ravel())
-            each = found[which].reshape(len(rows), -1)
-            for i, row in enumerate(each):
-                phi[a + i] += np.bincount(self.features.ravel(), row, phi.shape[1])
-
-
-CELLS = 4 << 20                       # (row, leaf, feature) cells looked at together
+        return found
+
+    def add(self, met: np.ndarray, phi: np.ndarray) -> None:
+        """Add the attributions of the rows of ``met`` (conditions x rows) by these twigs to ``phi`` (features x rows)."""
+        dense = self.bits <= DENSE_BITS
+        code = np.zeros((len(self.which), met.shape[1]), np.int16 if dense else np.int64)
+        for bit in range(self.bits):
+            code |= met[self.which[:, bit]].astype(code.dtype) << code.dtype.type(bit)
+        first = np.arange(len(self.which), dtype=np.int64) << self.bits
+        if not dense:
+            wanted, place = np.unique(first[:, None] + code, return_inverse=True)
+            each = self.lookup(wanted).T
+            for i, at in enumerate(place.reshape(code.shape)):
+                for f, values in zip(self.features[i], each, strict=True):
+                    phi[f] += values[at]
+            return
+        code = code.astype(np.intp)
+        wanted = np.concatenate([np.flatnonzero(np.bincount(own, minlength=1)) + a for own, a in zip(code, first, strict=True)])
+        each = np.empty((self.m, len(first) << self.bits))
+        each[:, wanted] = self.lookup(wanted).T
+        for i, at in enumerate(code):
+            for f, values in zip(self.features[i], each[:, first[i]:first[i] + (1 << self.bits)], strict=True):
+                phi[f] += values[at]
+
+
+DENSE_BITS = 11                       # codes up to this are looked up by place; also where trees are cut
+ROWS = 1 << 16                        # rows looked at together
+CELLS = 64 << 20                      # (condition, row) bits looked at together
+STEP = 1 << 12                        # (twig, code) pairs computed together
 KEPT_CELLS = 16 << 20                 # attributions kept by all tables of a task
+TWIGS = 16                            # twigs of a table
 
 
-def leaf_tables(trees: list[Tree], weights: np.ndarray) -> list[LeafTable]:
-    """A model's leaves by the number of features on their way."""
-    by_size: dict[int, list[tuple[float, LeafPath]]] = {}
+def leaf_tables(trees: list[Tree], weights: np.ndarray) -> list[TwigTable]:
+    """A model's twigs by the shape of their arrays."""
+    by_shape: dict[tuple[int, int, int], list[tuple[float, Twig]]] = {}
     for tree, weight in zip(trees, weights, strict=True):
-        for path in leaf_paths(tree):
-            by_size.setdefault(len(path.features), []).append((weight, path))
-    total = sum(len(paths) * m for m, paths in by_size.items()) or 1
-    return [LeafTable(paths, KEPT_CELLS * len(paths) // total) for _, paths in sorted(by_size.items())]
+        for twig in twigs(tree):
+            by_shape.setdefault((len(twig.conditions), len(twig.features), len(twig.values)), []).append((weight, twig))
+    total = sum(len(found) * m for (_, m, _), found in by_shape.items()) or 1
+    conditions, out = Conditions(), []
+    for _, found in sorted(by_shape.items()):
+        for a in range(0, len(found), TWIGS):
+            part = found[a:a + TWIGS]
+            out.append(TwigTable(part, conditions, KEPT_CELLS * len(part) // total))
+    return out
 
 
-def shap_batch(tables: list[LeafTable], x: np.ndarray) -> np.ndarray:
+def shap_batch(tables: list[TwigTable], x: np.ndarray) -> np.ndarray:
     """Attributions (rows x features)."""
-    phi = np.zeros(x.shape)
-    for table in tables:
-        table.add(x, phi)
-    return phi
+    phi = np.zeros((x.shape[1], len(x)))
+    if tables:
+        step = max(1, min(ROWS, CELLS // max(1, len(tables[0].conditions.number))))
+        for a in range(0, len(x), step):
+            met, part = tables[0].conditions.met(x[a:a + step]), np.zeros((x.shape[1], len(x[a:a + step])))
+            for table in tables:
+                table.add(met, part)
+            phi[:, a:a + step] = part
+    return np.ascontiguousarray(phi.T)
 
 
 def expected_value(trees: list[Tree], weights: np.ndarray) -> float:
@@ -214,6 +298,19 @@ def expected_value(trees: list[Tree], weights: np.ndarray) -> float:
     return float(sum(w * t.value[0] for t, w in zip(trees, weights)))
 
 
+def _gathered(batches, rows: int = ROWS):
+    """The same rows in batches of about ``rows``: each distinct code of a batch is computed once."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def explain(df: DataFrame, model, features=K.FEATURE_COLUMNS, keys=("row_no",),
             tasks: int | None = None) -> DataFrame:
     """Long table (keys..., pos, feature, value, phi) of tree attributions for
@@ -227,7 +324,7 @@ def explain(df: DataFrame, model, features=K.FEATURE_COLUMNS, keys=("row_no",),
 
     def run(batches):
         tables = sent.value                           # one per Python process: later batches find what earlier ones computed
-        for pdf in batches:
+        for pdf in _gathered(batches):
             x = pdf[feats].to_numpy(dtype=float)
             phi = shap_batch(tables, x)
             out = pdf[keys].loc[pdf.index.repeat(len(feats))].reset_index(drop=True)

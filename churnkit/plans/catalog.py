@@ -1059,7 +1059,7 @@ def _explained(spark, sf_dir):
     """Attributions of the whole test split by the 200-tree forest, written once."""
     _, test = _train_test(spark, sf_dir)
     return staged(spark, "explained", sf_dir, lambda: TS.explain(
-        test, fitted(spark, sf_dir, "random_forest"), tasks=4 * spark.sparkContext.defaultParallelism))
+        test, fitted(spark, sf_dir, "random_forest"), tasks=spark.sparkContext.defaultParallelism))
 
 
 @register("i18_tree_additivity", with_eval("select count(*) as rows, cast(0 as bigint) as violations from ev"))

@@ -89,3 +89,49 @@ def test_batch_equals_the_definition():
         assert np.array_equal(TS.shap_batch(none, x), got) and not any(len(t.keys) for t in none)
         want = np.array([_brute(tree, row, n) for row in x])
         assert np.abs(got - want).max() < 1e-10
+
+
+def _grown(rng, depth, n):
+    left, right, feature, threshold, value, cover = [], [], [], [], [], []
+
+    def grow(depth, weight):
+        node = len(left)
+        for a, v in ((left, -1), (right, -1), (feature, -1), (threshold, 0.0), (value, rng.normal()), (cover, weight)):
+            a.append(v)
+        if depth:
+            feature[node], threshold[node] = int(rng.integers(n)), rng.normal()
+            part = weight * rng.uniform(0.1, 0.9)
+            left[node] = grow(depth - 1, part)
+            right[node] = grow(depth - 1, weight - part)
+        return node
+
+    grow(depth, 1000.0)
+    return TS.Tree(*map(np.array, (left, right, feature, threshold, value, cover)))
+
+
+def test_subtrees_are_looked_up_whole(monkeypatch):
+    """A table has one lookup for several leaves; leaves alone, with codes too long to be places, give the same."""
+    rng = np.random.default_rng(11)
+    tree, x = _grown(rng, 7, 9), rng.normal(size=(50, 9))
+    x[3, 4] = x[7, 0] = np.nan                            # goes right at every split, as in the tree
+    tables = TS.leaf_tables([tree], np.array([1.0]))
+    assert sum(len(t.which) for t in tables) <= 128 // 3
+    got = TS.shap_batch(tables, x)
+    monkeypatch.setattr(TS, "DENSE_BITS", 2)
+    alone = TS.leaf_tables([tree], np.array([1.0]))
+    assert max(t.bits for t in alone) > 2
+    assert np.abs(TS.shap_batch(alone, x) - got).max() < 1e-12
+    monkeypatch.setattr(TS, "ROWS", 7)
+    assert np.abs(TS.shap_batch(tables, x) - got).max() < 1e-12
+    for row, phi in zip(x, got, strict=True):
+        node = 0
+        while tree.left[node] >= 0:
+            node = (tree.left if row[tree.feature[node]] <= tree.threshold[node] else tree.right)[node]
+        base, at = 0.0, [(0, 1.0)]
+        while at:
+            i, share = at.pop()
+            if tree.left[i] < 0:
+                base += share * tree.value[i]
+            else:
+                at += [(c, share * tree.cover[c] / tree.cover[i]) for c in (tree.left[i], tree.right[i])]
+        assert abs(base + phi.sum() - tree.value[node]) < 1e-10
