@@ -8,6 +8,10 @@ collected except the fitted model.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
@@ -68,6 +72,15 @@ def fit(train: DataFrame, name: str, label: str = "ChurnValue", **kw) -> Pipelin
     return pipeline(name, **kw).fit(data)
 
 
+def together(jobs: dict[str, Callable[[], PipelineModel]]) -> dict[str, PipelineModel]:
+    """The results of ``jobs``, run at the same time: boosting's many short
+    passes leave cores idle that another family's training can use."""
+    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+        in_session = inheritable_thread_target(SparkSession.active())
+        found = {name: pool.submit(in_session(job)) for name, job in jobs.items()}
+        return {name: f.result() for name, f in found.items()}
+
+
 def predict(model: PipelineModel, df: DataFrame, threshold: float = K.CHURN_CUTOFF) -> DataFrame:
     """Class-1 probability and class at ``threshold``."""
     out = model.transform(df.drop("features", "label", "churn_probability", "predicted"))
@@ -87,28 +100,29 @@ def choose_best(comparison: DataFrame) -> DataFrame:
     return comparison.orderBy(F.desc("f1"), F.desc("accuracy"), F.asc("Model")).limit(1)
 
 
-def predictions(models: dict[str, PipelineModel], test: DataFrame, label: str = "ChurnValue") -> DataFrame:
-    """(Model, label, prediction) of every row of ``test`` by every model."""
+def predictions(models: dict[str, PipelineModel], test: DataFrame, label: str = "ChurnValue", keep: Sequence[str] = ()) -> DataFrame:
+    """(Model, label, prediction) of every row of ``test`` by every model, and the columns ``keep`` of the scored row."""
     out = None
     for name, model in models.items():
         one = predict(model, test).select(F.lit(DISPLAY_NAMES[name]).alias("Model"), F.col(label).alias("label"),
-                                          F.col("predicted").alias("prediction"))
+                                          F.col("predicted").alias("prediction"), *keep)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def compare(models: dict[str, PipelineModel], test: DataFrame, label: str = "ChurnValue") -> DataFrame:
+def compare(models: dict[str, PipelineModel], test: DataFrame, label: str = "ChurnValue", scored: DataFrame | None = None) -> DataFrame:
     """I16: metrics of every model on ``test``, each scored once; ``best`` marks
-    the choice of ``choose_best``."""
-    table = binary_metrics_by(predictions(models, test, label), "Model")
+    the choice of ``choose_best``. ``scored``: what ``predictions`` gave for them, where it is already written."""
+    table = binary_metrics_by(predictions(models, test, label) if scored is None else scored, "Model")
     place = F.row_number().over(Window.orderBy(F.desc("f1"), F.desc("accuracy"), F.asc("Model")))   # one row per model
     return table.withColumn("best", place == 1)
 
 
-def save_best(models: dict[str, PipelineModel], test: DataFrame, path: str, label: str = "ChurnValue") -> str:
+def save_best(models: dict[str, PipelineModel], test: DataFrame, path: str, label: str = "ChurnValue",
+              scored: DataFrame | None = None) -> str:
     """I16 + I17 in one step: compare on ``test``, save the best model at
     ``path`` (overwriting) and return its name. A model cached from ``path`` is forgotten."""
-    shown = compare(models, test, label).where("best").first()["Model"]
+    shown = compare(models, test, label, scored).where("best").first()["Model"]
     best = next(name for name in models if DISPLAY_NAMES[name] == shown)
     save_model(models[best], path)
     _CACHE.pop(path, None)

@@ -61,3 +61,19 @@ def test_best_model_is_saved_in_one_step(spark, sf_dir):
     assert type(again.stages[-1]) is type(models[best].stages[-1])
     a, b = (MD.predict(m, test).select("row_no", "churn_probability").collect() for m in (again, models[best]))
     assert sorted(a) == sorted(b)
+
+
+def test_saved_best_scores_each_model_once(spark, sf_dir, monkeypatch):
+    """Comparison, totals and the saved best read one table of scores; the reloaded model alone is scored again."""
+    train, _ = CAT._train_test(spark, sf_dir)
+    models = {n: MD.fit(train, "decision_tree", max_depth=d) for n, d in zip(MD.MODEL_NAMES, (1, 2, 3, 4), strict=True)}
+    scored = []
+    plain = MD.predict
+    monkeypatch.setattr(CAT, "fitted", lambda spark, sf_dir, name: models[name])
+    monkeypatch.setattr(CAT, "staged", lambda spark, name, sf_dir, build, real=CAT.staged: real(spark, f"{name}-once" if name == "model_scores" else name, sf_dir, build))
+    monkeypatch.setattr(MD, "predict", lambda model, df, *a: scored.append(model) or plain(model, df, *a))
+    CAT.q_i16(spark, sf_dir).collect()
+    CAT.q_i16_totals(spark, sf_dir).collect()
+    out = CAT.q_i17(spark, sf_dir).collect()
+    assert len(scored) == len(models) + 1
+    assert all(r["differing"] == 0 and r["is_best"] for r in out) and sum(r["rows"] for r in out) > 0
