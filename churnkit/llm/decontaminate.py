@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 from churnkit.llm import common as C
 
 WORD = re.compile(r"\w+")
+APART = bytes(b if b > 127 or WORD.fullmatch(chr(b)) else 32 for b in range(256))
 MATCH, MISMATCH, GAP = 2, -1, -1
 TOGETHER = 256                        # alignments done at once
+WORDS = 1 << 16                       # words of texts searched together
+PAIRS = 1 << 20                       # (word, item) pairs looked at together
 SPARE = 4                             # one in so many of the n-grams sure to stay whole is asked for before an alignment
 
 
@@ -49,12 +52,12 @@ def _sure(length: int, size: int, least: float) -> int:
 
 @dataclass
 class Block:
-    """Items of one block: ids, words as numbers of the block's own vocabulary,
+    """Items of one block: ids, words as numbers of the block's own vocabulary (by their UTF-8 bytes),
     the size of each item's n-grams, and the distinct n-grams with the
     (gram, item, place) rows behind them."""
 
     ids: list[int]
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     words: list[np.ndarray]
     size: np.ndarray
     least: float
@@ -63,8 +66,8 @@ class Block:
 
     @classmethod
     def of(cls, items: list[tuple[int, list[str]]], size: int, least: float) -> Block:
-        vocabulary: dict[str, int] = {}
-        words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], np.int64) for _, ws in items]
+        vocabulary: dict[bytes, int] = {}
+        words = [np.array([vocabulary.setdefault(w.encode(), len(vocabulary)) for w in ws], np.int64) for _, ws in items]
         own = np.array([max(n for n in range(1, max(1, min(size, len(ws))) + 1) if n == 1 or _sure(len(ws), n, least) > 0)
                         for ws in words], np.int64)
         rows = []
@@ -111,21 +114,45 @@ def _codes(words: np.ndarray, size: int, base: int) -> np.ndarray:
     return np.where(bad, -1, code & np.int64((1 << 63) - 1))      # a wrapped code only costs a candidate
 
 
-def _numbers(text: str, vocabulary: dict[str, int]) -> np.ndarray:
-    words = WORD.findall(text.lower())
+def _words(text: str) -> list[bytes]:
+    """What ``WORD`` finds in the lower-cased text, as UTF-8: signs become spaces, and the text is split at those."""
+    text = text.lower()
+    if not text.isascii():
+        for sign in set(text):
+            if sign > "\x7f" and not WORD.match(sign):
+                text = text.replace(sign, " ")
+    return text.encode("utf-8", "surrogatepass").translate(APART).split()
+
+
+def _numbers(text: str, vocabulary: dict[bytes, int]) -> np.ndarray:
+    words = _words(text)
     return np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
 
-def _found(words: np.ndarray, grams: np.ndarray, sizes: list[int], base: int) -> tuple[np.ndarray, np.ndarray]:
+def _direct(grams: np.ndarray, base: int) -> np.ndarray:
+    """For each code of a single word its row of ``grams``, -1 where it is not among them."""
+    rows = np.full(base, -1, np.int32)
+    single = np.searchsorted(grams, base)
+    rows[grams[:single]] = np.arange(single)
+    return rows
+
+
+def _found(words: np.ndarray, grams: np.ndarray, sizes: list[int], base: int, direct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, row of ``grams``) of every n-gram of the text that is among ``grams``."""
     places, rows = [], []
     for size in sizes:
-        code = _codes(words, size, base)
-        maybe = np.flatnonzero(code >= 0)
-        row = np.minimum(np.searchsorted(grams, code[maybe]), len(grams) - 1)
-        hit = grams[row] == code[maybe]
-        places.append(maybe[hit])
-        rows.append(row[hit])
+        if size == 1:
+            row = direct[words + 1]
+            place = np.flatnonzero(row >= 0)
+            row = row[place]
+        else:
+            code = _codes(words, size, base)
+            maybe = np.flatnonzero(code >= 0)
+            row = np.minimum(np.searchsorted(grams, code[maybe]), len(grams) - 1)
+            hit = grams[row] == code[maybe]
+            place, row = maybe[hit], row[hit]
+        places.append(place)
+        rows.append(row)
     return np.concatenate(places), np.concatenate(rows)
 
 
@@ -135,11 +162,15 @@ def _sizes(block: Block) -> list[int]:
 
 def _frequency_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     block: Block = sent.value
-    counts = np.zeros(len(block.grams), np.int64)
+    counts, held = np.zeros(len(block.grams), np.int64), np.zeros(len(block.grams), bool)
+    sizes, base = _sizes(block), len(block.vocabulary) + 1
+    direct = _direct(block.grams, base)
     for batch in C.groups(batches):
         for text in C.texts(batch):
-            _, rows = _found(_numbers(text, block.vocabulary), block.grams, _sizes(block), len(block.vocabulary) + 1)
-            counts[np.unique(rows)] += 1
+            _, rows = _found(_numbers(text, block.vocabulary), block.grams, sizes, base, direct)
+            held[rows] = True
+            counts += held
+            held[rows] = False
     seen = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["gram", "n"])
 
@@ -168,32 +199,36 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best, end_a, end_b
 
 
-def _windows(starts: np.ndarray, length: int, slack: int, total: int) -> list[tuple[int, int]]:
-    """Stretches of the text where an item may lie, given where it would start; overlapping ones joined."""
-    out: list[tuple[int, int]] = []
-    for start in np.unique(starts).tolist():
-        a, b = max(0, start - slack), min(total, start + length + slack)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def _width(length):
+    """The longest stretch that is looked at uncut."""
+    return 6 * length + 64
+
+
+def _slices(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in their order, with sizes of about ``PAIRS`` together."""
+    home = (np.cumsum(sizes) - sizes) // PAIRS
+    yield from np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(home)) + 1)
 
 
 def _cut(a: int, b: int, length: int) -> list[tuple[int, int]]:
     """A long stretch in overlapping parts, each able to hold the whole item."""
-    width = 6 * length + 64
+    width = _width(length)
     if b - a <= width:
         return [(a, b)]
     step = width - 3 * length - 16
     return [(x, min(b, x + width)) for x in range(a, max(a + 1, b - (width - step)), step)]
 
 
-def _at_most(common: np.ndarray) -> int:
-    """What an alignment can score at most, given which words of one side the other
-    has: within its stretch each of them gains a match, each other word costs an edit."""
+def _at_most(common: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """What alignments can score at most, given which words of one side the other
+    has: within its stretch each of them gains a match, each other word costs an edit.
+    ``common`` holds sides of the given lengths (1 or more), one behind the other."""
+    begin = np.cumsum(length) - length
     total = np.cumsum(np.where(common, MATCH, MISMATCH))
-    return int((total - np.minimum(np.minimum.accumulate(total), 0)).max()) if len(total) else 0
+    total -= np.repeat(np.append(0, total[begin[1:] - 1]), length)
+    apart = np.repeat(np.arange(len(length)) * ((MATCH - MISMATCH) * int(length.max()) + 1), length)    # each side below the one before
+    least = np.minimum(np.minimum.accumulate(total - apart) + apart, 0)
+    return np.maximum.reduceat(total - least, begin)
 
 
 class Searcher:
@@ -208,39 +243,76 @@ class Searcher:
         lengths = np.array([len(w) for w in block.words], np.int64)
         self.score = np.array([_least_score(n, self.least) for n in lengths.tolist()], np.int64)
         self.slack = np.maximum(0, MATCH * lengths - self.score)       # words that an alignment may let in
-        self.span, self.asked = lengths + self.slack, block.asked()
+        self.lengths, self.span, self.asked = lengths, lengths + self.slack, block.asked()
+        self.flat = np.concatenate(block.words) if block.words else np.empty(0, np.int64)
+        self.begins = np.cumsum(lengths) - lengths
+        self.direct = _direct(self.grams, self.base)
 
-    def candidates(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, start, end) of the stretches that can hold an alignment that reaches ``least``:
-        enough seeds within its longest extent, and words common to both close enough together in each."""
+    def candidates(self, words: np.ndarray, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, start, end) of the stretches that can hold an alignment that reaches ``least``:
+        enough seeds within its longest extent, and words common to both close enough together in each.
+
+        ``words`` holds texts from ``first`` to ``last`` (exclusive), with an unknown word between them."""
         if not len(self.grams):
             return
-        places, rows = _found(words, self.grams, self.sizes, self.base)
+        places, rows = _found(words, self.grams, self.sizes, self.base, self.direct)
         if not len(places):
             return
-        many = self.last[rows] - self.first[rows]
-        place = np.repeat(places, many)
-        which = np.arange(len(place)) + np.repeat(self.first[rows] - np.cumsum(many) + many, many)
+        many, texts = self.last[rows] - self.first[rows], np.searchsorted(first, places, "right") - 1
+        which = np.arange(many.sum()) + np.repeat(self.first[rows] - np.cumsum(many) + many, many)
+        place, text = np.repeat(places, many), np.repeat(texts, many)
         item, offset = self.seeds[which, 1], self.seeds[which, 2]
-        wide = len(words) + int(self.span.max()) + 1       # places of two items are further apart than any span
-        here, back = np.unique(item * wide + place, return_inverse=True)
+        gap = int(self.span.max()) + 1
+        wide = len(words) + (len(first) + 1) * gap         # places of two texts or items are further apart than any span
+        here, back = np.unique(item * wide + place + text * gap, return_inverse=True)
         until = np.searchsorted(here, here + self.span[here // wide])
-        close = (until - np.arange(len(here)) >= self.asked[here // wide])[back]
-        item, start = item[close], (place - offset)[close]
+        close = np.flatnonzero((until - np.arange(len(here)) >= self.asked[here // wide])[back])
+        if not len(close):
+            return
+        item, text, start = item[close], text[close], (place - offset)[close]
+        order = np.lexsort((start, text, item))            # where the item may lie; overlapping stretches joined
+        item, text, start = item[order], text[order], start[order]
+        a = np.maximum(first[text], start - self.slack[item])
+        b = np.minimum(last[text], start + self.span[item])
+        fresh = np.flatnonzero(np.append(True, (np.diff(item) != 0) | (np.diff(text) != 0) | (a[1:] > b[:-1])))
+        item, text, a, b = item[fresh], text[fresh], a[fresh], b[np.append(fresh[1:], len(b)) - 1]
+        long = np.flatnonzero(b - a > _width(self.lengths[item]))
+        if len(long):
+            parts = [_cut(x, y, n) for x, y, n in zip(a[long].tolist(), b[long].tolist(), self.lengths[item[long]].tolist(), strict=True)]
+            n = [len(p) for p in parts]
+            extra = np.array([cut for p in parts for cut in p], np.int64)
+            item, text = (np.append(np.delete(c, long), np.repeat(c[long], n)) for c in (item, text))
+            a, b = np.append(np.delete(a, long), extra[:, 0]), np.append(np.delete(b, long), extra[:, 1])
+            order = np.lexsort((a, text, item))
+            item, text, a, b = item[order], text[order], a[order], b[order]
+        size = len(words) + 1
+        known = np.flatnonzero(words >= 0)
+        index = np.append(np.sort(words[known] * size + known), np.iinfo(np.int64).max)     # places by word
+        length = self.lengths[item]
         seen = np.zeros(self.base, bool)                   # the last one stands for unknown words
-        for i in np.unique(item).tolist():
-            own = self.block.words[i]
-            for a, b in _windows(start[item == i], len(own), int(self.slack[i]), len(words)):
-                for x, y in _cut(a, b, len(own)):
-                    seen[words[x:y]] = True
-                    able = _at_most(seen[own]) >= self.score[i]
-                    seen[words[x:y]] = False
-                    if able:
-                        seen[own] = True
-                        able = _at_most(seen[words[x:y]]) >= self.score[i]
-                        seen[own] = False
-                        if able:
-                            yield i, x, y
+        for near in _slices(length):
+            sizes = length[near]
+            own = self.flat[np.arange(sizes.sum()) + np.repeat(self.begins[item[near]] - np.cumsum(sizes) + sizes, sizes)] * size
+            at = index[np.searchsorted(index, own + np.repeat(a[near], sizes))]
+            able = _at_most(at < own + np.repeat(b[near], sizes), sizes) >= self.score[item[near]]
+            for k in near[able].tolist():
+                i, x, y = int(item[k]), int(a[k]), int(b[k])
+                seen[self.block.words[i]] = True
+                if _at_most(seen[words[x:y]], np.array([y - x]))[0] >= self.score[i]:
+                    yield int(text[k]), i, x, y
+                seen[self.block.words[i]] = False
+
+    def _joined(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Texts' words looked at together: number of the first text, words, where each text starts and ends."""
+        held, many, t = [], 0, 0
+        for n, text in enumerate(texts, 1):
+            held.append(_numbers(text, self.block.vocabulary))
+            many += len(held[-1])
+            if many >= WORDS or n == len(texts):
+                sizes = np.array([len(w) for w in held], np.int64)
+                first = np.cumsum(sizes + 1) - sizes - 1
+                yield t, np.concatenate([x for w in held for x in (w, [-1])]).astype(np.int64), first, first + sizes
+                held, many, t = [], 0, n
 
     def search(self, texts: list[str]) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, end word) of the best alignment of every pair that reaches ``least``."""
@@ -257,10 +329,9 @@ class Searcher:
                     found[t, i] = similarity, start + eb - int(back), start + eb
             waiting.clear()
 
-        for t, text in enumerate(texts):
-            words = _numbers(text, self.block.vocabulary)
-            for i, a, b in self.candidates(words):
-                waiting.append((t, i, a, words[a:b]))
+        for t, words, first, last in self._joined(texts):
+            for k, i, a, b in self.candidates(words, first, last):
+                waiting.append((t + k, i, a - int(first[k]), words[a:b]))
                 if len(waiting) >= TOGETHER:
                     settle()
         if waiting:

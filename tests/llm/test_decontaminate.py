@@ -136,3 +136,22 @@ def test_every_alignment_that_reaches_the_least_is_found(least):
         frequency = np.array([rng.choice([0, 1, 1000]) if skew else 1 for _ in block.grams])
         found = decontaminate.Searcher(block, block.rarest(frequency)).search([" ".join(w) for w in texts])
         assert {(t, i): v for t, i, v, _, _ in found} == pytest.approx(want)
+
+
+def test_words_are_those_of_the_pattern():
+    text = "".join(chr(c) + ("a" if c % 3 else " ") for c in range(0x30000) if not 0xD800 <= c < 0xE000)
+    for part in (text, "Plain, ASCII\x0btext_1 -- it's", "", "\u2014", "Stra\u00dfe\u2026\u0130x"):
+        assert [w.decode() for w in decontaminate._words(part)] == decontaminate.WORD.findall(part.lower())
+
+
+@pytest.mark.parametrize("size", [1, 3])
+def test_texts_are_searched_together_and_give_what_each_gives_alone(monkeypatch, size):
+    docs, items, want = setting()
+    texts = [text + " " + text * 40 if d % 10 == 0 else text for d, text, *_ in docs]      # some longer than an uncut stretch
+    block = decontaminate.Block.of([(i, text.split()) for i, text in items], size, 0.5)
+    searcher = decontaminate.Searcher(block, block.rarest(np.ones(len(block.grams), np.int64)))
+    alone = [(t, *rest) for t, text in enumerate(texts) for _, *rest in searcher.search([text])]
+    calls, candidates = [], decontaminate.Searcher.candidates
+    monkeypatch.setattr(decontaminate.Searcher, "candidates", lambda self, words, *a: calls.append(len(words)) or candidates(self, words, *a))
+    assert searcher.search(texts) == alone and {(t, i) for t, i, *_ in alone} >= want
+    assert len(calls) == 1
