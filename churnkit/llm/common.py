@@ -10,6 +10,7 @@ from functools import partial
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as pads
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,15 @@ def read_shared(path: str, columns: list[str] | None = None, part: tuple[str, in
     return rows.to_table(columns, filter=pads.field(part[0]) == part[1])
 
 
+def shared_batches(path: str, columns: list[str], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """A table below the shared folder, read inside a task a batch at a time."""
+    store, at = pafs.FileSystem.from_uri(path)
+    for found in store.get_file_info(pafs.FileSelector(at, recursive=True)):
+        if found.base_name.endswith(".parquet"):
+            with store.open_input_file(found.path) as source:
+                yield from pq.ParquetFile(source, buffer_size=1 << 20).iter_batches(rows, columns=columns, use_threads=False)
+
+
 def map_arrow(df: DataFrame, func: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str) -> DataFrame:
     """``mapInArrow`` with the package importable in the workers and with

@@ -476,28 +476,18 @@ def log_ratios(counts: DataFrame, pairs: DataFrame) -> list[DataFrame]:
 
 
 def _shards(grams: DataFrame, bits: int) -> Shards:
-    """Write (code, ratio) of every gram, dealt by code where one shard doesn't hold them."""
+    """Write (code, ratio) of every gram, dealt by code where one shard doesn't hold them,
+    and then in order of code, as each group of texts reads all shards again."""
     rows = grams.select("code", F.col("ratio").cast("float").alias("ratio"))
     parts = -(-grams.count() >> bits) | 1             # an odd number: every byte of a code takes part in the remainder
     if parts == 1:
-        return Shards(C.written(rows, "toxic-grams"), 1)
+        return Shards(C.written(rows.sortWithinPartitions("code"), "toxic-grams"), 1)
     path = C.fresh_path(grams.sparkSession, "toxic-grams")
     dealt = rows.withColumn("shard", F.pmod("code", F.lit(parts)))
-    dealt.repartition(parts, "shard").write.mode("error").partitionBy("shard").parquet(path)
+    dealt.repartition(parts, "shard").sortWithinPartitions("shard", "code").write.mode("error").partitionBy("shard").parquet(path)
     return Shards(path, parts)
 
 
-def _read_shard(path: str, part: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes of a shard and their ratios."""
-    rows = C.read_shared(path, ["code", "ratio"], None if part is None else ("shard", part))
-    code, ratio = rows.column("code").to_numpy(), rows.column("ratio").to_numpy()
-    order = np.argsort(code)
-    return code[order], ratio[order]
-
-
-_SHARDS = [C.TaskCache(_read_shard) for _ in range(4)]        # one shard of each of a model's tables
-
-
 @dataclass(frozen=True)
 class Shards:
     """Where a table of ratios stands, and in how many shards."""
@@ -505,18 +495,16 @@ class Shards:
     path: str
     parts: int
 
-    def look(self, code: np.ndarray, table: int) -> np.ndarray:
-        """The ratio of each code; NaN where the table does not have it."""
+    def look(self, code: np.ndarray) -> np.ndarray:
+        """The ratio of each code; NaN where the table does not have it. The table passes by
+        in batches, each in order of code: a task holds none of it."""
         asked, back = np.unique(code.view(np.int64), return_inverse=True)
         out = np.full(len(asked), np.nan, np.float32)
-        home = asked % self.parts
-        for part in range(self.parts if len(asked) else 0):
-            codes, ratios = _SHARDS[table](self.path, part if self.parts > 1 else None)
-            mine = np.flatnonzero(home == part)
-            if len(codes) and len(mine):
-                at = np.minimum(np.searchsorted(codes, asked[mine]), len(codes) - 1)
-                hit = codes[at] == asked[mine]
-                out[mine[hit]] = ratios[at[hit]]
+        for batch in C.shared_batches(self.path, ["code", "ratio"]) if len(asked) else ():
+            codes, ratios = (C.column(batch, c).to_numpy() for c in ("code", "ratio"))
+            at = np.minimum(np.searchsorted(asked, codes), len(asked) - 1)
+            hit = np.flatnonzero(asked[at] == codes)
+            out[at[hit]] = ratios[hit]
         return out[back]
 
 
@@ -526,6 +514,13 @@ def _mean_ratio(logs: np.ndarray) -> float:
     return float(top + np.log(np.exp(logs - top).mean()))
 
 
+def _joined(pieces: list[np.ndarray]) -> np.ndarray:
+    """The pieces as one array; the list is emptied."""
+    out = np.concatenate(pieces)
+    pieces.clear()
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     """Where the tables and the filter of contexts stand; tasks read them
@@ -535,13 +530,13 @@ class Model:
     contexts: str
 
     def _look(self, code: np.ndarray, table: int) -> np.ndarray:
-        return self.tables[table].look(code, table)
+        return self.tables[table].look(code)
 
     def _across(self, code, starts, ratio, before: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Whole log-ratio of each of the given words after the hash of the word before it.
         Hashes are formed ``PAIRS`` words at a time; the tables are asked once."""
         asked = _filter(self.contexts)
-        sizes, out, found = _lengths(code, starts), [], []
+        sizes, out, found = _lengths(code, starts), [], ([], [], [], [])
         for part in range(0, len(word), PAIRS):
             mine = word[part:part + PAIRS]
             length = sizes[mine]
@@ -551,9 +546,10 @@ class Model:
             on = np.flatnonzero(asked[context & np.uint64(SLOTS - 1)])
             own = ratio[at]
             out.append(np.add.reduceat(own, first, dtype=np.float64))
-            found.append((gram[on], context[on], own[on], part + np.searchsorted(first, on, "right") - 1))
-        gram, context, own, home = (np.concatenate(c) for c in zip(*found, strict=True))
-        del found
+            home = (part + np.searchsorted(first, on, "right") - 1).astype(np.int32)
+            for pieces, piece in zip(found, (gram[on], context[on], own[on], home), strict=True):
+                pieces.append(piece)
+        gram, context, own, home = (_joined(pieces) for pieces in found)
         told = self._look(gram, 2)
         del gram
         new = np.flatnonzero(np.isnan(told))
@@ -603,6 +599,7 @@ def _stream_evidence(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays(
             [C.column(batch, "doc_id"), C.column(batch, "toxic"), *(pa.array(found[:, i]) for i in range(len(EVIDENCE)))],
             names=["doc_id", "toxic", *EVIDENCE])
+        C.give_back()
 
 
 def _sets_curve():

@@ -236,3 +236,21 @@ def test_long_clean_texts_with_unseen_words_stay(spark):
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score(cases.frame(spark, asked), docs, labels).collect()}
     short, long = [got[i] for i in range(60)], [got[i] for i in range(60, 120)]
     assert sum(short) <= 3 and sum(long) <= 3
+
+
+def test_tables_stand_in_order_of_code_and_are_looked_up_a_batch_at_a_time(spark):
+    rng = np.random.default_rng(4)
+    code = np.unique(rng.integers(-2**62, 2**62, 3000))
+    ratio = rng.random(len(code)).astype(np.float32)
+    order = rng.permutation(len(code))
+    grams = spark.createDataFrame([(int(code[i]), float(ratio[i])) for i in order], "code long, ratio double").repartition(5)
+    asked = np.concatenate([code[::7], code[::7], code[:50] + 1])
+    want = dict(zip(code.tolist(), ratio.tolist(), strict=True))
+    for bits in (8, 20):
+        shards = toxicity._shards(grams, bits)
+        assert (shards.parts > 1) == (bits == 8)
+        seen = [b.column(0).to_numpy() for b in toxicity.C.shared_batches(shards.path, ["code"], 100)]
+        assert all(len(c) <= 100 and (np.diff(c) > 0).all() for c in seen)
+        assert sorted(np.concatenate(seen).tolist()) == code.tolist()
+        assert np.array_equal(shards.look(asked.view(np.uint64)), np.array([want.get(c, np.nan) for c in asked.tolist()], np.float32), equal_nan=True)
+        assert len(shards.look(asked[:0].view(np.uint64))) == 0
