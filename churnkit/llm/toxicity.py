@@ -502,9 +502,11 @@ class Shards:
         out = np.full(len(asked), np.nan, np.float32)
         for batch in C.shared_batches(self.path, ["code", "ratio"]) if len(asked) else ():
             codes, ratios = (C.column(batch, c).to_numpy() for c in ("code", "ratio"))
-            at = np.minimum(np.searchsorted(asked, codes), len(asked) - 1)
-            hit = np.flatnonzero(asked[at] == codes)
-            out[at[hit]] = ratios[hit]
+            if len(codes):
+                first, last = np.searchsorted(asked, codes[0]), np.searchsorted(asked, codes[-1], "right")
+                at = np.searchsorted(codes, asked[first:last])
+                hit = np.flatnonzero(codes[at] == asked[first:last])
+                out[first + hit] = ratios[at[hit]]
         return out[back]
 
 
